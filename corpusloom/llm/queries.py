@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, substring_dedup
+from . import decontamination, substring_dedup, token_output
 
 _MODULES = {
     "op5_decontaminate": decontamination,
+    "op7_token_output": token_output,
     "op9_substring_dedup": substring_dedup,
 }
 

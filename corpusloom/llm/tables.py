@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,8 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind the table
     return spark.read.schema(df.schema).parquet(path)
 
 
