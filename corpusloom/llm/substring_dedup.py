@@ -34,7 +34,7 @@ _RUN, _WINDOW = 5, 7
 
 
 class _Runs:
-    """The anchors of a chunk: row, key, first and last window of each."""
+    """The anchors of a chunk: row, anchor, run, first and last window of each."""
 
     def __init__(self, chunk: W.Chunk, window: int, gram: int):
         grams, valid = chunk.grams(gram)
@@ -50,7 +50,6 @@ class _Runs:
         self.anchor = grams[anchor]
         words = W.runs(chunk.hash, _RUN)
         self.run = W.run_hash(words, self.first, self.last + window) ^ W.mix((anchor - self.first).astype(np.uint64))
-        self.key = W.mix(self.anchor ^ W.mix(self.run))
 
 
 def _salted(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -82,18 +81,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         ids = batch.column("_key").to_numpy(zero_copy_only=False)
         for chunk in W.chunks(batch.column("text"), W.SPACE):
             x = _Runs(chunk, window, gram)
-            yield {"anchor": x.anchor, "run": x.run, "key": x.key, "_key": ids[chunk.row + x.row]}
+            yield {"anchor": x.anchor, "run": x.run, "_key": ids[chunk.row + x.row]}
 
-    anchors = T.map_batches(docs, anchors_of, "anchor long, run long, key long, _key long")
-    classes = anchors.groupBy("anchor", "run", "key").agg(F.min("_key").alias("head"), F.max("_key").alias("tail"))
+    anchors = T.map_batches(docs, anchors_of, "anchor long, run long, _key long")
+    classes = anchors.groupBy("anchor", "run").agg(F.min("_key").alias("head"), F.max("_key").alias("tail"))
     whole = (
-        anchors.select("anchor", "run", "key", "_key")
-        .join(classes.filter("head < tail").select("anchor", "run", "head"), ["anchor", "run"])
+        anchors.join(classes.filter("head < tail").select("anchor", "run", "head"), ["anchor", "run"])
         .filter("_key > head")
-        .select("_key", "key", F.lit(True).alias("whole"))
+        .select("_key", F.col("run").alias("key"), F.lit(True).alias("whole"))
     )
     several = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("head").alias("a"), F.max("tail").alias("b")).filter("n > 1 and a < b")
-    opened = classes.join(several.select("anchor"), "anchor").groupBy(F.col("head").alias("_key")).agg(F.collect_list("key").alias("runs"))
+    opened = classes.join(several.select("anchor"), "anchor").groupBy(F.col("head").alias("_key")).agg(F.collect_list("run").alias("runs"))
 
     def windows_of(batch: pa.RecordBatch):
         ids = batch.column("_key").to_numpy(zero_copy_only=False)
@@ -101,7 +99,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         for chunk in W.chunks(batch.column("text"), W.SPACE):
             x = _Runs(chunk, window, gram)
             mine = (rows >= chunk.row) & (rows < chunk.row + chunk.rows)
-            take = np.isin(_salted(x.key, x.row + chunk.row), _salted(wanted[mine], rows[mine]))
+            take = np.isin(_salted(x.run, x.row + chunk.row), _salted(wanted[mine], rows[mine]))
             starts, run = _spread(x.first[take], x.last[take])
             yield {"anchor": x.anchor[take][run], "window": _window_hashes(chunk, starts, window), "_key": ids[chunk.row + x.row[take][run]]}
 
@@ -119,11 +117,11 @@ def removed_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     """doc_id, n_words, n_removed, kept (its words, joined by one space), spans (removed words as [first, after] pairs).
 
     A word goes where a window of ``window`` words covers it that also starts in a document with a smaller id."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", T.doc_key().alias("_key"), "text").repartition("_key")
-    found = repeats(docs.select("_key", "text"), window, gram)
+    docs = documents.select(T.doc_key(id_col).alias("_key"), F.col(text_col).alias("text")).repartition("_key")  # one shuffle, read by every step
+    found = repeats(docs, window, gram)
 
     def cut(batch: pa.RecordBatch):
-        ids = batch.column("doc_id")
+        ids = batch.column("_key").to_numpy(zero_copy_only=False)
         run_keys, run_rows = _listed(batch.column("runs"))
         win_keys, win_rows = _listed(batch.column("windows"))
         for chunk in W.chunks(batch.column("text"), W.SPACE):
@@ -132,7 +130,7 @@ def removed_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
             mine = (run_rows >= chunk.row) & (run_rows < chunk.row + chunk.rows)
             if mine.any():
                 x = _Runs(chunk, window, gram)
-                take = np.isin(_salted(x.key, x.row + chunk.row), _salted(run_keys[mine], run_rows[mine]))
+                take = np.isin(_salted(x.run, x.row + chunk.row), _salted(run_keys[mine], run_rows[mine]))
                 np.add.at(step, x.first[take], 1)
                 np.add.at(step, x.last[take] + window, -1)
             mine = (win_rows >= chunk.row) & (win_rows < chunk.row + chunk.rows)
@@ -160,9 +158,10 @@ def removed_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
                 else:
                     spans.append([])
                 kept.append(b" ".join(words).decode("utf-8", "replace"))
-            yield {"doc_id": ids.slice(chunk.row, chunk.rows), "n_words": n, "n_removed": lost, "kept": kept, "spans": spans}
+            mine = ids[chunk.row : chunk.row + chunk.rows]
+            yield {"doc_id": pa.array(mine, mask=mine == T.LAST_ID), "n_words": n, "n_removed": lost, "kept": kept, "spans": spans}
 
-    joined = docs.join(found, "_key", "left").select("doc_id", "text", "runs", "windows")
+    joined = docs.join(found, "_key", "left").select("_key", "text", "runs", "windows")
     return T.map_batches(joined, cut, "doc_id long, n_words long, n_removed long, kept string, spans array<array<int>>")
 
 
