@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, substring_dedup, token_output
+from . import decontamination, mixing, substring_dedup, token_output
 
 _MODULES = {
     "op5_decontaminate": decontamination,
+    "op6_mix_sources": mixing,
     "op7_token_output": token_output,
     "op9_substring_dedup": substring_dedup,
 }
