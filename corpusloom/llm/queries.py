@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, substring_dedup, token_output
+from . import (
+    chat_format,
+    decontamination,
+    fingerprints,
+    mixing,
+    secret_scan,
+    substring_dedup,
+    token_output,
+)
 
 _MODULES = {
+    "op2_secret_scan": secret_scan,
     "op5_decontaminate": decontamination,
     "op6_mix_sources": mixing,
     "op7_token_output": token_output,
+    "op8_fingerprints": fingerprints,
     "op9_substring_dedup": substring_dedup,
 }
 
