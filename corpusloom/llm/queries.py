@@ -7,6 +7,7 @@ from . import (
     decontamination,
     fingerprints,
     mixing,
+    quality_classifier,
     secret_scan,
     substring_dedup,
     token_output,
@@ -14,11 +15,13 @@ from . import (
 
 _MODULES = {
     "op2_secret_scan": secret_scan,
+    "op4_quality_classifier": quality_classifier,
     "op5_decontaminate": decontamination,
     "op6_mix_sources": mixing,
     "op7_token_output": token_output,
     "op8_fingerprints": fingerprints,
     "op9_substring_dedup": substring_dedup,
+    "op10_chat_format": chat_format,
 }
 
 
