@@ -7,6 +7,7 @@ from . import (
     decontamination,
     fingerprints,
     mixing,
+    ngram_join,
     quality_classifier,
     secret_scan,
     substring_dedup,
@@ -14,6 +15,7 @@ from . import (
 )
 
 _MODULES = {
+    "op1_ngram_join": ngram_join,
     "op2_secret_scan": secret_scan,
     "op4_quality_classifier": quality_classifier,
     "op5_decontaminate": decontamination,
