@@ -8,8 +8,8 @@ the benchmark's windows.  Items shorter than the window are one window of their
 own length, of which every position is a fingerprint.
 
 The benchmark is read in blocks of at most ``block_items`` items and
-``block_chars`` characters; each block's index travels with the tasks, and a
-larger benchmark takes more passes over the documents.  Nothing is dropped.
+``block_chars`` characters; each block's index travels with the tasks, and each
+document passes all of them, one after the other, without a shuffle.
 
 Cases: null and empty texts and texts without words have no words and hit
 nothing, and an item like that is never found; equal items are each counted;
@@ -127,78 +127,61 @@ def _blocks(benchmark: DataFrame, block_items: int, block_chars: int):
         ids.append("" if r["item_id"] is None else str(r["item_id"]))
         texts.append(text)
         size += len(text)
-    yield ids, texts
+    if ids:
+        yield ids, texts
 
 
-def _scan(documents: DataFrame, index: Index) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+def _united(old: list[int], new: list[int]) -> list[int]:
+    out: list[int] = []
+    for a, b in sorted(zip(old[::2] + new[::2], old[1::2] + new[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _scan(documents: DataFrame, index: Index, keep: str) -> DataFrame:
+    """One pass: the kept columns, n_words, and spans and items with those of the passes before."""
+    shared = documents.sparkSession.sparkContext.broadcast(index)  # a block, so of bounded size
+    kept = [x.split()[0] for x in keep.split(", ")]
+    again = "spans" in documents.columns
 
     def scan(batch: pa.RecordBatch):
-        index, keep = shared.value, batch.schema.get_field_index("_row") >= 0
+        index = shared.value
+        names = np.array(index.ids, object)
         for chunk in W.chunks(batch.column("text"), W.NOT_ALNUM, True):
             hit, rows, items = _hits(chunk, index)
-            names = np.array(index.ids, object)
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[chunk.first[1:]] - total[chunk.first[:-1]]
             bounds = np.searchsorted(rows, np.arange(chunk.rows + 1))
-            yield {
-                "doc_id": batch.column("doc_id").slice(chunk.row, chunk.rows),
-                "_row": batch.column("_row").slice(chunk.row, chunk.rows) if keep else [None] * chunk.rows,
-                "n_words": chunk.counts,
-                "spans": [_ranges(hit[a:b]) if n else [] for a, b, n in zip(chunk.first[:-1], chunk.first[1:], n_hit, strict=True)],
-                "items": [names[items[a:b]].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
-            }
+            spans = [_ranges(hit[a:b]) if n else [] for a, b, n in zip(chunk.first[:-1], chunk.first[1:], n_hit, strict=True)]
+            found = [names[items[a:b]].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            if again:
+                old = batch.slice(chunk.row, chunk.rows)
+                spans = [_united(x, y) for x, y in zip(old.column("spans").to_pylist(), spans, strict=True)]
+                found = [x + y for x, y in zip(old.column("items").to_pylist(), found, strict=True)]
+            yield {k: batch.column(k).slice(chunk.row, chunk.rows) for k in kept} | {"n_words": chunk.counts, "spans": spans, "items": found}
 
-    return T.map_batches(documents, scan, "doc_id long, _row string, n_words long, spans array<int>, items array<string>")
+    return T.map_batches(documents, scan, keep + ", n_words long, spans array<int>, items array<string>")
 
 
-def benchmark_hits(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS
+def marked(
+    documents: DataFrame, benchmark: DataFrame, keep: str = "doc_id long", window: int = WINDOW, gram: int = GRAM, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit, spans (hit words, first and after, flat), items (ids, sorted as strings)."""
-    items = benchmark.select("item_id", "text")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _blocks(items, block_items, block_chars)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _counted(_scan(docs, Index(*first, window, gram)))
-    docs = docs.withColumn("_row", F.concat_ws(":", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    parts = [_scan(docs, Index(*first, window, gram)), _scan(docs, Index(*second, window, gram))]
-    parts += [_scan(docs, Index(*x, window, gram)) for x in blocks]
-    return _merged(parts)
-
-
-def _counted(found: DataFrame) -> DataFrame:
+    """Each document's kept columns, n_words, n_hit, spans (hit words, first and after, flat), items (ids, sorted as strings)."""
+    kept = [x.split() for x in keep.split(", ")]
+    found = documents.select(*[F.col(c).cast(kind).alias(c) for c, kind in kept if c != "text"], "text")
+    blocks = [Index(*x, window, gram) for x in _blocks(benchmark.select("item_id", "text"), block_items, block_chars)] or [Index([], [], window, gram)]
+    for i, index in enumerate(blocks):
+        extra = ", text string" if i < len(blocks) - 1 and "text" not in [c for c, _ in kept] else ""
+        found = _scan(found, index, keep + extra)
     n = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_words", n.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """Hits of several blocks put together; equal rows hit alike, so one of them stands for all and is repeated."""
-    union = parts[0].withColumn("block", F.lit(0))
-    for i, x in enumerate(parts[1:], 1):
-        union = union.unionByName(x.withColumn("block", F.lit(i)))
-    once = union.groupBy("_row", "doc_id", "block").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"))
-    whole = once.groupBy("_row", "doc_id").agg(F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-
-    def merge(batch: pa.RecordBatch):
-        spans = []
-        for x in batch.column("spans").to_pylist():
-            out: list[int] = []
-            for a, b in sorted(zip(x[::2], x[1::2], strict=True)):
-                if out and a <= out[-1]:
-                    out[-1] = max(out[-1], b)
-                else:
-                    out += [a, b]
-            spans.append(out)
-        yield {"doc_id": batch.column("doc_id"), "copies": batch.column("copies"), "n_words": batch.column("n_words"), "spans": spans, "items": batch.column("items")}
-
-    merged = T.map_batches(whole.drop("_row"), merge, "doc_id long, copies long, n_words long, spans array<int>, items array<string>")
-    return _counted(merged.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))))
+    return found.select(*[c for c, _ in kept], "n_words", n.alias("n_hit"), "spans", F.array_sort("items").alias("items"))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
-    found = benchmark_hits(T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "benchmark"))
+    found = marked(T.read(spark, sf_dir, "documents"), T.read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
         "n_words",

@@ -125,6 +125,30 @@ def mixed(documents: DataFrame, weights=WEIGHTS, most: int = MOST, block: int =
     return placed.join(taken, "_row", "left").select("_row", "doc_id", "source", "size", "text_hash", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to and with its n-th word."""
+    words = F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n)
+    gaps = F.slice(F.split(text, WORD, -1), F.lit(1), n)
+    return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), "")
+
+
+def repeated(documents: DataFrame, **options) -> DataFrame:
+    """Documents as often as the mix takes them: whole copies, and a copy of the first words for the rest.
+
+    Rows equal in doc_id, source and text are taken together.  n_chars follows the text."""
+    identity = ["_key", "_text", "_source"]
+    marks = [T.doc_key().alias("_key"), F.xxhash64("text").alias("_text"), F.xxhash64("source").alias("_source")]
+    taken = mixed(documents, **options).withColumn("_key", T.doc_key()).withColumn("_source", F.xxhash64("source"))
+    taken = taken.groupBy("_key", F.col("text_hash").alias("_text"), "_source").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
+    columns = documents.columns
+    rows = documents.select("*", *marks).join(taken, identity).groupBy(*identity, "taken", "size").agg(F.min(F.struct(*columns)).alias("row"))
+    whole, rest = F.floor(F.col("taken") / F.col("size")), (F.col("taken") % F.col("size")).cast("int")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + (rest > 0).cast("long"))))
+    text = F.when(F.col("copy") <= whole, F.col("row.text")).otherwise(first_words(F.col("row.text"), rest))
+    copies = copies.select("row", text.alias("text"))
+    return copies.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in columns])
+
+
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mixed(T.read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

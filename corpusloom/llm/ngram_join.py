@@ -94,18 +94,18 @@ def _prefixes(s: Sets, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sets_of(documents: DataFrame, shingle: int) -> DataFrame:
-    """_key, n (size of the set), node (its name); and, where _key is null, frequent shingles and how often they were seen."""
+    """_key, text_hash, n (size of the set), node (its name); and, where _key is null, frequent shingles and how often they were seen."""
 
     def run(batch: pa.RecordBatch):
-        ids = batch.column("_key").to_numpy(zero_copy_only=False)
         for chunk in W.chunks(batch.column("text"), W.SPACE, True):
             s = Sets(chunk, shingle)
-            yield {"_key": ids[chunk.row : chunk.row + chunk.rows], "n": s.sizes, "node": s.name}
+            yield {k: batch.column(k).slice(chunk.row, chunk.rows) for k in ("_key", "text_hash")} | {"n": s.sizes, "node": s.name}
             values, counts = np.unique(s.values, return_counts=True)
             often = counts >= LEAST_IN_CHUNK
-            yield {"_key": [None] * int(often.sum()), "n": counts[often], "node": values[often]}
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield {"_key": none, "text_hash": none, "n": counts[often], "node": values[often]}
 
-    return T.map_batches(documents, run, "_key long, n long, node long")
+    return T.map_batches(documents, run, "_key long, text_hash long, n long, node long")
 
 
 def _prefix_rows(documents: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -242,23 +242,23 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame, frequent: np.ndarray, s
 
 
 def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """_row, doc_id, n_shingles, component_id for every document (doc_id, text).
+    """_key, text_hash, n_shingles, class, component for every document (doc_id, text).
 
-    component_id is the least doc_id reachable by links; _key is doc_id with null last."""
-    docs = documents.select(T.doc_key().alias("_key"), "text")
+    Documents of one class reach one another by links; component is the least _key among them (doc_id, null last)."""
+    docs = documents.select(T.doc_key().alias("_key"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     scanned = T.written(sets_of(docs, shingle))
+    docs = docs.drop("text_hash")
     seen = scanned.filter("_key is null").groupBy("node").agg(F.sum("n").alias("seen")).filter(F.col("seen") >= LEAST_SEEN)
     top = seen.orderBy(F.desc("seen"), "node").limit(MOST_FREQUENT).select("node").toPandas()["node"]  # bounded
     frequent = np.sort(top.to_numpy(np.int64).view(np.uint64))
     sets = scanned.filter("_key is not null")
     nodes = T.written(sets.filter("n > 0").groupBy("node", "n").agg(F.min("_key").alias("_key")))
-    edges = T.written(linked_nodes(docs, nodes, frequent, shingle, percent))
-    keyed = edges.join(nodes.select(F.col("node").alias("a"), F.col("_key").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("_key").alias("y")), "b")
-    # Two sets may have one least _key, where a doc_id repeats; they then are one node, as both belong to that document.
-    classes = components(keyed.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = nodes.select("node", F.col("_key").alias("first")).join(classes.withColumnRenamed("node", "first"), "first", "left")
-    named = named.select("node", F.coalesce("component", "first").alias("component"))
-    return sets.join(named, "node", "left").select("_key", F.col("n").alias("n_shingles"), F.coalesce("component", "_key").alias("component"))
+    classes = components(T.written(linked_nodes(docs, nodes, frequent, shingle, percent)))
+    least = classes.join(nodes, "node").groupBy("component").agg(F.min("_key").alias("least"))
+    linked = classes.join(least, "component").select("node", F.col("component").alias("class"), "least")
+    first = nodes.join(linked, "node", "left").select("node", F.coalesce("class", "node").alias("class"), F.coalesce("least", "_key").alias("component"))
+    empty = sets.filter("n = 0").select("_key", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("_key").alias("component"))
+    return sets.filter("n > 0").join(first, "node").select("_key", "text_hash", F.col("n").alias("n_shingles"), "class", "component").unionByName(empty)
 
 
 def _id(key: str) -> Column:

@@ -6,6 +6,7 @@ from . import (
     chat_format,
     decontamination,
     fingerprints,
+    line_dedup,
     mixing,
     ngram_join,
     quality_classifier,
@@ -17,6 +18,7 @@ from . import (
 _MODULES = {
     "op1_ngram_join": ngram_join,
     "op2_secret_scan": secret_scan,
+    "op3_line_dedup": line_dedup,
     "op4_quality_classifier": quality_classifier,
     "op5_decontaminate": decontamination,
     "op6_mix_sources": mixing,

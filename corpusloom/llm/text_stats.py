@@ -97,11 +97,11 @@ def of_chunk(c: W.Chunk) -> dict[str, np.ndarray]:
 
 def text_stats(documents: DataFrame, keep: str = "doc_id long") -> DataFrame:
     """The kept columns and all statistics; a null text is empty."""
-    kept = [x.split()[0] for x in keep.split(",")]
+    kept = [x.split()[0] for x in keep.split(", ")]
 
     def run(batch: pa.RecordBatch):
         for c in W.chunks(batch.column("text"), W.SPACE):
             found = of_chunk(c)
             yield {k: batch.column(k).slice(c.row, c.rows) for k in kept} | {k: np.asarray(found[k], float) for k in NAMES}
 
-    return T.map_batches(documents.select(*kept, "text"), run, keep + ", " + ", ".join(f"{k} double" for k in NAMES))
+    return T.map_batches(documents.select(*[k for k in kept if k != "text"], "text"), run, keep + ", " + ", ".join(f"{k} double" for k in NAMES))
