@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import text
+from .base import ORACLES, QUERIES
+
+_ = (text,)
+
 
 def FLAGSHIP(spark, sf_dir):
-    return queries()["filter_reject_reason"](spark, sf_dir)
+    return QUERIES["filter_reject_reason"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
