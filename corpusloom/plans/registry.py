@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import text
+from . import dialogues, text
 from .base import ORACLES, QUERIES
 
-_ = (text,)
+_ = (text, dialogues)
 
 
 def FLAGSHIP(spark, sf_dir):
