@@ -130,16 +130,19 @@ def _prefix_rows(documents: DataFrame, shingle: int, percent: int, frequent: np.
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, n, tokens (sorted) of the wanted nodes (node, _key)."""
+    """node, n, tokens (sorted), tasks of the wanted nodes (node, _key, tasks); a repeated row gives its node again."""
 
     def run(batch: pa.RecordBatch):
         name = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
         for chunk in W.chunks(batch.column("text"), W.SPACE, True):
             s = Sets(chunk, shingle)
             mine = s.name == name[chunk.row : chunk.row + chunk.rows]  # of rows with an equal doc_id, the one that is meant
-            yield {"node": s.name[mine], "n": s.sizes[mine], "tokens": T.lists(s.values[mine[s.rows]], s.sizes[mine])}
+            tasks = batch.column("tasks").slice(chunk.row, chunk.rows).filter(pa.array(mine))
+            yield {"node": s.name[mine], "n": s.sizes[mine], "tokens": T.lists(s.values[mine[s.rows]], s.sizes[mine]), "tasks": tasks}
 
-    return T.map_batches(documents.join(wanted, "_key").select("node", "text"), run, "node long, n long, tokens array<long>")
+    # By a merge at every size, so that what is shuffled follows the input.
+    joined = documents.join(wanted.hint("merge"), "_key").select("node", "text", "tasks")
+    return T.map_batches(joined, run, "node long, n long, tokens array<long>, tasks array<long>")
 
 
 class _Forest:
@@ -212,12 +215,13 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame, frequent: np.ndarray, s
     groups = groups.filter("nodes > 1").select("group", cuts.alias("cuts"), F.col("lead.node").alias("lead"))
     placed = alive.join(groups, "group", "left").withColumn("block", F.xxhash64("group", F.pmod("node", F.coalesce("cuts", F.lit(1)))))
     placed = T.written(placed.select("node", "n", "_key", "block", "group", F.coalesce("cuts", F.lit(0)).alias("cuts"), "lead"))
-    sets = T.written(_full_sets(documents, placed.select("node", "_key"), shingle).dropDuplicates(["node"]))
+    blocks = placed.filter("cuts > 0").select("node", F.col("block").alias("task"))
+    leads = placed.filter("cuts > 1").select(F.col("lead").alias("node"), F.col("block").alias("task"))
+    tasks = blocks.unionByName(leads).groupBy("node").agg(F.collect_set("task").alias("tasks"))
+    sets = T.written(_full_sets(documents, placed.select("node", "_key").join(tasks, "node", "left"), shingle))
 
-    blocks = placed.filter("cuts > 0").select(F.col("block").alias("task"), F.lit(2).alias("role"), "node")
-    leads = placed.filter("cuts > 1").select(F.col("block").alias("task"), F.lit(2).alias("role"), F.col("lead").alias("node")).distinct()
-    tasks = blocks.unionByName(leads).dropDuplicates(["task", "node"]).withColumn("class", F.col("node"))
-    first = T.written(_edges(tasks.join(sets, "node"), percent))
+    tasks = sets.select(F.explode("tasks").alias("task"), F.lit(2).alias("role"), "node", F.col("node").alias("class"), "n", "tokens")
+    first = T.written(_edges(tasks, percent))
 
     classes = components(first)
     named = placed.select("node", "n", "block").join(classes, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), F.col("component").isNull().alias("single"), "block")
@@ -237,7 +241,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame, frequent: np.ndarray, s
     asking = opened.join(asked, "of").withColumn("sheet", F.pmod("node", "sheets")).withColumn("cut", each("cuts")).withColumn("role", F.lit(1))
     asked_of = named.withColumnRenamed("group", "of").select("of", "node", "class").join(asked, "of").withColumn("cut", F.pmod("node", "cuts")).withColumn("sheet", each("sheets")).withColumn("role", F.lit(0))
     tasks = asking.select("of", "sheet", "cut", "role", "node", "class").unionByName(asked_of.select("of", "sheet", "cut", "role", "node", "class"))
-    tasks = tasks.select(F.xxhash64("of", "sheet", "cut").alias("task"), "role", "node", "class").join(sets, "node")
+    tasks = tasks.select(F.xxhash64("of", "sheet", "cut").alias("task"), "role", "node", "class").join(sets.drop("tasks").hint("merge"), "node")
     return first.unionByName(_edges(tasks, percent))
 
 
