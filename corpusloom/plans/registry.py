@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dialogues, text
+from . import dialogues, evaluation, knowledge, text
 from .base import ORACLES, QUERIES
 
-_ = (text, dialogues)
+_ = (text, dialogues, knowledge, evaluation)
 
 
 def FLAGSHIP(spark, sf_dir):
