@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.writers import scratch
+
 # The pre-token branches, in order, and the core special tokens.
 PRE_TOKENS = (
     "'s|'t|'re|'ve|'m|'ll|'d",
@@ -70,9 +72,13 @@ def splits(token: Column) -> Column:
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
     """left, right, freq of neighbouring symbols. tokens: symbols, freq."""
-    at = F.sequence(F.lit(0), F.size("symbols") - 2)
-    pairs = F.transform(at, lambda i: F.struct(F.get("symbols", i).alias("left"), F.get("symbols", i + 1).alias("right")))
-    return tokens.filter(F.size("symbols") > 1).select(F.explode(pairs).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
+
+    def pairs(s: Column) -> Column:
+        n = F.greatest(F.lit(0), F.size(s) - 1)
+        return F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, F.lit(2), n), lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+
+    found = F.flatten(F.transform(F.array("symbols"), pairs))  # so that the symbols are computed once a row
+    return tokens.select(F.explode(found).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
 
 
 def merge_pair(symbols: Column, left: str, right: str) -> Column:
@@ -86,15 +92,17 @@ def merge_pair(symbols: Column, left: str, right: str) -> Column:
     return F.transform(F.aggregate(symbols, zero, step), lambda s: F.replace(s, F.lit("\x00"), F.lit("")))
 
 
-def train_merges(tokens: DataFrame, merges: int, every: int = 10) -> list[tuple[str, str, int]]:
+def train_merges(tokens: DataFrame, merges: int, every: int = 8) -> list[tuple[str, str, int]]:
     """The merges of a byte-pair vocabulary: the most frequent pair, ties by its letters, again and again.
 
-    The table of distinct tokens is cached and written every few merges; only the best pair comes to the driver."""
+    The table of distinct tokens is written every few merges; only the best pair comes to the driver."""
     spark, out = tokens.sparkSession, []
     now = tokens.select(splits(F.col("token")).alias("symbols"), "freq")
     for i in range(merges):
         if i % every == 0:
-            now = now.persist() if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else now.checkpoint()
+            path = scratch(spark)
+            now.write.parquet(path)
+            now = spark.read.schema(now.schema).parquet(path)
         best = pair_counts(now).orderBy(F.desc("freq"), "left", "right").first()
         if best is None:
             break

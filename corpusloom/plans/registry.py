@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dialogues, evaluation, knowledge, text
+from . import dialogues, evaluation, events, knowledge, relational, sources, text, tokens
 from .base import ORACLES, QUERIES
 
-_ = (text, dialogues, knowledge, evaluation)
+_ = (text, dialogues, knowledge, evaluation, tokens, events, relational, sources)
 
 
 def FLAGSHIP(spark, sf_dir):
