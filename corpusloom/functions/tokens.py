@@ -81,33 +81,36 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(found).alias("p"), "freq").groupBy("p.left", "p.right").agg(F.sum("freq").alias("freq"))
 
 
-def merge_pair(symbols: Column, left: str, right: str) -> Column:
-    """Neighbours left and right put together, from the left and without overlap."""
-    zero = F.expr("cast(array() as array<string>)")
+def joined(symbols: Column) -> Column:
+    """Symbols as one text, each between two marks, so that a merge is a replacement."""
+    return F.array_join(F.transform(symbols, lambda x: F.concat(F.lit("\x01"), x, F.lit("\x02"))), "")
 
-    def step(done: Column, s: Column) -> Column:
-        meets = (s == right) & (F.try_element_at(done, F.lit(-1)) == left)
-        return F.when(F.coalesce(meets, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1)), F.array(F.lit(left + "\x00" + right)))).otherwise(F.concat(done, F.array(s)))
 
-    return F.transform(F.aggregate(symbols, zero, step), lambda s: F.replace(s, F.lit("\x00"), F.lit("")))
+def apart(text: Column) -> Column:
+    return F.transform(F.filter(F.split(text, "\x02"), lambda x: x != ""), lambda x: F.substring(x, 2, 1 << 30))
 
 
-def train_merges(tokens: DataFrame, merges: int, every: int = 8) -> list[tuple[str, str, int]]:
+def merge_pair(text: Column, left: str, right: str) -> Column:
+    """Neighbours left and right put together, from the left and without overlap. text: of ``joined``."""
+    return F.replace(text, F.lit(f"\x01{left}\x02\x01{right}\x02"), F.lit(f"\x01{left}{right}\x02"))
+
+
+def train_merges(tokens: DataFrame, merges: int, every: int = 16) -> list[tuple[str, str, int]]:
     """The merges of a byte-pair vocabulary: the most frequent pair, ties by its letters, again and again.
 
     The table of distinct tokens is written every few merges; only the best pair comes to the driver."""
     spark, out = tokens.sparkSession, []
-    now = tokens.select(splits(F.col("token")).alias("symbols"), "freq")
+    now = tokens.select(joined(splits(F.col("token"))).alias("text"), "freq")
     for i in range(merges):
         if i % every == 0:
             path = scratch(spark)
             now.write.parquet(path)
             now = spark.read.schema(now.schema).parquet(path)
-        best = pair_counts(now).orderBy(F.desc("freq"), "left", "right").first()
+        best = pair_counts(now.select(apart(F.col("text")).alias("symbols"), "freq")).orderBy(F.desc("freq"), "left", "right").first()
         if best is None:
             break
         out.append((best["left"], best["right"], best["freq"]))
-        now = now.withColumn("symbols", merge_pair(F.col("symbols"), best["left"], best["right"]))
+        now = now.withColumn("text", merge_pair(F.col("text"), best["left"], best["right"]))
     return out
 
 
