@@ -16,9 +16,9 @@ FACT = ["subject_id", "relation_id", "object_id"]
 
 def unique(rows: DataFrame, key: list[str]) -> DataFrame:
     """Equal rows once; a key with different rows raises."""
-    once = rows.dropDuplicates()
-    n = F.count("*").over(Window.partitionBy(*key))
-    return once.withColumn("_n", n).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("conflict: "), F.concat_ws("/", *key)))).otherwise(F.col("_n"))).drop("_n")
+    once = rows.dropDuplicates().withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    conflict = F.raise_error(F.concat(F.lit("conflict: "), F.concat_ws("/", *key))).cast("boolean")
+    return once.filter(F.when(F.col("_n") > 1, conflict).otherwise(F.lit(True))).drop("_n")
 
 
 def typed(facts: DataFrame, relations: DataFrame, nodes: DataFrame) -> DataFrame:
