@@ -49,7 +49,7 @@ class UnitEncoder:
     so the pieces' ids put together are the text's ids.  The table of known
     pieces is emptied when it is full."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 3_000_000, recent: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,20 +57,40 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
+        spelled = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(spelled.values()) + 1, np.int64)
+        self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a byte is a character of the vocabulary
+        self.most, self.most_recent = most, recent
         self._empty()
 
     def _empty(self):
-        self.known: dict[int, int] = {}
+        """Known pieces: sorted keys and their slots, and the recent ones in a dict; first and size: a slot's ids."""
+        self.keys, self.slots, self.recent = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.first, self.size, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.first, self.size, self.known, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0, 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of sorted keys, -1 for those not known."""
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            same = self.keys[at] == keys
+            out[same] = self.slots[at[same]]
+        if self.recent:
+            rest = np.flatnonzero(out < 0)
+            out[rest] = [self.recent.get(k, -1) for k in keys[rest].tolist()]
+        return out
+
+    def _add(self, keys: list[int], slots: range):
+        self.recent.update(zip(keys, slots, strict=True))
+        if len(self.recent) > self.most_recent:
+            both = np.concatenate([self.keys, np.fromiter(self.recent, np.uint64, len(self.recent))])
+            slots_ = np.concatenate([self.slots, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+            order = np.argsort(both)
+            self.keys, self.slots, self.recent = both[order], slots_[order], {}
 
     def _learn(self, keys: list[int], pieces: list[bytes], whole: np.ndarray):
         """whole: pieces that begin and end at a cut.  Put together, they are one text cut at the same places."""
-        if not hasattr(self, "bytes_of"):
-            spelled = self.tokenizer.get_vocab(with_added_tokens=False)
-            self.bytes_of = np.zeros(max(spelled.values()) + 1, np.int64)
-            self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a byte is a character of the vocabulary
         for of in (np.flatnonzero(whole), np.flatnonzero(~whole)):
             for at in range(0, len(of), 4096):
                 mine = of[at : at + 4096].tolist()
@@ -84,14 +104,15 @@ class UnitEncoder:
                     flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
                 while self.used + len(flat) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                n = len(self.known)
+                n = self.known
                 while n + len(mine) > len(self.first):
                     self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
                 self.ids[self.used : self.used + len(flat)] = flat
                 self.size[n : n + len(mine)] = sizes
                 self.first[n : n + len(mine)] = self.used + np.cumsum(sizes) - sizes
                 self.used += len(flat)
-                self.known.update(zip([keys[i] for i in mine], range(n, n + len(mine)), strict=True))
+                self.known += len(mine)
+                self._add([keys[i] for i in mine], range(n, n + len(mine)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -115,19 +136,18 @@ class UnitEncoder:
         inner = inner[start] & inner[end]
         keys = W.run_hash(W.runs(W._byte_values(False)[data], 2), start, end)
         distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        if len(names) > self.most // 2:
-            self.most = 4 * len(names)
-        new = [i for i, k in enumerate(names) if k not in self.known]
-        if new and len(self.known) + len(new) > self.most:
+        found = self._find(distinct)
+        new = np.flatnonzero(found < 0)
+        if len(new) and self.known + len(new) > self.most:
+            self.most = max(self.most, 2 * len(distinct))
             self._empty()
-            new = list(range(len(names)))
-        if new:
-            raw = data.tobytes()
-            at = index[new]
-            self._learn([names[i] for i in new], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], inner[at])
-        which = np.fromiter((self.known[k] for k in names), np.int64, len(names))[inverse]
-        size, first = self.size[which], self.first[which]
+            new = np.arange(len(distinct))
+        if len(new):
+            raw, at = data.tobytes(), index[new]
+            self._learn(distinct[new].tolist(), [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], inner[at])
+            found = self._find(distinct)
+        which = found[inverse]
+        size, first = self.size[which].astype(np.int64), self.first[which]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(first - (total - size), size) + np.arange(int(total[-1]))]
         sums = np.concatenate([[0], total])
