@@ -81,7 +81,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         ids = batch.column("_key").to_numpy(zero_copy_only=False)
         for chunk in W.chunks(batch.column("text"), W.SPACE):
             x = _Runs(chunk, window, gram)
-            yield {"anchor": x.anchor, "run": x.run, "_key": ids[chunk.row + x.row]}
+            once = np.unique(_salted(x.run ^ x.anchor, x.row), return_index=True)[1]  # a run that repeats in a document counts once
+            yield {"anchor": x.anchor[once], "run": x.run[once], "_key": ids[chunk.row + x.row[once]]}
 
     anchors = T.map_batches(docs, anchors_of, "anchor long, run long, _key long")
     classes = anchors.groupBy("anchor", "run").agg(F.min("_key").alias("head"), F.max("_key").alias("tail"))
@@ -101,7 +102,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             mine = (rows >= chunk.row) & (rows < chunk.row + chunk.rows)
             take = np.isin(_salted(x.run, x.row + chunk.row), _salted(wanted[mine], rows[mine]))
             starts, run = _spread(x.first[take], x.last[take])
-            yield {"anchor": x.anchor[take][run], "window": _window_hashes(chunk, starts, window), "_key": ids[chunk.row + x.row[take][run]]}
+            anchor, found, row = x.anchor[take][run], _window_hashes(chunk, starts, window), x.row[take][run]
+            once = np.unique(_salted(found ^ anchor, row), return_index=True)[1]
+            yield {"anchor": anchor[once], "window": found[once], "_key": ids[chunk.row + row[once]]}
 
     windows = T.map_batches(docs.join(opened, "_key"), windows_of, "anchor long, window long, _key long")
     firsts = windows.groupBy("anchor", "window").agg(F.min("_key").alias("head"), F.max("_key").alias("tail")).filter("head < tail")
