@@ -124,7 +124,8 @@ def edit_links(documents: DataFrame, edits: int = MAX_EDITS, min_chars: int = MI
                 for key, line, at, size in _signatures(x, pick, edits):
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[line].view(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "line", "at", "size"])
 
-    signed = documents.mapInArrow(sign, "key long, line long, at int, size int").dropDuplicates(["key", "line", "at", "size"])
+    signed = documents.mapInArrow(sign, "key long, line long, at int, size int")
+    signed = signed.repartition("key").dropDuplicates(["key", "line", "at", "size"])  # dealt once, for the counts and the join as well
     shared = T.written(_pairs(signed, group).select("key", "line", "large", "at", "size"))
     small = shared.filter("not large").select("key", "line")
     pairs = small.join(small.withColumnRenamed("line", "other"), "key").filter("line < other").select(F.col("line").alias("a"), F.col("other").alias("b")).distinct()
@@ -140,7 +141,7 @@ def edit_links(documents: DataFrame, edits: int = MAX_EDITS, min_chars: int = MI
                     part = pick[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[part].view(np.int64)), pa.array([x.chars[a:b].tobytes().decode("utf-32-le") for a, b in zip(x.start[part], x.end[part], strict=True)], pa.string())], ["line", "words"])
 
-    lines = T.written(documents.mapInArrow(texts, "line long, words string").join(wanted, "line", "left_semi").groupBy("line").agg(F.first("words").alias("words")))
+    lines = T.written(documents.mapInArrow(texts, "line long, words string").join(wanted.hint("merge"), "line", "left_semi").groupBy("line").agg(F.first("words").alias("words")))
     if edits == 1:
         pairs = pairs.unionByName(_dealt_anew(shared.filter("large"), lines)).distinct()
     else:
