@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import tables as T
 
 SHINGLE, FRACTION = 5, 0.25
-BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 10_000
+BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 50_000
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -96,10 +96,10 @@ def with_next(documents: DataFrame) -> tuple[DataFrame, Window]:
     lead = Window.partitionBy("_bucket").orderBy(F.col("_guest"), F.col("_key").desc(), "text")
     whole = docs.withColumn("_guest", F.lit(False))
     if heads:
-        to = {head: heads[(i + 1) % len(heads)][0] for i, (_, head) in enumerate(heads)}
-        guests = docs.filter(F.col("_key").isin([int(x) for x in to])).groupBy("doc_id", "_key").agg(F.min("text").alias("text"))
-        target = F.element_at(F.create_map(*[F.lit(int(x)) for k in to for x in (k, to[k])]), F.col("_key")).cast("int")
-        whole = whole.unionByName(guests.select("doc_id", "_key", "text", target.alias("_bucket"), F.lit(True).alias("_guest")))
+        to = ", ".join(f"({head}L, {heads[(i + 1) % len(heads)][0]})" for i, (_, head) in enumerate(heads))
+        target = F.broadcast(docs.sparkSession.sql(f"SELECT * FROM VALUES {to} AS t(_key, _bucket)"))  # one row for each range
+        guests = docs.drop("_bucket").join(target, "_key").groupBy("doc_id", "_key", "_bucket").agg(F.min("text").alias("text"))
+        whole = whole.unionByName(guests.select("doc_id", "_key", "text", "_bucket", F.lit(True).alias("_guest")))
     return whole.withColumn("next_text", F.lead("text").over(lead)), lead
 
 
