@@ -1 +1,22 @@
 """Corpus and conversation analytics planned as Spark DataFrames."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors' Python workers, once for each application, so that they can import it."""
+    context, here = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not here.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    path = f"{tempfile.mkdtemp(prefix='corpusloom-')}/corpusloom_source.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for x in sorted(here.rglob("*.py")):
+            z.write(x, f"{here.name}/{x.relative_to(here)}")
+    context.addPyFile(path)
