@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 #: Stands for a null doc_id: such rows come after all others.
 LAST_ID = (1 << 63) - 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it: later jobs start from its files."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -62,6 +66,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | di
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
