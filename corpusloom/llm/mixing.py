@@ -27,7 +27,7 @@ from . import tables as T
 WEIGHTS, MOST, BLOCK = (1, 2, 3), 3, 32
 #: Neighbouring Fibonacci numbers; their ratio is the golden ratio's to 18 digits.
 F45, F46 = 1134903170, 1836311903
-BUCKET_DOCS, CHUNK_SLOTS, CELLS = 20_000, 65_536, 1024
+BUCKET_DOCS, CHUNK_SLOTS, CELLS = 2_000, 65_536, 1024
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
