@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..operators import dialogues as D
 from ..operators import evaluation as E
 from .base import literal, query, table
 from .dialogues import ROWS, rows
