@@ -20,7 +20,6 @@ no hits or no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

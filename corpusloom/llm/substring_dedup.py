@@ -18,7 +18,6 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
