@@ -1,16 +1,21 @@
 """Line dedup by a segment-partition edit join.
 
 Lines (between line feeds, without white space around) are compared by edit
-distance.  A line of n characters is split into ``max_edits + 1`` segments of
-nearly equal length.  Two lines within ``max_edits`` edits share a segment of
-the longer's partner at a place shifted by few characters, so each line probes
+distance, up to a threshold that grows with the length of the longer of two
+lines (``BANDS``).  A line is split into one segment more than the threshold, of
+nearly equal length.  Two lines within the threshold share a segment of the
+longer's partner at a place shifted by few characters, so each line probes
 the index with few substrings of the right lengths, and the pairs found are
-verified by a banded bit-parallel automaton.
+verified by a banded bit-parallel automaton.  A line just below a band is in the
+index of that band as well.
 
-Lines that meet under one segment in a large group are dealt anew, by what is
-left of the line without one character: of the lines that agree there, all that
-lack the same place differ in that place alone, so linking them to the least of
-them connects all; no pair is lost and none of the others is formed.
+Lines that meet under one segment in a large group are dealt anew.  At a
+threshold of one: by what is left of the line without one character; of the
+lines that agree there, all that lack the same place differ in that place alone,
+so linking them to the least of them connects all; no pair is lost and none of
+the others is formed.  At a larger one: by the segments of what is left beside
+the segment they share.  Groups that are still large are cut into blocks, and
+each pair of blocks gives the edges of a forest that connects what is close.
 
 Linked lines form classes; of each class, the first line of the smallest doc_id
 stays, and every other line of it goes.
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +39,9 @@ from . import tables as T
 from . import words as W
 from .components import components
 
-MAX_EDITS, MIN_CHARS, GROUP = 1, 20, 32
+#: From how many characters of the longer line how many edits are allowed.
+BANDS = ((0, 1), (40, 2), (100, 3))
+MIN_CHARS, GROUP, BLOCK = 20, 32, 512
 _CHARS = 11
 _BLANK = np.zeros(1 << 16, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -88,72 +96,197 @@ def segment(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return at, short + (i >= parts - longer)
 
 
-def _signatures(x: Lines, pick: np.ndarray, edits: int):
-    """(key, line, where the segment stands in it, its length) of the lines picked: index entries and probes."""
+def _bands(edits) -> tuple:
+    return ((0, edits),) if isinstance(edits, int) else tuple(edits)
+
+
+def allowed(n: np.ndarray, bands) -> np.ndarray:
+    """The threshold of lines of n characters."""
+    return np.array([e for _, e in bands])[np.searchsorted([least for least, _ in bands], n, "right") - 1]
+
+
+def _signatures(x, pick: np.ndarray, edits: int, probe: bool = True):
+    """(key, line, where the segment stands in it, its length) of the lines picked: index entries, and probes if asked for."""
     start, n, parts = x.start[pick], x.size[pick], edits + 1
     for i in range(parts):
-        for d in range(edits + 1):
+        for d in range(edits + 1 if probe else 1):
             at, size = segment(n - d, i, parts)
-            low = np.maximum(-i, d - (edits - i))
-            high = np.minimum(i, d + (edits - i))
+            low = np.maximum(-i, d - (edits - i)) if probe else 0
+            high = np.minimum(i, d + (edits - i)) if probe else 0
             for shift in range(low, high + 1):
                 p = at + shift
                 ok = (p >= 0) & (p + size <= n) & (n - d >= parts)
                 a = start[ok] + p[ok]
-                code = (n[ok] - d).astype(np.uint64) * np.uint64(64) + np.uint64(i)
+                code = (n[ok] - d).astype(np.uint64) * np.uint64(4096) + np.uint64(i * 64 + edits)
                 key = W.mix(W.run_hash(x.runs, a, a + size[ok]) ^ W.mix(code))
                 yield key, pick[ok], p[ok], size[ok]
 
 
+def _banded(x: Lines, pick: np.ndarray, bands):
+    """(key, line, spot) of the lines picked, each at its own threshold, and in the index of a band that a longer partner has.
+
+    spot: where the segment stands, its length and the threshold, in 32, 28 and 4 bits."""
+    own = allowed(x.size[pick], bands)
+    for e in sorted({e for _, e in bands}):
+        below = np.zeros(len(pick), bool)
+        for d in range(1, e + 1):
+            below |= allowed(x.size[pick] + d, bands) == e
+        for some, probe in ((own == e, True), (below & (own != e), False)):
+            for key, line, at, size in _signatures(x, pick[some], e, probe):
+                yield key, line, at.astype(np.int64) << 32 | size.astype(np.int64) << 4 | e
+
+
 def _pairs(found: DataFrame, group: int) -> DataFrame:
     """Rows of keys that several lines have: key, line, and how many there are."""
     counts = found.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1")
     return found.join(counts, "key").withColumn("large", F.col("lines") > group)
 
 
-def edit_links(documents: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
+def _met(small: DataFrame) -> DataFrame:
+    """All pairs of lines of the same key."""
+    small = small.select("key", "line")
+    return small.join(small.withColumnRenamed("line", "other"), "key").filter("line < other").select(F.col("line").alias("a"), F.col("other").alias("b"))
+
+
+def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
     """Edges (a, b) of line hashes that connect all distinct lines within ``edits`` edits of one another.
 
-    documents: text. ``edits`` above 1 compares all lines of a large group."""
+    documents: text. ``edits``: a number for lines of every length, or (least length of the longer line, number) ascending."""
+    bands = _bands(edits)
+
+    def picked(x: Lines) -> np.ndarray:
+        pick = np.unique(x.hash, return_index=True)[1]
+        return pick[x.size[pick] >= np.maximum(min_chars, allowed(x.size[pick], bands) + 1)]
 
     def sign(batches):
         for batch in batches:
             for _, x in line_chunks(batch.column("text")):
-                pick = np.unique(x.hash, return_index=True)[1]
-                pick = pick[x.size[pick] >= max(min_chars, edits + 1)]
-                for key, line, at, size in _signatures(x, pick, edits):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[line].view(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "line", "at", "size"])
+                for key, line, spot in _banded(x, picked(x), bands):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[line].view(np.int64)), pa.array(spot)], ["key", "line", "spot"])
 
-    signed = documents.mapInArrow(sign, "key long, line long, at int, size int")
-    signed = signed.repartition("key").dropDuplicates(["key", "line", "at", "size"])  # dealt once, for the counts and the join as well
-    shared = T.written(_pairs(signed, group).select("key", "line", "large", "at", "size"))
-    small = shared.filter("not large").select("key", "line")
-    pairs = small.join(small.withColumnRenamed("line", "other"), "key").filter("line < other").select(F.col("line").alias("a"), F.col("other").alias("b")).distinct()
+    signed = documents.mapInArrow(sign, "key long, line long, spot long")
+    signed = signed.repartition("key").dropDuplicates(["key", "line", "spot"])  # dealt once, for the counts and the join as well
+    shared = T.written(_pairs(signed, group).select("key", "line", "large", "spot"))
+    pairs = _met(shared.filter("not large")).distinct()
 
     wanted = shared.select("line").distinct()
 
     def texts(batches):
         for batch in batches:
             for _, x in line_chunks(batch.column("text")):
-                pick = np.unique(x.hash, return_index=True)[1]
-                pick = pick[x.size[pick] >= max(min_chars, edits + 1)]
+                pick = picked(x)
                 for at in range(0, len(pick), 4096):
                     part = pick[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[part].view(np.int64)), pa.array([x.chars[a:b].tobytes().decode("utf-32-le") for a, b in zip(x.start[part], x.end[part], strict=True)], pa.string())], ["line", "words"])
 
     lines = T.written(documents.mapInArrow(texts, "line long, words string").join(wanted.hint("merge"), "line", "left_semi").groupBy("line").agg(F.first("words").alias("words")))
-    if edits == 1:
-        pairs = pairs.unionByName(_dealt_anew(shared.filter("large"), lines)).distinct()
-    else:
-        large = shared.filter("large").select("key", "line")
-        pairs = pairs.unionByName(large.join(large.withColumnRenamed("line", "other"), "key").filter("line < other").select(F.col("line").alias("a"), F.col("other").alias("b"))).distinct()
+    large = shared.filter("large").select("key", "line", (F.shiftright("spot", 32)).cast("int").alias("at"), F.shiftright("spot", 4).bitwiseAND(F.lit((1 << 28) - 1)).cast("int").alias("size"), F.col("spot").bitwiseAND(F.lit(15)).cast("int").alias("edits"))
+    pairs = pairs.unionByName(_dealt_anew(large.filter("edits = 1").drop("edits"), lines))
+    blocked = None
+    if max(e for _, e in bands) > 1:
+        again = T.written(_pairs(_beside(large.filter("edits > 1"), lines).repartition("key").dropDuplicates(["key", "line"]), group).select("key", "line", "large", "lines"))
+        pairs = pairs.unionByName(_met(again.filter("not large")))
+        blocked = _in_blocks(again.filter("large"), lines, bands)
+    pairs = pairs.distinct()
     both = pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(lines.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
 
     def verify(batch: pa.RecordBatch):
-        close = within(batch.column("x"), batch.column("y"), edits)
+        close = close_pairs(batch.column("x"), batch.column("y"), bands)
         yield {"a": batch.column("a").filter(pa.array(close)), "b": batch.column("b").filter(pa.array(close))}
 
-    return T.map_batches(both, verify, "a long, b long")
+    links = T.map_batches(both, verify, "a long, b long")
+    return links if blocked is None else links.unionByName(blocked)
+
+
+def close_pairs(x: pa.Array, y: pa.Array, bands) -> np.ndarray:
+    """Whether each pair is within the threshold of its longer line."""
+    most = allowed(np.maximum(*[pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in (x, y)]), bands)
+    out = np.zeros(len(most), bool)
+    for e in np.unique(most):
+        at = np.flatnonzero(most == e)
+        out[at] = within(x.take(pa.array(at)), y.take(pa.array(at)), int(e))
+    return out
+
+
+class _Rests:
+    """What is left of lines beside a segment, as code points, for ``_signatures``."""
+
+    def __init__(self, texts: list[str]):
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.runs = W.runs(W.mix(chars.astype(np.uint64) + np.uint64(0x51)), _CHARS)
+
+
+def _beside(large: DataFrame, lines: DataFrame) -> DataFrame:
+    """key, line of large groups dealt anew by the segments of what is left: lines within some edits that share a segment
+    are within as many beside it.  Where the segment is so short that nothing can be split, the key stays."""
+
+    def run(batch: pa.RecordBatch):
+        keys, names, at, size, edits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "at", "size", "edits"))
+        words = batch.column("words").to_pylist()
+        short = size < 3
+        yield {"key": keys[short], "line": names[short]}
+        for low in range(0, len(words), 1024):
+            x = _Rests([t[:a] + t[a + n :] for t, a, n in zip(words[low : low + 1024], at[low : low + 1024].tolist(), size[low : low + 1024].tolist(), strict=True)])
+            for e in np.unique(edits[low : low + 1024]):
+                pick = np.flatnonzero(~short[low : low + 1024] & (edits[low : low + 1024] == e))
+                for key, line, _, _ in _signatures(x, pick, int(e)):
+                    yield {"key": W.mix(key ^ W.mix(keys[low + line].view(np.uint64))).view(np.int64), "line": names[low + line]}
+
+    return T.map_batches(large.join(lines, "line"), run, "key long, line long")
+
+
+def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
+    """Verified edges of large groups: each pair of blocks of a group is a task of bounded size."""
+    blocks = F.ceil(F.col("lines") / BLOCK).cast("int")
+    dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "line", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def connect(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        found = _forest(table.column("words").combine_chunks(), table.column("own").to_numpy(), bands)
+        names = table.column("line").to_numpy()
+        return pa.table({"a": pa.array(names[found[:, 0]], pa.int64()), "b": pa.array(names[found[:, 1]], pa.int64())})
+
+    return dealt.join(lines, "line").groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
+
+
+def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
+    """Pairs (i, j) of close lines that connect all that are close; between two blocks, or within the only one."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    n, across = len(words), len(np.unique(own)) > 1
+    x = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in words.to_pylist()]
+    size = np.array([len(c) for c in x])
+    letters = np.array([np.bincount(c % 64, minlength=64) for c in x], np.int32).reshape(n, 64)
+    most = int(max(e for _, e in bands))
+    unseen, out = np.ones(n, bool), []
+
+    def near(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines not seen that may be close to one of u: an edit changes two counts of letters at most."""
+        rest, left, right = np.flatnonzero(unseen), [], []
+        for i in u.tolist():
+            at = rest[np.abs(size[rest] - size[i]) <= most]
+            at = at[own[at] != own[i]] if across else at
+            at = at[np.abs(letters[at] - letters[i]).sum(axis=1) <= 2 * most]
+            left.append(np.full(len(at), i))
+            right.append(at)
+        return np.concatenate(left), np.concatenate(right)
+
+    for seed in range(n):
+        if not unseen[seed]:
+            continue
+        unseen[seed], front = False, np.array([seed])
+        while len(front):
+            i, j = near(front)
+            if not len(i):
+                break
+            ok = close_pairs(words.take(pa.array(i)), words.take(pa.array(j)), bands)
+            front, first = np.unique(j[ok], return_index=True)
+            unseen[front] = False
+            out.append(np.stack([i[ok][first], front], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def _dealt_anew(large: DataFrame, lines: DataFrame) -> DataFrame:
@@ -233,7 +366,7 @@ def within(x: pa.Array, y: pa.Array, edits: int) -> np.ndarray:
     return out
 
 
-def removed_lines(documents: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
+def removed_lines(documents: DataFrame, edits=BANDS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
     """_key, text_hash, n_lines, removed (numbers of lines that go, from 0, blank lines counted) of each distinct document row, and copies of the row."""
     docs = documents.select(T.doc_key().alias("_key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 

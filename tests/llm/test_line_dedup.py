@@ -67,6 +67,41 @@ def test_equals_brute_force(spark, edits, group):
     assert found == brute(docs, edits, 12)
 
 
+def threshold(a, b, bands):
+    return max(e for least, e in bands if max(len(a), len(b)) >= least)
+
+
+@pytest.mark.parametrize("edits,group", [(((0, 1), (16, 2), (24, 3)), 32), (((0, 1), (16, 2), (24, 3)), 1), (2, 1), (3, 3)])
+def test_thresholds_by_length(spark, edits, group):
+    docs = fixture(group + 7, 60)
+    bands = ((0, edits),) if isinstance(edits, int) else edits
+    lines = {x.strip("\t\n\v\f\r ") for _, t in docs for x in t.split("\n")} - {""}
+    names = sorted(x for x in lines if len(x) >= 12)
+    near = [(a, b) for i, a in enumerate(names) for b in names[:i] if abs(len(a) - len(b)) <= 3 and distance(a, b) <= threshold(a, b, bands)]
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near:
+        root[find(a)] = find(b)
+    classes = {find(x) for x in names}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = [r for r in L.removed_lines(df, edits=edits, min_chars=12, group=group).collect()]
+    left = [x.strip("\t\n\v\f\r ") for r in kept for i, x in enumerate(dict(docs)[r["_key"]].split("\n")) if i not in r["removed"]]
+    left = [x for x in left if len(x) >= 12]
+    assert len(left) == len(classes) and {find(x) for x in left} == classes
+
+
+def test_two_typos_in_a_long_line(spark):
+    line = " ".join(f"word{i * 37 % 101}" for i in range(30))
+    docs = [(1, line), (2, line.replace("word37", "wird37").replace("word10", "worm10")), (3, line[:60]), (4, line[:30] + "x" + line[31:59])]
+    found = {r["_key"]: r["removed"] for r in L.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: [], 2: [0], 3: [], 4: [0]}
+
+
 def test_banded_distance():
     r = random.Random(5)
     a, b = [], []
