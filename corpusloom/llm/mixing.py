@@ -5,7 +5,9 @@ of words that is cut into blocks of ``block`` words.  Slot i of the schedule
 stands at the golden-ratio point frac(i * F45 / F46) (a Fibonacci lattice, so
 it is exact integer arithmetic); the cumulative targets map points to sources.
 The slots of a source are ranked, and rank r takes its block r mod (number of
-blocks): when all blocks are taken the source starts over.
+blocks): when all blocks are taken the source starts over.  Slots that would
+take a source's blocks more than ``most`` times go, in the schedule's order, to
+the sources that have room, by points of the same lattice over their shares.
 
 Targets share all words by weight, but stop at ``most`` times the source's
 words; what is above is shared again by weight until no source is above.
@@ -19,6 +21,9 @@ buckets of bounded size, so no source has to fit one task.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,8 +91,31 @@ def streams(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return ordered.join(offsets, (F.col("place") == F.col("p")) & (F.col("bucket") == F.col("b"))).withColumn("first", F.col("offset") + F.col("local")).drop("p", "b", "offset", "local", "bucket")
 
 
-def schedule(sources: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
-    """slot, place (of the source), rank, block and epoch of every slot of the mix."""
+def handed_over(sources: list, most: int = MOST) -> list[tuple[int, int]]:
+    """(place, rank) for each slot above its source's ``most`` epochs, in the schedule's order.
+
+    sources: (place, low, high, blocks, slots) of each, of which there are few; so are the slots above."""
+    room = {p: most * blocks - n for p, _, _, blocks, n in sources}
+    rank = {p: n for p, *_, n in sources}
+    left, out = sum(-r for r in room.values() if r < 0), []
+    while left:
+        open_ = [(p, high - low) for p, low, high, *_ in sorted(sources) if room[p] > 0 and high > low]
+        up_to = list(accumulate(w for _, w in open_))
+        again = 0
+        for i in range(left):
+            place = open_[bisect_right(up_to, i * F45 % F46 * up_to[-1] // F46)][0]
+            if room[place] > 0:
+                out.append((place, rank[place]))
+                room[place] -= 1
+                rank[place] += 1
+            else:
+                again += 1
+        left = again
+    return out
+
+
+def schedule(sources: DataFrame, slots: int, block: int = BLOCK, most: int = MOST) -> DataFrame:
+    """slot, place (of the source), rank, block and epoch of every slot of the mix; no epoch is ``most`` or above."""
     spark = sources.sparkSession
     width = -(-F46 // CELLS)
     cells = sources.filter("high > low").select(
@@ -96,10 +124,17 @@ def schedule(sources: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % F46) * F45 % F46).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / width))
     dealt = points.join(cells, "cell").filter("point >= low and point < high").withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
-    counts = dealt.groupBy("place", "chunk").agg(F.count("*").alias("n"))
+    counts = T.written(dealt.groupBy("place", "chunk").agg(F.count("*").alias("n")))
     before = counts.select("place", "chunk", (F.sum("n").over(Window.partitionBy("place").orderBy("chunk")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1
     ranked = dealt.withColumn("local", rank).join(before, ["place", "chunk"]).withColumn("rank", F.col("before") + F.col("local"))
+    ranked = ranked.select("slot", "place", "rank", "blocks")
+    each = sources.select("place", "low", "high", F.ceil(F.col("source_size") / block).alias("blocks")).join(counts.groupBy("place").agg(F.sum("n").alias("n")), "place", "left")
+    moved = handed_over([(r["place"], r["low"], r["high"], r["blocks"], r["n"] or 0) for r in each.collect()], most)  # a row for each source
+    if moved:
+        above = ranked.filter(F.col("rank") >= most * F.col("blocks")).select("slot").withColumn("i", F.row_number().over(Window.orderBy("slot")) - 1)  # a few for each source
+        to = spark.createDataFrame([(i, *x) for i, x in enumerate(moved)], "i int, place int, rank long").join(sources.select("place", F.ceil(F.col("source_size") / block).alias("blocks")), "place")
+        ranked = ranked.filter(F.col("rank") < most * F.col("blocks")).unionByName(above.join(to, "i").drop("i"))
     return ranked.select("slot", "place", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
 
 
@@ -119,7 +154,7 @@ def mixed(documents: DataFrame, weights=WEIGHTS, most: int = MOST, block: int =
     sources = T.written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, most))
     total = sources.agg(F.max("total")).first()[0] or 0
     placed = T.written(streams(sized, sources))
-    uses = schedule(sources, -(-total // block), block).groupBy("place", "block").agg(F.count("*").alias("uses"))
+    uses = schedule(sources, -(-total // block), block, most).groupBy("place", "block").agg(F.count("*").alias("uses"))
     parts = segments(placed.select("_row", "place", "size", "first"), block).select("_row", "place", "block", "words")
     taken = parts.join(uses, ["place", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     return placed.join(taken, "_row", "left").select("_row", "doc_id", "source", "size", "text_hash", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

@@ -126,6 +126,26 @@ def test_mix_edges(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_mix_stops_small_sources(spark):
+    for docs in ([(1, "w " * 32, "a"), (2, "w " * 20_000, "b")], [(1, "w " * 64, "a"), (2, "w " * 10_000, "b")], [(i, "w " * (32 * i if i < 10 else 50_000), f"s{i:02d}") for i in range(1, 11)]):
+        rows = mixing.mixed(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+        assert all(r["taken"] <= 3 * r["size"] for r in rows)
+        words = sum(r["size"] for r in rows)
+        assert abs(sum(r["taken"] for r in rows) - words) <= 64 and all(abs(r["taken"] - r["target"]) <= 0.01 * words for r in rows)
+    sources = spark.createDataFrame([(1, 32, 0, 9), (2, 20_000, 9, 1_000_000)], "place int, source_size long, low long, high long")
+    sources = sources.withColumn("low", F.col("low") * (mixing.F46 // 1_000_000)).withColumn("high", F.when(F.col("place") == 2, mixing.F46).otherwise(F.lit(9 * 8 * (mixing.F46 // 10_000))))
+    sources = sources.withColumn("low", F.when(F.col("place") == 2, F.lit(9 * 8 * (mixing.F46 // 10_000))).otherwise(F.col("low")))
+    slots = mixing.schedule(sources, 626).collect()
+    assert sorted(r["slot"] for r in slots) == list(range(626)) and len({(r["place"], r["rank"]) for r in slots}) == 626
+    assert max(r["epoch"] for r in slots) == 2 and sum(r["place"] == 1 for r in slots) == 3
+
+
+def test_handed_over_fills_what_is_open():
+    assert mixing.handed_over([(1, 0, 5, 1, 3), (2, 5, 9, 4, 2)]) == []
+    moved = mixing.handed_over([(1, 0, 5, 1, 9), (2, 5, 9, 1, 2), (3, 9, 90, 9, 4)])
+    assert len(moved) == 6 == len(set(moved)) and all(r < {2: 3, 3: 27}[p] for p, r in moved)
+
+
 def test_huffman():
     r = np.random.default_rng(3)
     for kinds, n in ((1, 10), (2, 700), (300, 5000), (70_000, 200_000)):
