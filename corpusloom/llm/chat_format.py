@@ -13,6 +13,11 @@ null turn comes last; a null conv_id is a conversation of its own; equal turns
 are ordered by role and text; repeated rows each stay; a conversation of system
 turns alone has no participant and no rows; marks within texts are made
 harmless; an empty table gives no rows; further columns are ignored.
+
+Participants are told apart by the role itself.  A name is the role with "_" for
+every character outside A-Za-z0-9_-; where that is the name of several roles of
+a conversation, those with such characters have %XX; (the UTF-8 bytes) for each
+of them instead, and a null or empty role is %null or %empty.
 """
 
 from __future__ import annotations
@@ -27,21 +32,42 @@ SYSTEM = ("system",)
 CHUNK = 256
 
 
+_OTHER = "[^A-Za-z0-9_-]"
+
+
 def _speaker(role: Column) -> Column:
-    name = F.regexp_replace(F.coalesce(role, F.lit("")), "[^A-Za-z0-9_-]", "_")
+    name = F.regexp_replace(F.coalesce(role, F.lit("")), _OTHER, "_")
     return F.when(F.coalesce(role, F.lit("")) == "", F.lit("unknown")).otherwise(name)
 
 
+def _spelled(role: Column) -> Column:
+    """A name no other role has: a plain role as it is, else with the bytes of its other characters."""
+    code = lambda c: F.concat(F.lit("%"), F.hex(F.encode(c, "UTF-8")), F.lit(";"))
+    letters = F.filter(F.split(role, ""), lambda c: c != "")
+    escaped = F.array_join(F.transform(letters, lambda c: F.when(c.rlike(_OTHER), code(c)).otherwise(c)), "")
+    return F.when(role.isNull(), F.lit("%null")).when(role == "", F.lit("%empty")).otherwise(escaped)
+
+
+def _named(turns: DataFrame) -> DataFrame:
+    """conv_id, role, name: a row for each role of a conversation."""
+    found = turns.groupBy("conv_id", "role").agg(F.lit(1).alias("_")).withColumn("speaker", _speaker(F.col("role")))
+    alike = F.count("*").over(Window.partitionBy("conv_id", "speaker"))
+    return found.select("conv_id", "role", F.when(alike > 1, _spelled(F.col("role"))).otherwise(F.col("speaker")).alias("speaker"))
+
+
 def rotations(conversations: DataFrame, system=SYSTEM) -> DataFrame:
     """conv_id, participant, turn, place, segment, start, mask_start, mask_end (-1 where there is nothing to learn)."""
     turns = conversations.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
-        _speaker(F.col("role")).alias("speaker"),
+        F.col("role").cast("string").alias("role"),
         F.regexp_replace(F.coalesce("text", F.lit("")), "<\\|", "< |").alias("text"),
     )
+    names = _named(turns)
+    mine = names.select(F.col("conv_id").alias("c"), F.col("role").alias("r"), "speaker")
+    turns = turns.join(mine, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("role").eqNullSafe(F.col("r"))).drop("c", "r")
     turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit((1 << 62) - 1)))
-    people = turns.filter(~F.col("speaker").isin(*system)).groupBy(F.col("conv_id").alias("c"), F.col("speaker").alias("participant")).agg(F.lit(1).alias("_")).drop("_")
+    people = names.filter(~F.col("speaker").isin(*system)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("participant"))
     views = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.col("speaker") == F.col("participant")
     head = (

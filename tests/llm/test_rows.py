@@ -200,6 +200,19 @@ def test_chat_edges(spark):
     assert chat_format.rotations(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_participants_apart(spark):
+    roles = ["\u0410\u043d\u043d\u0430", "\u0418\u0432\u0430\u043d", "bob b", "bob_b", None, "unknown", "", "system", "\U0001f600", "b c"]
+    turns = [(1, i, r, f"t{i}") for i, r in enumerate(roles)] + [(2, 0, "bob b", "x"), (2, 1, "ann", "y")]
+    rows = chat_format.rotations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    first = [r for r in rows if r["conv_id"] == 1]
+    assert len({r["participant"] for r in first}) == len(roles) - 1 and len(first) == (len(roles) - 1) * len(roles)
+    for p in {r["participant"] for r in first}:
+        assert sum(r["mask_start"] >= 0 for r in first if r["participant"] == p) == 1
+        assert len({r["segment"].split("\n")[0] for r in first if r["participant"] == p}) == len(roles)
+    assert {"bob_b", "unknown", "b_c"} <= {r["participant"] for r in first}
+    assert {r["participant"] for r in rows if r["conv_id"] == 2} == {"bob_b", "ann"}
+
+
 def test_pipeline(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from corpusloom.llm import tables
