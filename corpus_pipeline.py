@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the token files."""
-    return token_output.encoded_documents(docs.select("doc_id", "text"), token_output.public_tokenizer())
+    return token_output.encoded_documents(docs.select("doc_id", "text"), token_output.public_tokenizer(), special=True)
 
 
 STAGES = [

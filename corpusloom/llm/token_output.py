@@ -16,11 +16,13 @@ writes to holds it.
 Cases: a null or empty text has only the end id; a null doc_id comes last;
 equal doc_ids are ordered by text; repeated rows each stay; an empty table gives
 no blocks; a very long text is one document of one block; further columns are
-ignored.  Names of special tokens in a text are ordinary text.
+ignored.  With ``special``, names of added tokens in a text get their ids, as
+by the library's default; else they are ordinary text.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -47,16 +49,24 @@ class UnitEncoder:
     A text is cut before each single space that stands between two characters
     that are no white space.  The byte-level pre-tokenizer cuts there as well,
     so the pieces' ids put together are the text's ids.  The table of known
-    pieces is emptied when it is full."""
+    pieces is emptied when it is full.
 
-    def __init__(self, path: str, most: int = 3_000_000, recent: int = 200_000):
+    With ``special``, a text is cut around the names of added tokens too, as the
+    tokenizer does before all else.  Texts with names that take blanks or words
+    beside them into account are one piece."""
+
+    def __init__(self, path: str, special: bool = False, most: int = 3_000_000, recent: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [x for x in self.tokenizer.get_added_tokens_decoder().values() if special or not x.special]
+        names = sorted((x.content.encode() for x in added), key=len, reverse=True)
+        self.names = re.compile(b"|".join(map(re.escape, names))) if names else None
+        self.alone = not any(x.lstrip or x.rstrip or x.single_word for x in added)
         spelled = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(spelled.values()) + 1, np.int64)
         self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a byte is a character of the vocabulary
@@ -114,6 +124,21 @@ class UnitEncoder:
                 self.known += len(mine)
                 self._add([keys[i] for i in mine], range(n, n + len(mine)))
 
+    def _around(self, data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Where names of added tokens begin and end; cuts that are none beside them are taken back."""
+        raw, out = data.tobytes(), []
+        if self.names is None or not self.names.search(raw):
+            return np.zeros(0, np.int64)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found = [(a + m.start(), a + m.end()) for m in self.names.finditer(raw[a:b])]
+            if found and not self.alone:
+                cut[a:b] = False
+            elif found:
+                for x, y in found:
+                    cut[x + 1 : y] = False
+                    out += [x, y]
+        return np.array(out, np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         n = len(data)
@@ -128,9 +153,10 @@ class UnitEncoder:
             wide = (after >= 0xE1) & (after <= 0xE3) | (after == 0xC2) & np.isin(data[np.minimum(at + 2, n - 1)], (0x85, 0xA0))
             wide |= (before >= 0x80) & ((data[np.maximum(at - 2, 0)] == 0xC2) & np.isin(before, (0x85, 0xA0)) | np.isin(data[np.maximum(at - 3, 0)], (0xE1, 0xE2, 0xE3)))
             cut[at[wide]] = False
+        edges = np.concatenate([offsets, self._around(data, offsets, cut)])
         inner = cut.copy()
-        cut[offsets] = True
-        inner[offsets] = False
+        cut[edges] = True
+        inner[edges] = False
         edges = np.flatnonzero(cut)
         start, end = edges[:-1], edges[1:]
         inner = inner[start] & inner[end]
@@ -155,8 +181,8 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+def _encoder(path: str, special: bool = False) -> UnitEncoder:
+    return UnitEncoder(path, special)
 
 
 def _blocks(ids, texts, encoder: UnitEncoder, end_id: int):
@@ -170,13 +196,13 @@ def _blocks(ids, texts, encoder: UnitEncoder, end_id: int):
         yield ids[chunk.row : chunk.row + chunk.rows], out, counts + 1
 
 
-def _encoded(documents: DataFrame, path: str, end_id: int, block_tokens: int) -> DataFrame:
+def _encoded(documents: DataFrame, path: str, end_id: int, block_tokens: int, special: bool) -> DataFrame:
     """Blocks of ids in the order of doc_id, compressed for the way to the counts."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = docs.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
 
     def run(batches):
-        encoder, part = _encoder(path), TaskContext.get().partitionId()
+        encoder, part = _encoder(path, special), TaskContext.get().partitionId()
         pack = zstandard.ZstdCompressor(level=3)
         held, block, start = [], 0, 0
 
@@ -213,10 +239,10 @@ _BLOCK = pa.schema(
 )
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, limit: int = huffman.LIMIT, step: int = huffman.STEP) -> None:
-    """Encode documents (doc_id, text) into a dataset at ``path``."""
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, limit: int = huffman.LIMIT, step: int = huffman.STEP, special: bool = False) -> None:
+    """Encode documents (doc_id, text) into a dataset at ``path``; with ``special``, names of added tokens in a text are these tokens."""
     spark = documents.sparkSession
-    blocks = T.written(_encoded(documents, tokenizer, end_id, block_tokens))
+    blocks = T.written(_encoded(documents, tokenizer, end_id, block_tokens, special))
     pairs = blocks.select(F.explode(F.arrays_zip("used", "count")).alias("x")).groupBy(F.col("x.used").alias("token_id")).agg(F.sum("x.count").alias("n"))
     counted = pairs.toPandas()  # as many rows as the vocabulary has ids
     counts = np.zeros(int(counted["token_id"].max()) + 1 if len(counted) else 1, np.int64)
@@ -280,11 +306,11 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return T.map_batches(spark.read.parquet(f"{path}/blocks"), unpack, schema)
 
 
-def encoded_documents(documents: DataFrame, tokenizer: str, ids: bool = False) -> DataFrame:
+def encoded_documents(documents: DataFrame, tokenizer: str, ids: bool = False, special: bool = False) -> DataFrame:
     """Write documents' ids into a new dataset in the shared folder and read them back."""
     spark = documents.sparkSession
     path = f"{T.shared_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
-    write_tokens(documents, path, tokenizer)
+    write_tokens(documents, path, tokenizer, special=special)
     return read_tokens(spark, path, ids)
 
 
@@ -295,4 +321,4 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_token_output(spark, sf_dir: str) -> DataFrame:
-    return encoded_documents(T.read(spark, sf_dir, "documents"), public_tokenizer())
+    return encoded_documents(T.read(spark, sf_dir, "documents"), public_tokenizer(), special=True)

@@ -178,6 +178,21 @@ def test_tokens(spark, data):
     assert token_output.encoded_documents(df.limit(0), path).count() == 0
 
 
+def test_tokens_by_the_plain_library_call(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer, m = Tokenizer.from_file(token_output.public_tokenizer()), "<|endoftext|>"
+    texts = [f"a {m} b", m, m + m, f"x y{m}z  {m}\n\n{m} w  ", f"{m} ", f" {m}", f"é日本{m}é a b c", "<|endoftext|", f"a b c d {m[:-1]}", m[:5], m[5:], "plain words here", None, f"don't{m}'s {m}'s it"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(token_output.op7_token_output(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    at = 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert tokenizer.encode(f"a {m} b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_chat_on_table(spark, data):
     same(chat_format.op10_chat_format(spark, data), chat_format.ORACLE, data)
 
