@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -191,14 +193,30 @@ def leak_exact(spark, sf_dir):
 
 @query("leak_contains", "SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY item_id")
 def leak_contains(spark, sf_dir):
-    """Documents that hold a whole item.  A document and an item meet by the item's first five words, then the text decides."""
+    """Documents that hold a whole item.  A document and an item meet by words of the item, then the text decides.
+
+    An item of seven words or more is met by five words after its first, a shorter one by all words between its first and
+    last, one of two words or one by the words of documents that end with its first word or hold it, and a blank one by
+    every document."""
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") >= 7)
-    items = items.withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")))  # the first word may begin inside another
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"), words(F.col("text")).alias("w")).filter("item is not null").withColumn("n", F.least(F.lit(7), F.size("w")))
+    long = items.filter("n > 2").withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n") - 2), " ")))  # the first word may begin inside another
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("doc"), words(F.col("text")).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " ")))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
-    hits = keys.join(items.select("item_id", "key", "item"), "key").select("doc_id", "item_id", "item").distinct()
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (k - 1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))
+    sizes = {r["n"] for r in items.select("n").distinct().collect()}  # eight at most
+    found = []
+    for n in sorted(sizes - {0, 1, 2}) or [7]:
+        keys = docs.select("doc_id", F.explode(F.array_distinct(grams(n - 2))).alias("key"))
+        found.append(keys.join(long.filter(F.col("n") == n).select("item_id", "key", "item"), "key").select("doc_id", "item_id", "item"))
+    if sizes & {1, 2}:
+        held = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
+        short = items.filter("n in (1, 2)").select("item_id", "item", "n", F.get("w", F.lit(0)).alias("one"))
+        near = F.when(F.col("n") == 1, F.contains("word", "one")).otherwise(F.endswith("word", "one"))
+        met = held.select("word").distinct().join(F.broadcast(short), near).select("word", "item_id", "item")
+        found.append(held.join(met, "word").select("doc_id", "item_id", "item"))
+    if 0 in sizes:
+        found.append(docs.select("doc_id").crossJoin(items.filter("n = 0").select("item_id", "item")))
+    hits = reduce(lambda a, b: a.unionByName(b), found).distinct()
     return hits.join(docs.select("doc_id", "doc"), "doc_id").filter(F.contains("doc", "item")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
