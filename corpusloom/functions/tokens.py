@@ -200,10 +200,11 @@ def next_tokens(frame: Column) -> Column:
     return F.struct(F.slice(frame, F.lit(1), n - 1).alias("x"), F.slice(frame, F.lit(2), n - 1).alias("y"))
 
 
-def sft_labels(messages: Column, ids: dict[str, int], length: int, ignore: int = -100, left: bool = True, final_only: bool = False) -> Column:
+def sft_labels(messages: Column, ids: dict[str, int], length: int | None, ignore: int = -100, left: bool = True, final_only: bool = False) -> Column:
     """input_ids, labels, attention_mask of messages (role, tokens): a mark, the tokens and an end id for each turn.
 
-    Labels stand one place before the id they ask for, on the assistant's tokens and end ids alone."""
+    Labels stand one place before the id they ask for, on the assistant's tokens and end ids alone.
+    Without a length nothing is cut and nothing padded."""
     roles = F.create_map(*[F.lit(x) for r in ("user", "assistant", "system") for x in (r, ids[r])])
     last = F.size(messages) - 1
 
@@ -218,6 +219,8 @@ def sft_labels(messages: Column, ids: dict[str, int], length: int, ignore: int =
     inputs = F.transform(flat, lambda a: a["id"])
 
     def fitted(x: Column, fill: int) -> Column:
+        if length is None:
+            return x
         cut = F.when(F.size(x) > length, F.slice(x, F.lit(-length) if left else F.lit(1), F.lit(length))).otherwise(x)
         pad = F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(length) - F.size(cut)))
         return F.concat(pad, cut) if left else F.concat(cut, pad)

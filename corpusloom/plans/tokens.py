@@ -157,8 +157,8 @@ def _dialogue_tokens(spark, sf_dir):
     f"WITH t AS (SELECT conv_id, role, CAST(len({_WORDS}) AS BIGINT) AS n FROM conversations) SELECT conv_id, CAST(sum(n + 2) AS BIGINT) AS real_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS trained FROM t GROUP BY conv_id",
 )
 def sft_labels(spark, sf_dir):
-    """Tokens and labels of whole dialogues, in sequences long enough for all."""
-    found = _dialogue_tokens(spark, sf_dir).select("conv_id", K.sft_labels(F.col("messages"), IDS, 2048).alias("x"))
+    """Tokens and labels of whole dialogues, in sequences that are neither cut nor padded."""
+    found = _dialogue_tokens(spark, sf_dir).select("conv_id", K.sft_labels(F.col("messages"), IDS, None).alias("x"))
     return found.select("conv_id", F.size(F.filter("x.attention_mask", lambda m: m == 1)).cast("long").alias("real_tokens"), F.size(F.filter("x.labels", lambda y: y != -100)).cast("long").alias("trained"))
 
 

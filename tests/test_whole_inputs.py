@@ -1,6 +1,7 @@
 """Plans on inputs that the given tables do not have, against their SQL."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from corpusloom.plans import registry
 
@@ -21,3 +22,12 @@ def test_leak_contains_finds_short_items(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     mine, theirs = both(spark, tmp_path, "leak_contains")
     assert mine == theirs and len(mine) >= 13
+
+
+def test_sft_labels_of_a_long_dialogue(spark, data, tmp_path):
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    first = turns.agg(F.min("conv_id")).first()[0]
+    text = F.when(F.col("conv_id") == first, F.expr("repeat('word ', 1500)")).otherwise(F.col("text"))
+    turns.withColumn("text", text).write.parquet(f"{tmp_path}/conversations.parquet")
+    mine, theirs = both(spark, tmp_path, "sft_labels")
+    assert mine == theirs and max(r[1] for r in mine) > 2048
