@@ -29,6 +29,9 @@ EXTRA_TOKENS = 100
 SPACING = ("Ġ", "Ċ", "#", "-", "_", "=", "*", ".")
 # End of fixed values.
 
+#: Pairs that come to the driver for a pass of merges.
+PASS = 64
+
 SPECIAL_TOKENS = (*CORE_TOKENS, *(f"<extra_{i}>" for i in range(EXTRA_TOKENS)))
 SPACING_TOKENS = tuple(c * 2**i for c in SPACING for i in range(1, 10))
 
@@ -95,22 +98,39 @@ def merge_pair(text: Column, left: str, right: str) -> Column:
     return F.replace(text, F.lit(f"\x01{left}\x02\x01{right}\x02"), F.lit(f"\x01{left}{right}\x02"))
 
 
-def train_merges(tokens: DataFrame, merges: int, every: int = 16) -> list[tuple[str, str, int]]:
+def apart_enough(best: list, merges: int) -> list:
+    """The first of the most frequent pairs that can be merged in one pass, as one by one: pairs of symbols of their own,
+    more frequent than any other pair that has one of their symbols, and so than any that a merge can make."""
+    seen, least, out = set(), 0, []
+    for p in best:
+        if seen & {p["left"], p["right"]}:
+            least = p["freq"]
+            break
+        seen |= {p["left"], p["right"]}
+        out.append(p)
+    else:
+        least = best[-1]["freq"] if len(best) == PASS else 0
+    return ([p for p in out if p["freq"] > least] or out[:1])[:merges]
+
+
+def train_merges(tokens: DataFrame, merges: int, every: int = 4) -> list[tuple[str, str, int]]:
     """The merges of a byte-pair vocabulary: the most frequent pair, ties by its letters, again and again.
 
-    The table of distinct tokens is written every few merges; only the best pair comes to the driver."""
-    spark, out = tokens.sparkSession, []
+    The table of distinct tokens is written every few passes; only the best pairs come to the driver."""
+    spark, out, i = tokens.sparkSession, [], 0
     now = tokens.select(joined(splits(F.col("token"))).alias("text"), "freq")
-    for i in range(merges):
+    while len(out) < merges:
         if i % every == 0:
             path = scratch(spark)
             now.write.parquet(path)
             now = spark.read.schema(now.schema).parquet(path)
-        best = pair_counts(now.select(apart(F.col("text")).alias("symbols"), "freq")).orderBy(F.desc("freq"), "left", "right").first()
-        if best is None:
+        best = pair_counts(now.select(apart(F.col("text")).alias("symbols"), "freq")).orderBy(F.desc("freq"), "left", "right").limit(PASS).collect()
+        if not best:
             break
-        out.append((best["left"], best["right"], best["freq"]))
-        now = now.withColumn("text", merge_pair(F.col("text"), best["left"], best["right"]))
+        for p in apart_enough(best, merges - len(out)):
+            out.append((p["left"], p["right"], p["freq"]))
+            now = now.withColumn("text", merge_pair(F.col("text"), p["left"], p["right"]))
+        i += 1
     return out
 
 

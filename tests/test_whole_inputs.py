@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from corpusloom.functions import tokens
 from corpusloom.plans import registry
 
 
@@ -31,3 +32,27 @@ def test_sft_labels_of_a_long_dialogue(spark, data, tmp_path):
     turns.withColumn("text", text).write.parquet(f"{tmp_path}/conversations.parquet")
     mine, theirs = both(spark, tmp_path, "sft_labels")
     assert mine == theirs and max(r[1] for r in mine) > 2048
+
+
+def test_many_merges_a_pass_equal_one_by_one(spark, monkeypatch):
+    counts = {w: 1 + i * i % 7 for i, w in enumerate("the then thesis banana bandana aaaa aaaaa sing singing king xyz zyx ox fox foxes".split())}
+    words, want = {w: list(w) for w in counts}, []
+    for _ in range(25):
+        pairs = {}
+        for w, s in words.items():
+            for x in zip(s, s[1:]):
+                pairs[x] = pairs.get(x, 0) + counts[w]
+        if not pairs:
+            break
+        a, b = min(pairs, key=lambda x: (-pairs[x], x))
+        want.append((a, b, pairs[a, b]))
+        for s in words.values():
+            i = 0
+            while i < len(s) - 1:
+                if (s[i], s[i + 1]) == (a, b):
+                    s[i : i + 2] = [a + b]
+                i += 1
+    passes, real = [], tokens.apart_enough
+    monkeypatch.setattr(tokens, "apart_enough", lambda *a: passes.append(real(*a)) or passes[-1])
+    assert tokens.train_merges(spark.createDataFrame(list(counts.items()), "token string, freq long"), 25) == want
+    assert len(passes) < len(want)
