@@ -20,3 +20,18 @@ def ship(spark) -> None:
         for x in sorted(here.rglob("*.py")):
             z.write(x, f"{here.name}/{x.relative_to(here)}")
     context.addPyFile(path)
+
+
+#: File tables of fewer bytes are left in the splits they come in.
+_LEAST_BYTES = 4_000_000
+
+
+def spread(df):
+    """A file table of fewer splits than there are cores, dealt to all cores; any other table as it is.
+
+    Only a table of few files, and so of bounded size, is ever dealt."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not _LEAST_BYTES <= size <= cores * (128 << 20) or len(df.inputFiles()) > cores // 2:
+        return df
+    return df.repartition(cores)

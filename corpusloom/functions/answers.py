@@ -126,13 +126,28 @@ def coherence(answer: Column, unknown: Column, unknown_elsewhere: Column) -> Col
     return result(~empty & (unknown.isNull() | (F.size(unknown) == 0)), reason=reason, words=words)
 
 
-METRICS: dict[str, Callable] = {"expected_stop_token": stop_token, "contains_expected": contains_expected, "constraint_satisfied": constraint, "repetition": repetition, "coherence": coherence}
+def not_empty(answer: Column) -> Column:
+    return result(strip_trailing_tags(answer).rlike("[\\p{L}\\p{N}]"))
 
 
-def register(name: str, metric: Callable) -> None:
+#: Metric and the columns that it needs beside the answer.
+METRICS: dict[str, tuple[Callable, tuple[str, ...]]] = {
+    "expected_stop_token": (stop_token, ("expected_token",)),
+    "contains_expected": (contains_expected, ("expected",)),
+    "constraint_satisfied": (constraint, ("constraint_type",)),
+    "repetition": (repetition, ()),
+    "coherence": (coherence, ()),
+    "not_empty": (not_empty, ()),
+}
+#: Columns that a metric takes whether they are null or not.
+OPTIONAL = {"constraint_satisfied": ("constraint_value",), "coherence": ("unknown", "unknown_elsewhere")}
+
+
+def register(name: str, metric: Callable, needs: tuple[str, ...] = ()) -> None:
+    """Add a metric: a function of the answer and the needed columns that gives a ``result``."""
     if name in METRICS:
         raise ValueError(f"metric {name!r} is there already")
-    METRICS[name] = metric
+    METRICS[name] = (metric, needs)
 
 
 # Number words, and patterns of instructions in the order they are tried.

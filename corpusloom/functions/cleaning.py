@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import foreign
+
 # The cleaning patterns and what each puts in their place.
 W = "[\\p{L}\\p{M}\\p{N}_]"
 _WHITE = "\\t-\\r \\x{1c}-\\x{1f}\\x{85}\\p{Z}"
@@ -27,8 +29,18 @@ URL = ("(?i)\\b((https?:\\/\\/)?(www\\.)?[\\p{L}0-9\\-._~%]+\\.[\\p{L}]{2,}(\\/[
 EMAIL = ("(?i)[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-z0-9-.]+", " <EMAIL> ")
 HASHTAG = (f"(@[A-Za-z0-9_]+)|(#{W}+)", " <HASHTAG> ")
 CITATION = (f"[{_WHITE},;:]*\\[\\p{{Nd}}{{1,3}}\\]", "")
+#: What Python's str.strip and str.split take as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # End of fixed values.
 
+#: The same matches with less going back: what follows a run can never be part of it, and a run of word characters
+#: begins where the last match ended or where no word character stands before it.
+_QUICK = {
+    PUNCT_SPACING: (f"((?:\\G|(?<!{W})){W}++|\"|')([!,:;?])([a-zA-Z]{W})", "$1$2 $3"),
+    SEG_BASIC: (SEG_BASIC[0].replace("\\p{Ll}+", "\\p{Ll}++").replace("[.!?:]*", "[.!?:]*+"), SEG_BASIC[1]),
+    SEG_QUOTES: (SEG_QUOTES[0].replace("\\p{Ll}+", "\\p{Ll}++").replace("[.!?:]+", "[.!?:]++"), SEG_QUOTES[1]),
+}
+
 TEXT_STEPS = {
     "control": [CONTROL],
     "zero_width": [ZERO_WIDTH],
@@ -43,7 +55,8 @@ HTML_STEPS = {"html_tags": [PARAGRAPH_TAG, OTHER_TAGS], "urls": [URL], "email":
 
 
 def replaced(text: Column, steps) -> Column:
-    for pattern, by in steps:
+    for step in steps:
+        pattern, by = _QUICK.get(step, step)
         text = F.regexp_replace(text, pattern, by)
     return text
 
@@ -55,12 +68,16 @@ def _step(steps) -> Callable[[Column], Column]:
 STEPS: dict[str, Callable[[Column], Column]] = {name: _step(s) for name, s in {**TEXT_STEPS, **HTML_STEPS}.items()}
 
 
+def clean_marks(text: Column, keep_newlines: bool = False) -> Column:
+    """All text steps in order, without those for Unicode and encoding.  Line feeds go with the control characters unless they are kept."""
+    control = "\\x00-\\x09\\x0b-\\x1f\\x7f" if keep_newlines else "\\x00-\\x1f\\x7f"
+    both = (f"[{control}\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]", "")  # the two steps that only drop characters
+    return replaced(text, [both, *[s for name in list(TEXT_STEPS)[2:] for s in TEXT_STEPS[name]]])
+
+
 def clean_text(text: Column, keep_newlines: bool = False) -> Column:
-    """All text steps in order.  Line feeds go with the control characters unless they are kept."""
-    steps = [s for name in TEXT_STEPS for s in TEXT_STEPS[name]]
-    if keep_newlines:
-        steps[0] = ("[\\x00-\\x09\\x0b-\\x1f\\x7f]", "")
-    return replaced(text, steps)
+    """The whole chain: Unicode form, encoding repair, then the marks."""
+    return clean_marks(foreign.fix_encoding(foreign.unicode_form("NFC")(text)), keep_newlines)
 
 
 def clean_html(text: Column) -> Column:
@@ -69,11 +86,11 @@ def clean_html(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Null as empty; white space inside as one space, none around."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)^\\s+|\\s+$", ""), "(?U)\\s+", " ")
+    return F.regexp_replace(strip(F.coalesce(text, F.lit(""))), "(?U)[\\s\\x1c-\\x1f]+", " ")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def flatten_paragraphs(paragraphs: Column) -> Column:

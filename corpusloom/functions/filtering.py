@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import batched
@@ -35,41 +38,58 @@ class Limits:
     max_stopwords: float = 0.8
 
 
+#: White space as Python's str.split sees it, within brackets.
+_GAP = "\\s\\x1c-\\x1f"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"(?U)[^{_GAP}]+"), F.lit(0))
+
+
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"(?U)[^{_GAP}]+"))
 
 
 def length_ok(text: Column, low: int = 100, high: int = 1_000_000) -> Column:
     return F.length(strip(text)).between(low, high)
 
 
-def entropy(text: Column) -> Column:
-    """Bits a character, from the counts of the sorted characters' runs."""
-    chars = F.array_sort(F.split(text, ""))
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("sum"))
-    term = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+def _bits(text: str | None) -> float | None:
+    if not text:
+        return None if text is None else 0.0
+    if text.isascii():
+        counts = np.bincount(np.frombuffer(text.encode(), np.uint8))
+    else:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts = np.bincount(points) if points.max() < 1 << 16 else np.unique(points, return_counts=True)[1]
+    counts = counts[counts > 1]
+    n = len(text)
+    return math.log2(n) - float(counts @ np.log2(counts)) / n
 
-    def step(s: Column, c: Column) -> Column:
-        same = c == s["last"]
-        return F.struct(
-            c.alias("last"),
-            F.when(same, s["run"] + 1).otherwise(F.lit(1)).cast("long").alias("run"),
-            F.when(same, s["sum"]).otherwise(s["sum"] + term(s["run"])).alias("sum"),
-        )
 
-    total = F.aggregate(chars, zero, step, lambda s: s["sum"] + term(s["run"]))
-    n = F.length(text)
-    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
+@batched("double")
+def entropy(text: pd.Series) -> pd.Series:
+    """Bits a character; 0 for an empty text.  Counting characters by SQL functions sorts or rebuilds each text."""
+    return pd.Series([_bits(t) for t in text], dtype="float64")
 
 
 def sentences(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SENTENCE))
 
 
+def n_solid(text: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(text) - F.regexp_count(text, F.lit(f"(?U)[{_GAP}]"))
+
+
+def n_symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(SYMBOL))
+
+
 def symbol_share(text: Column) -> Column:
     """Symbols and punctuation among characters that are no white space; null without any."""
-    bare = F.regexp_replace(text, "(?U)\\s+", "")
-    return F.when(F.length(bare) > 0, F.regexp_count(bare, F.lit(SYMBOL)) / F.length(bare))
+    solid = n_solid(text)
+    return F.when(solid > 0, n_symbols(text) / solid)
 
 
 def garbage(text: Column) -> Column:
@@ -89,17 +109,31 @@ def bytes_over_compressed(text: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else len(b) / len(zlib.compress(b)) for b in raw], dtype="float64")
 
 
-def reject_reason(text: Column, limits: Limits = Limits()) -> Column:
-    """The first filter that fails, cheap ones first, or null.  Null and blank texts fail by length."""
-    t = strip(F.coalesce(text, F.lit("")))
-    out = F.when(~F.length(t).between(max(1, limits.min_chars), limits.max_chars), "length")
-    out = out.when(F.size(words(t)) < limits.min_words, "word_count").when(sentences(t) < limits.min_sentences, "sentence_count")
-    out = out.when(entropy(t) < limits.min_entropy, "entropy").when(F.coalesce(symbol_share(t), F.lit(9.0)) > limits.max_symbol_ratio, "symbol_ratio")
+#: A filter of the chain: a name, and from the stripped text, its measures and the limits to whether a text fails.
+FILTERS: list[tuple[str, Callable[[Column, dict[str, Column], Limits], Column | None]]] = [
+    ("length", lambda t, m, x: ~F.length(t).between(max(1, x.min_chars), x.max_chars)),
+    ("word_count", lambda t, m, x: n_words(t) < x.min_words),
+    ("sentence_count", lambda t, m, x: sentences(t) < x.min_sentences),
+    ("entropy", lambda t, m, x: m["entropy"] < x.min_entropy),
+    ("symbol_ratio", lambda t, m, x: F.coalesce(symbol_share(t), F.lit(9.0)) > x.max_symbol_ratio),
+    ("compression", lambda t, m, x: None if x.min_compression is None else m["compression"] < x.min_compression),
+    ("garbage", lambda t, m, x: garbage(t) if x.garbage else None),
+    ("stopword_ratio", lambda t, m, x: ~F.coalesce(stopword_share(t, x.stopwords), F.lit(-1.0)).between(x.min_stopwords, x.max_stopwords) if x.stopwords else None),
+]
+
+
+def with_reason(rows: DataFrame, text: str = "text", limits: Limits = Limits(), into: str = "reason", filters=None) -> DataFrame:
+    """Rows with the first filter that fails, or null.  Null and blank texts fail by length.
+
+    The text is stripped once and measured once, in columns of their own."""
+    measured = rows.withColumn("_t", strip(F.coalesce(text, F.lit("")))).withColumn("_entropy", entropy("_t"))
+    measures = {"entropy": F.col("_entropy")}
     if limits.min_compression is not None:
-        out = out.when(bytes_over_compressed(t) < limits.min_compression, "compression")
-    if limits.garbage:
-        out = out.when(garbage(t), "garbage")
-    if limits.stopwords:
-        share = F.coalesce(stopword_share(t, limits.stopwords), F.lit(-1.0))
-        out = out.when(~share.between(limits.min_stopwords, limits.max_stopwords), "stopword_ratio")
-    return out
+        measured = measured.withColumn("_packed", bytes_over_compressed("_t"))
+        measures["compression"] = F.col("_packed")
+    out = F.lit(None).cast("string")
+    for name, fails in reversed(FILTERS if filters is None else filters):
+        found = fails(F.col("_t"), measures, limits)
+        if found is not None:
+            out = F.when(found, F.lit(name)).otherwise(out)
+    return measured.withColumn(into, out).drop("_t", "_entropy", "_packed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,12 +115,93 @@ def apart_enough(best: list, merges: int) -> list:
     return ([p for p in out if p["freq"] > least] or out[:1])[:merges]
 
 
-def train_merges(tokens: DataFrame, merges: int, every: int = 4) -> list[tuple[str, str, int]]:
-    """The merges of a byte-pair vocabulary: the most frequent pair, ties by its letters, again and again.
+#: Distinct tokens that are trained on in one place; more are trained on as a table.
+IN_MEMORY = 500_000
 
-    The table of distinct tokens is written every few passes; only the best pairs come to the driver."""
-    spark, out, i = tokens.sparkSession, [], 0
+
+def train_merges(tokens: DataFrame, merges: int, every: int = 4, state: str | None = None, in_memory: int = IN_MEMORY) -> list[tuple[str, str, int]]:
+    """The merges of a byte-pair vocabulary: the most frequent pair, ties by its letters, again and again. tokens: token, freq.
+
+    A table of few distinct tokens (counted first) is folded in memory with pair counts kept up to date; a larger one
+    stays a table, written every few passes, and only the best pairs come to the driver.  Both give the same merges.
+    With ``state``, a folder, merges made before are taken from it, and all are written to it."""
+    spark = tokens.sparkSession
+    done = load_state(spark, state) if state else []
+    if len(done) < merges:
+        few = tokens.limit(in_memory + 1).count() <= in_memory
+        done = _merged_in_memory(tokens, merges, done) if few else _merged_as_table(tokens, merges, every, done)
+        if state:
+            save_state(spark, state, done)
+    return done[:merges]
+
+
+def save_state(spark, path: str, merges: list) -> None:
+    """Merges in order, as a table that is replaced as a whole."""
+    rows = [(i, *m) for i, m in enumerate(merges)]
+    spark.createDataFrame(rows, "step int, left string, right string, freq long").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark, path: str) -> list[tuple[str, str, int]]:
+    try:
+        rows = spark.read.parquet(path).orderBy("step").collect()  # as many rows as merges
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [(r["left"], r["right"], r["freq"]) for r in rows]
+
+
+def _put_together(symbols: list[str], left: str, right: str) -> list[str]:
+    out, i = [], 0
+    while i < len(symbols):
+        both = i + 1 < len(symbols) and symbols[i] == left and symbols[i + 1] == right
+        out.append(left + right if both else symbols[i])
+        i += 1 + both
+    return out
+
+
+def _merged_in_memory(tokens: DataFrame, merges: int, done: list) -> list[tuple[str, str, int]]:
+    """A heap of pair counts; a merge touches only the tokens that hold its pair."""
+    rows = [(list(r["token"]), r["freq"]) for r in tokens.select("token", "freq").toLocalIterator()]
+    words, freqs = [w for w, _ in rows], [f for _, f in rows]
+    for left, right, _ in done:
+        words = [_put_together(w, left, right) if left in w else w for w in words]
+    counts: dict[tuple[str, str], int] = {}
+    where: dict[tuple[str, str], set[int]] = {}
+    for i, w in enumerate(words):
+        for pair in itertools.pairwise(w):
+            counts[pair] = counts.get(pair, 0) + freqs[i]
+            where.setdefault(pair, set()).add(i)
+    heap = [(-n, p) for p, n in counts.items()]
+    heapq.heapify(heap)
+    out = list(done)
+    while len(out) < merges and heap:
+        n, pair = heapq.heappop(heap)
+        if not n or counts.get(pair, 0) != -n:
+            continue
+        out.append((*pair, -n))
+        changed = set()
+        for i in where.pop(pair):
+            old, new = words[i], _put_together(words[i], *pair)
+            for p in itertools.pairwise(old):
+                counts[p] -= freqs[i]
+                changed.add(p)
+            for p in itertools.pairwise(new):
+                counts[p] = counts.get(p, 0) + freqs[i]
+                where.setdefault(p, set()).add(i)
+                changed.add(p)
+            words[i] = new
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], p))
+    return out
+
+
+def _merged_as_table(tokens: DataFrame, merges: int, every: int, done: list) -> list[tuple[str, str, int]]:
+    spark, out, i = tokens.sparkSession, list(done), 0
     now = tokens.select(joined(splits(F.col("token"))).alias("text"), "freq")
+    for left, right, _ in done:
+        now = now.withColumn("text", merge_pair(F.col("text"), left, right))
     while len(out) < merges:
         if i % every == 0:
             path = scratch(spark)
@@ -134,6 +217,11 @@ def train_merges(tokens: DataFrame, merges: int, every: int = 4) -> list[tuple[s
     return out
 
 
+def vocabulary(merges: list) -> list[str]:
+    """Byte letters, then what each merge made, each once."""
+    return list(dict.fromkeys([*byte_letters().values(), *(a + b for a, b, _ in merges)]))
+
+
 def longest_match(token: str, vocab: set[str], most: int) -> list[str]:
     """Pieces from the left, each the longest of the vocabulary; none if that fails."""
     out, at = [], 0
@@ -149,7 +237,7 @@ def longest_match(token: str, vocab: set[str], most: int) -> list[str]:
 
 
 def segmented(tokens: DataFrame, vocab: list[str]) -> DataFrame:
-    """pieces and ids of each distinct token; the vocabulary is a fixed list that goes with the tasks."""
+    """pieces and ids of each distinct token; the vocabulary is a fixed list that goes with the tasks.  A token that cannot be put together from it raises."""
     shared = tokens.sparkSession.sparkContext.broadcast({v: i for i, v in enumerate(vocab)})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,22 +245,25 @@ def segmented(tokens: DataFrame, vocab: list[str]) -> DataFrame:
         most = max(map(len, ids), default=0)
         for x in parts:
             pieces = [longest_match(t, ids, most) for t in x["token"]]
+            for t, ps in zip(x["token"], pieces, strict=True):
+                if t and not ps:
+                    raise ValueError(f"no pieces for {t!r}")
             yield x.assign(pieces=pieces, ids=[[ids[p] for p in ps] for ps in pieces])
 
     return tokens.select("token").distinct().mapInPandas(run, "token string, pieces array<string>, ids array<int>")
 
 
 def encoded(documents: DataFrame, vocab: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids: each distinct pre-token is segmented once, then joined back and put in order."""
+    """key, ids: each distinct pre-token is segmented once, then joined back and put in order.  Texts without one are left out."""
     placed = documents.select(key, F.posexplode(pre_tokens(F.col(text))).alias("pos", "piece")).withColumn("token", byte_encode(F.col("piece")))
     found = placed.join(segmented(placed, vocab), "token")
     return found.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-# Rules that name what is wrong with a vocabulary token, in order.
 _CHARS = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
 _ONE = lambda t: F.size(F.array_distinct(_CHARS(t))) == 1
 _NO_ALNUM = lambda t: ~t.rlike("[\\p{L}\\p{N}]")
+# Rules that name what is wrong with a vocabulary token, in order, with their patterns and limits.
 RULES = {
     "too_long": lambda t: F.length(t) > 50,
     "composite_number": lambda t: t.rlike("^\\p{Nd}{2,}$"),
@@ -188,6 +279,7 @@ RULES = {
     "bad_token_shape": lambda t: t.rlike("^[-_.]{2,}.+[-_.]+$"),
     "repeated_units": lambda t: t.rlike("^(.+)\\1{2,}$"),
 }
+# End of fixed values.
 
 
 def suspicious(token: Column, rules=None) -> Column:
@@ -249,6 +341,40 @@ def sft_labels(messages: Column, ids: dict[str, int], length: int | None, ignore
     return F.struct(whole.alias("input_ids"), fitted(labels, ignore).alias("labels"), F.transform(whole, lambda t: F.when(t == ids["pad"], 0).otherwise(1)).alias("attention_mask"))
 
 
+def in_range(tokens: Column, size: int) -> Column:
+    """The ids; one below 0 or not below ``size`` raises."""
+    bad = F.exists(tokens, lambda t: (t < 0) | (t >= size))
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(f"an id is not in [0, {size})")).cast("array<int>")).otherwise(tokens)
+
+
+def prompt_ids(messages: Column, ids: dict[str, int]) -> Column:
+    """Ids of a dialogue that asks for an answer: the role's mark, the tokens and an end id for each turn; the last turn
+    ends with the assistant's mark. messages: role, tokens."""
+    roles = F.create_map(*[F.lit(x) for r in ("user", "assistant", "system") for x in (r, ids[r])])
+    last = F.size(messages) - 1
+
+    def turn(m: Column, i: Column) -> Column:
+        end = F.when(i == last, F.lit(ids["assistant"])).otherwise(F.lit(ids["eos"]))
+        return F.concat(F.array(F.element_at(roles, m["role"])), m["tokens"], F.array(end))
+
+    return F.flatten(F.transform(messages, turn))
+
+
+def resolve(vocab: DataFrame, names: dict[str, str]) -> dict[str, int]:
+    """The ids of named special tokens. vocab: token_id, token. names: from name to token; a token that is not there raises."""
+    found = {r["token"]: r["token_id"] for r in vocab.filter(F.col("token").isin(*names.values())).collect()}  # a row for each name
+    lost = sorted(set(names.values()) - set(found))
+    if lost:
+        raise KeyError(f"not in the vocabulary: {lost}")
+    return {name: found[token] for name, token in names.items()}
+
+
+def causal_masks(segments: np.ndarray) -> np.ndarray:
+    """``causal_mask`` of each row of a batch, with an axis for heads."""
+    n = segments.shape[1]
+    return np.stack([causal_mask(x) for x in segments])[:, None] if len(segments) else np.zeros((0, 1, n, n), bool)
+
+
 def causal_mask(segments: np.ndarray) -> np.ndarray:
     """True where place i may see place j: not later, of the same segment, and no padding."""
     at = np.arange(len(segments))

@@ -99,8 +99,11 @@ def answer_concentration(rows: DataFrame, least: int = 5) -> DataFrame:
 
 
 def turn_depth(rows: DataFrame) -> DataFrame:
+    """Rows by category and number of messages, with the share expected, null where none is."""
     per = rows.groupBy("category", F.size("messages").cast("long").alias("depth")).agg(F.count("*").alias("n"))
-    return per.withColumn("pct", F.bround(100 * F.col("n") / F.sum("n").over(Window.partitionBy("category")), 1))
+    wanted = F.create_map(*[F.lit(x) for c, shares in DEPTH_SHARES.items() for d, share in shares.items() for x in (f"{c}/{d}", 100 * share)])
+    expected = F.try_element_at(wanted, F.concat_ws("/", "category", F.col("depth").cast("string")))
+    return per.withColumn("pct", F.bround(100 * F.col("n") / F.sum("n").over(Window.partitionBy("category")), 1)).withColumn("expected_pct", expected)  # a row for each category and depth
 
 
 def balance(rows: DataFrame) -> DataFrame:
@@ -146,3 +149,58 @@ def new_rows(rows: DataFrame, existing: DataFrame) -> DataFrame:
 def stratified(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
     return rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).drop("_k")
+
+
+def file_report(rows: DataFrame, key: list[str]) -> DataFrame:
+    """source, total, malformed, duplicate_ids, failed of files. rows: source, malformed, id, category, language, messages and ``key``, an order of rows.
+
+    A row that is malformed is not asked for more, nor is one whose id an earlier row of the file has; blank ids are no duplicates."""
+    bad = F.size(errors(F.col("category"), F.col("language"), F.col("messages"))) > 0
+    first = rows.filter("malformed is null and coalesce(id, '') <> ''").groupBy("source", "id").agg(F.min(F.struct(*key)).alias("_first"))
+    marked = rows.join(first, ["source", "id"], "left").withColumn("_again", F.coalesce(F.struct(*key) != F.col("_first"), F.lit(False)) & F.col("malformed").isNull())
+    broken = F.col("malformed").isNotNull()
+    wrong = ~broken & ~F.col("_again") & F.coalesce(bad, F.lit(True))
+    return marked.groupBy("source").agg(
+        F.count("*").alias("total"), F.count_if(broken).alias("malformed"), F.count_if("_again").alias("duplicate_ids"), F.count_if(broken | F.col("_again") | wrong).alias("failed")
+    )
+
+
+def resume_problems(rows: DataFrame, category: str, language: str, key: str = "id") -> DataFrame:
+    """key, problem of rows that a partial output must not have: the first rule that a row breaks.
+
+    rows: id, category, language, stage, messages.  Of equal ids, and of equal dialogues, each is named."""
+    content = content_key(F.col("messages"))
+    marked = rows.withColumn("_content", content)
+    ids = marked.groupBy("id").agg(F.count("*").alias("_ids"))
+    same = marked.groupBy("_content").agg(F.count("*").alias("_same"))
+    marked = marked.join(ids, "id", "left").join(same, "_content", "left")
+    problem = (
+        F.when(~F.col("category").eqNullSafe(F.lit(category)), "category")
+        .when(~F.col("language").eqNullSafe(F.lit(language)), "language")
+        .when(~F.col("stage").eqNullSafe(F.lit("stage0")), "stage")
+        .when(F.col("messages").isNull(), "messages")
+        .when(F.size(errors(F.col("category"), F.col("language"), F.col("messages"))) > 0, "invalid")
+        .when(F.coalesce("id", F.lit("")) == "", "id")
+        .when(F.col("_ids") > 1, "duplicate_id")
+        .when(F.col("_same") > 1, "duplicate_content")
+    )
+    return marked.select(key, problem.alias("problem")).filter("problem is not null")
+
+
+def resumable(rows: DataFrame, category: str, language: str) -> DataFrame:
+    """The rows, or an error that names one that must not be there."""
+    found = resume_problems(rows, category, language).head(1)
+    if found:
+        raise ValueError(f"not safe to resume: {found[0].asDict()}")
+    return rows
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """Rows of a training set, of which any that is malformed or invalid raises, and so does an empty set. rows: malformed, category, language, messages."""
+    bad = F.col("malformed").isNotNull() | (F.size(errors(F.col("category"), F.col("language"), F.col("messages"))) > 0)
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad")).first()
+    if not n["n"]:
+        raise FileNotFoundError("no rows")
+    if n["bad"]:
+        raise RuntimeError(f"{n['bad']} of {n['n']} rows are not valid")
+    return rows.drop("malformed")

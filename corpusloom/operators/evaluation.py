@@ -25,18 +25,26 @@ def own_or_shared(own: Column, shared: Column) -> Column:
 def evaluated(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     """id, category, language, metrics (array of metric, role, passed), failed_checks, passed.
 
-    rows: id, category, language, answer, expected_any, expected_token, constraint_type, constraint_value.
-    manifest: category, metric, role, expected_any. A metric whose input is missing has no result."""
+    rows: id, category, language, answer, expected_any, expected_token, constraint_type, constraint_value, and for
+    coherence unknown and unknown_elsewhere. manifest: category, metric, role, expected_any.  Metrics are those of
+    ``answers.METRICS``; an unknown one raises, and one whose input is missing has no result."""
+    columns = set(rows.columns)
+    for name, kind in (("expected_any", "array<string>"), ("unknown", "array<string>"), ("unknown_elsewhere", "array<string>"), ("expected_token", "string"), ("constraint_type", "string"), ("constraint_value", "string")):
+        if name not in columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     joined = rows.join(manifest.select("category", "metric", "role", F.col("expected_any").alias("shared")), "category")
-    answer = F.col("answer")
-    expected = merged_list(F.col("shared"), F.col("expected_any"))
-    passed = (
-        F.when(F.col("metric") == "expected_stop_token", A.stop_token(answer, F.col("expected_token"))["passed"])
-        .when(F.col("metric") == "contains_expected", F.when(F.size(expected) > 0, A.contains_expected(answer, expected)["passed"]))
-        .when(F.col("metric") == "constraint_satisfied", F.when(F.col("constraint_type").isNotNull(), A.constraint(answer, F.coalesce("constraint_type", F.lit("one_word")), F.col("constraint_value"))["passed"]))
-        .when(F.col("metric") == "not_empty", A.strip_trailing_tags(answer).rlike("[\\p{L}\\p{N}]"))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown metric: "), "metric")).cast("boolean"))
-    )
+    joined = joined.withColumn("expected", merged_list(F.col("shared"), F.col("expected_any")))
+    asked = {r["metric"] for r in manifest.select("metric").distinct().collect()}  # a manifest is written by hand
+    if asked - set(A.METRICS):
+        raise ValueError(f"unknown metric: {sorted(asked - set(A.METRICS))}")
+    passed = F.lit(None).cast("boolean")
+    for name in sorted(asked):
+        metric, needs = A.METRICS[name]
+        there = F.lit(True)
+        for c in needs:
+            there = there & (F.size(c) > 0 if c == "expected" else F.col(c).isNotNull())
+        found = metric(F.col("answer"), *[F.col(c) for c in (*needs, *A.OPTIONAL.get(name, ()))])["passed"]
+        passed = F.when((F.col("metric") == name) & there, found).otherwise(passed)
     per = joined.select("id", "category", "language", "metric", "role", passed.alias("ok"))
     found = F.array_sort(F.collect_list(F.struct("metric", "role", F.col("ok").alias("passed"))))
     out = per.groupBy("id", "category", "language").agg(found.alias("metrics"))
@@ -46,11 +54,9 @@ def evaluated(rows: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def summary(results: DataFrame) -> DataFrame:
     """Totals and pass rates overall and by category and language."""
-    results.createOrReplaceTempView("evaluation_results")
-    return results.sparkSession.sql(
-        """SELECT category, language, count(*) AS total, count_if(passed) AS passed, bround(count_if(passed) / count(*), 4) AS pass_rate
-           FROM evaluation_results GROUP BY GROUPING SETS ((), (category, language))"""
-    )
+    n = F.count_if("passed")
+    sets = results.groupingSets([[], ["category", "language"]], "category", "language")
+    return sets.agg(F.count("*").alias("total"), n.alias("passed"), F.bround(n / F.count("*"), 4).alias("pass_rate"))
 
 
 def metric_counts(results: DataFrame) -> DataFrame:

@@ -7,18 +7,26 @@ relation_id, object_id; templates: id, category, language, relation_id (nullable
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 FACT = ["subject_id", "relation_id", "object_id"]
+# The roles of templates.
+TEMPLATE_ROLES = ("user", "assistant")
+# End of fixed values.
 
 
 def unique(rows: DataFrame, key: list[str]) -> DataFrame:
     """Equal rows once; a key with different rows raises."""
-    once = rows.dropDuplicates().withColumn("_n", F.count("*").over(Window.partitionBy(*key)))
+    plain = [F.array_sort(F.map_entries(c)) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes]
+    marked = rows.withColumn("_mark", F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]), {"ignoreNullFields": "false"}), 256))
+    once = marked.groupBy(*key).agg(F.first(F.struct(*rows.columns)).alias("_row"), F.min("_mark").alias("_low"), F.max("_mark").alias("_high"))
     conflict = F.raise_error(F.concat(F.lit("conflict: "), F.concat_ws("/", *key))).cast("boolean")
-    return once.filter(F.when(F.col("_n") > 1, conflict).otherwise(F.lit(True))).drop("_n")
+    return once.filter(F.when(F.col("_low") != F.col("_high"), conflict).otherwise(F.lit(True))).select("_row.*")
 
 
 def typed(facts: DataFrame, relations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -47,6 +55,23 @@ def matching(facts: DataFrame, subject: str | None = None, relation: str | None
     return facts
 
 
+def of_type(nodes: DataFrame, node_type: str | None = None) -> DataFrame:
+    """All nodes, or those of a type."""
+    return nodes if node_type is None else nodes.filter(F.col("node_type") == node_type)
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of the keys asked for; a key without a row raises."""
+    marked = keys.join(rows.withColumn("_there", F.lit(True)), on, "left")
+    lost = F.raise_error(F.concat(F.lit("not there: "), F.concat_ws("/", *on))).cast("boolean")
+    return marked.filter(F.when(F.col("_there").isNull(), lost).otherwise(F.lit(True))).drop("_there")
+
+
+def members(keys: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """The keys with whether a row has them."""
+    return keys.join(rows.select(*on).distinct().withColumn("_there", F.lit(True)), on, "left").withColumn("there", F.col("_there").isNotNull()).drop("_there")
+
+
 def missing(facts: DataFrame, relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Subjects of the right type that lack a relation's fact."""
     every = relations.join(nodes.select(F.col("id").alias("subject_id"), "node_type"), F.col("subject_type") == F.col("node_type")).select("subject_id", F.col("id").alias("relation_id"))
@@ -80,16 +105,46 @@ def composed(*providers: Column) -> Column:
     return F.map_concat(*providers)
 
 
+#: Languages that a template without one is rendered in.
+LANGUAGES = ("en", "pt")
+
+
+def in_languages(templates: DataFrame, languages=LANGUAGES) -> DataFrame:
+    """Templates with a row for each language they are for: a null language is every one."""
+    own = F.when(F.col("language").isNull(), F.array(*[F.lit(x) for x in languages])).otherwise(F.array("language"))
+    return templates.withColumn("language", F.explode(own))
+
+
+def uppercase_values(rows: DataFrame) -> Column:
+    """The labels of a fact's ends in upper case, as values for templates. rows: subject, object."""
+    return F.create_map(F.lit("subject_upper"), F.upper("subject"), F.lit("object_upper"), F.upper("object"))
+
+
+def template_problems(templates: DataFrame) -> DataFrame:
+    """id, problems of each template: what is wrong with its fields, its messages and their order."""
+    m, n = F.col("messages"), F.size("messages")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    roles = F.transform(m, lambda x: x["role"])
+    pairs = F.zip_with(F.slice(roles, F.lit(1), F.greatest(F.lit(0), n - 1)), F.slice(roles, F.lit(2), F.greatest(F.lit(0), n - 1)), lambda a, b: a == b)
+    one = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), F.lit(name))
+    fields = [one(blank(F.col("id")), "id"), one(blank(F.col("category")), "category"), one(m.isNull() | (n < 1), "messages")]
+    each = [one(F.exists(m, lambda x: ~F.coalesce(x["role"].isin(*TEMPLATE_ROLES), F.lit(False))), "role"), one(F.exists(m, lambda x: blank(x["content"])), "content")]
+    order = [one(F.get(roles, F.lit(0)) != "user", "first"), one(F.try_element_at(roles, F.lit(-1)) != "assistant", "last"), one(F.exists(pairs, lambda x: x), "alternation")]
+    found = F.filter(F.array(*fields, *[F.when(m.isNotNull() & (n > 0), x) for x in each + order]), lambda x: x.isNotNull())
+    return templates.select("id", found.alias("problems"))
+
+
 def compile_rows(facts: DataFrame, nodes: DataFrame, templates: DataFrame, values: Callable[[DataFrame], Column] | None = None) -> DataFrame:
-    """id, category, language, stage, messages: each fact by each template of its relation; ids count facts, then templates."""
-    t = templates.filter("relation_id is not null").select("relation_id", F.col("id").alias("template_id"), "category", "language", F.col("messages").alias("template"))
-    # templates and nodes are authored by hand; Catalyst sizes the join
+    """id, category, language, stage, messages: each fact by each template of its relation; ids count them in the order of a hash."""
+    t = in_languages(templates.filter("relation_id is not null")).select("relation_id", F.col("id").alias("template_id"), "category", "language", F.col("messages").alias("template"))
+    # templates are authored by hand; Catalyst sizes the join
     joined = with_labels(facts.join(t, "relation_id"), nodes, F.col("language"))
     base = F.create_map(F.lit("subject"), F.col("subject"), F.lit("object"), F.col("object"))
     both = composed(base, values(joined)) if values else base
-    k = F.row_number().over(Window.partitionBy("category", "language", "relation_id").orderBy("subject_id", "object_id", "template_id"))
-    return joined.select(
-        F.format_string("%s_%s_%s_%05d", "category", "language", "relation_id", k).alias("id"), "category", "language", F.lit("stage0").alias("stage"), rendered(F.col("template"), both).alias("messages")
+    order = F.md5(F.concat_ws("|", "subject_id", "object_id", "template_id"))
+    placed = ranges.numbered(ranges.hashed(joined.withColumn("_values", both), "_order", order), ["_order", "subject_id", "object_id", "template_id"], ("category", "language", "relation_id"), "_k")
+    return placed.select(
+        F.format_string("%s_%s_%s_%05d", "category", "language", "relation_id", "_k").alias("id"), "category", "language", F.lit("stage0").alias("stage"), rendered(F.col("template"), F.col("_values")).alias("messages")
     )
 
 
@@ -115,12 +170,36 @@ def uncertainty_rows(facts: DataFrame, relations: DataFrame, nodes: DataFrame, t
     return scen.select(name.alias("id"), "category", "language", F.lit("stage0").alias("stage"), rendered(F.col("template"), values).alias("messages"))
 
 
+def scenario_problems(scenarios: DataFrame, facts: DataFrame) -> DataFrame:
+    """What is wrong with scenarios that ask about an unknown fact: the first of the rules broken, or null.
+
+    scenarios: id, relation_id, subject_id, object_id (the context's fact), target_relation_id, target_id."""
+    known = facts.select(*FACT).distinct()
+    out = scenarios.join(known.withColumn("_known", F.lit(True)), FACT, "left")
+    has = known.select(F.col("subject_id").alias("target_id"), F.col("relation_id").alias("target_relation_id")).distinct().withColumn("_has", F.lit(True))
+    out = out.join(has, ["target_id", "target_relation_id"], "left")
+    problem = (
+        F.when(F.col("_known").isNull(), "context_fact")
+        .when(F.col("relation_id") != F.col("target_relation_id"), "relation")
+        .when(F.col("subject_id") == F.col("target_id"), "same_subject")
+        .when(F.col("_has"), "target_known")
+    )
+    return out.select(*scenarios.columns, problem.alias("problem"))
+
+
 def wrong_objects(facts: DataFrame, seed: int = 0) -> DataFrame:
-    """For each fact another object of its relation, by a seeded hash; facts without one are left out."""
-    other = facts.select("relation_id", F.col("object_id").alias("wrong_id")).distinct()
-    pairs = facts.join(other, "relation_id").filter("wrong_id <> object_id")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *FACT, "wrong_id"))
-    return pairs.groupBy(*FACT).agg(F.min_by("wrong_id", order).alias("wrong_id"))
+    """For each fact another object of its relation, picked by a seeded hash; facts without one are left out.
+
+    The objects of a relation are numbered, and the hash picks among the numbers that are not the fact's own, so facts
+    and objects are never paired."""
+    objects = facts.select("relation_id", "object_id").distinct()
+    placed = ranges.numbered(ranges.hashed(objects, "_name", F.md5(F.concat_ws("|", *["relation_id", "object_id"]))), ["_name", "object_id"], ("relation_id",), "_own").drop("_name")
+    count = placed.groupBy("relation_id").agg(F.count("*").alias("_n"))
+    own = facts.join(placed, ["relation_id", "object_id"]).join(F.broadcast(count), "relation_id").filter("_n > 1")  # a row for each relation
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *FACT)), 1, 8), 16, 10).cast("long") % (F.col("_n") - 1) + 1
+    own = own.withColumn("_pick", F.when(pick >= F.col("_own"), pick + 1).otherwise(pick))
+    other = placed.select("relation_id", F.col("object_id").alias("wrong_id"), F.col("_own").alias("_pick"))
+    return own.join(other, ["relation_id", "_pick"]).select(*FACT, "wrong_id")
 
 
 def grammar_index(forms: DataFrame) -> DataFrame:
@@ -143,12 +222,76 @@ def grammar_values(nodes: DataFrame, index: DataFrame, specs: DataFrame, spec: d
     return found.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat(F.lit(prefix + "_"), "key"), "value")))).alias("forms"))
 
 
+def relation_problems(pairs: DataFrame, templates: DataFrame) -> DataFrame:
+    """relation, language, problem: languages with pairs and no template, and templates that do not name the subject."""
+    lost = pairs.select("relation", "language").distinct().join(templates.select("relation", "language").distinct(), ["relation", "language"], "left_anti")
+    unnamed = templates.filter(~F.contains("template", F.lit("{subject}"))).select("relation", "language", F.lit("no_subject").alias("problem"))
+    return lost.withColumn("problem", F.lit("no_template")).unionByName(unnamed)
+
+
 def relation_table(pairs: DataFrame, templates: DataFrame) -> DataFrame:
     """Questions of a relation table: each subject by each template of its relation and language; the first letter upper-cased."""
-    joined = pairs.join(templates, ["relation", "language"])
+    joined = pairs.join(F.broadcast(templates), ["relation", "language"])  # templates are written by hand
+    order = F.md5(F.concat_ws("|", "subject", "template"))
+    placed = ranges.numbered(ranges.hashed(joined, "_order", order), ["_order", "subject", "template"], ("relation", "language"), "_k")
     q = F.replace(F.col("template"), F.lit("{subject}"), F.col("subject"))
-    k = F.row_number().over(Window.partitionBy("relation", "language").orderBy("subject", "template"))
-    return joined.select(
-        F.format_string("%s_%s_%05d", "relation", "language", k).alias("id"), F.lit("knowledge_completion").alias("category"), "language", F.lit("stage0").alias("stage"),
+    return placed.select(
+        F.format_string("%s_%s_%05d", "relation", "language", "_k").alias("id"), F.lit("knowledge_completion").alias("category"), "language", F.lit("stage0").alias("stage"),
         F.concat(F.upper(F.left(q, F.lit(1))), F.substring(q, 2, 1 << 30)).alias("question"), "answer",
     )
+
+
+class KnowledgeBase:
+    """Nodes, relations and facts of one graph; facts that break their relation's types raise when they are read."""
+
+    def __init__(self, nodes: DataFrame, relations: DataFrame, facts: DataFrame):
+        self.nodes, self.relations = unique(nodes, ["id"]), unique(relations, ["id"])
+        wrong = F.raise_error(F.concat(F.lit("fact: "), F.concat_ws("/", *FACT), F.lit(" "), F.col("problem"))).cast("boolean")
+        checked = typed(unique(facts.select(*FACT), FACT), relations, nodes)
+        self.facts = checked.filter(F.when(F.col("problem").isNotNull(), wrong).otherwise(F.lit(True))).drop("problem")
+
+
+@dataclass(frozen=True)
+class RelationBuild:
+    """Rows of a relation's facts by the templates of a category; ``values`` adds values for the templates."""
+
+    id: str
+    relation: str
+    category: str
+    values: Callable[[DataFrame], Column] | None = None
+
+    def rows(self, kb: KnowledgeBase, templates: DataFrame) -> DataFrame:
+        mine = templates.filter((F.col("category") == self.category) & (F.col("relation_id") == self.relation))
+        return compile_rows(matching(kb.facts, relation=self.relation), kb.nodes, mine, self.values)
+
+
+@dataclass(frozen=True)
+class ScenarioBuild:
+    """Rows that ask about facts which the graph lacks."""
+
+    id: str
+    relation: str
+
+    def rows(self, kb: KnowledgeBase, templates: DataFrame) -> DataFrame:
+        mine = templates.filter(F.col("relation_id") == self.relation)
+        return uncertainty_rows(matching(kb.facts, relation=self.relation), kb.relations.filter(F.col("id") == self.relation), kb.nodes, mine)
+
+
+@dataclass(frozen=True)
+class StaticBuild:
+    id: str
+
+    def rows(self, kb: KnowledgeBase, templates: DataFrame) -> DataFrame:
+        return static_rows(templates)
+
+
+def built(builds, kb: KnowledgeBase, templates: DataFrame) -> DataFrame:
+    """build and the rows of all builds; two builds of one id raise."""
+    names = [b.id for b in builds]
+    if len(set(names)) < len(names):
+        raise ValueError(f"builds of equal id: {names}")
+    out = None
+    for b in builds:
+        one = b.rows(kb, templates).withColumn("build", F.lit(b.id))
+        out = one if out is None else out.unionByName(one)
+    return out

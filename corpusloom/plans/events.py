@@ -8,11 +8,19 @@ from ..streaming import ingest, training
 from .base import query, table
 
 
-@query("loss_spike")
+@query(
+    "loss_spike",
+    """WITH RECURSIVE e AS (SELECT user_id AS run, event_id AS step, value AS loss, row_number() OVER (PARTITION BY user_id ORDER BY event_id, value) AS k FROM events),
+ f AS (SELECT run, k, step, loss, CASE WHEN loss IS NULL OR isnan(loss) OR isinf(loss) THEN 'nan_or_inf' END AS reason, CASE WHEN loss IS NULL OR isnan(loss) OR isinf(loss) THEN []::DOUBLE[] ELSE [loss] END AS kept FROM e WHERE k = 1
+ UNION ALL SELECT run, k, step, loss, reason, CASE WHEN reason IS NULL THEN list_append(kept, loss)[-50:] ELSE kept END
+   FROM (SELECT e.run, e.k, e.step, e.loss, f.kept, CASE WHEN e.loss IS NULL OR isnan(e.loss) OR isinf(e.loss) THEN 'nan_or_inf' WHEN len(f.kept) >= 10 AND list_avg(f.kept) > 0 AND e.loss > 5 * list_avg(f.kept) THEN 'loss_spike' END AS reason
+         FROM f JOIN e ON e.run = f.run AND e.k = f.k + 1))
+ SELECT run, step, loss, reason FROM f WHERE reason IS NOT NULL""",
+)
 def loss_spike(spark, sf_dir):
-    """Event values as losses, with a run for each event type."""
-    log = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
-    return training.spikes(log, "event_type", "event_id", "value")
+    """Event values as losses, with a run for each user."""
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return training.spikes(log, "user_id", "event_id", "value")
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

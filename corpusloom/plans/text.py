@@ -35,14 +35,17 @@ _ALL_TEXT = [s for x in cleaning.TEXT_STEPS.values() for s in x]
 _ALL_HTML = [s for x in cleaning.HTML_STEPS.values() for s in x]
 
 
-@query("clean_text_chain", _digest_sql("doc_id", "documents", duck_replace("text", _ALL_TEXT), "text"))
+@query("clean_text_chain", _digest_sql("doc_id", "documents", duck_replace("nfc_normalize(text)", _ALL_TEXT), "text"))
 def clean_text_chain(spark, sf_dir):
-    return _digest(table(spark, sf_dir, "documents"), "doc_id", cleaning.clean_text(F.col("text")), "text")
+    """The whole chain.  SQL has no encoding repair, which leaves texts without such damage as they are."""
+    docs = table(spark, sf_dir, "documents").withColumn("c", cleaning.clean_text(F.col("text")))
+    return _digest(docs, "doc_id", F.col("c"), "text")
 
 
 @query("clean_html_chain", _digest_sql("page_id", "pages", duck_replace("html", _ALL_HTML), "html"))
 def clean_html_chain(spark, sf_dir):
-    return _digest(table(spark, sf_dir, "pages"), "page_id", cleaning.clean_html(F.col("html")), "html")
+    pages = table(spark, sf_dir, "pages").withColumn("c", cleaning.clean_html(F.col("html")))
+    return _digest(pages, "page_id", F.col("c"), "html")
 
 
 @query("clean_squeeze", _digest_sql("doc_id", "documents", "regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+', ' ', 'g')", "text"))
@@ -75,11 +78,13 @@ def html_text(spark, sf_dir):
 
 @query("wiki_markup")
 def wiki_markup(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").withColumn("c", foreign.wiki_text("html"))
-    return _digest(pages, "page_id", F.col("c"), "html")
+    """Documents dressed as wiki pages, and their text again."""
+    dressed = F.concat(F.lit("{{Infobox|name={{PAGENAME}}}}\n'''"), "source", F.lit("''' [[Lang|"), "lang", F.lit("]]\n"), F.coalesce("text", F.lit("")), F.lit("<ref>x</ref>\n[[Category:All]]"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", dressed.alias("wiki")).withColumn("c", foreign.wiki_text("wiki"))
+    return _digest(docs, "doc_id", F.col("c"), "wiki")
 
 
-@query("title_names")
+@query("title_names", "SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9]+', '_', 'g'), '_') AS title FROM pages")
 def title_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", foreign.titles(F.col("url")).alias("title"))
 
@@ -106,7 +111,7 @@ def filter_length(spark, sf_dir):
 
 @query("filter_word_count", f"SELECT doc_id, words, words >= 30 AS passed {_FROM}")
 def filter_word_count(spark, sf_dir):
-    n = F.size(filtering.words(F.col("t"))).cast("long")
+    n = filtering.n_words(F.col("t")).cast("long")
     return _stripped(spark, sf_dir).select("doc_id", n.alias("words")).withColumn("passed", F.col("words") >= 30)
 
 
@@ -122,10 +127,8 @@ def filter_entropy(spark, sf_dir):
 
 @query("filter_symbol_ratio", f"SELECT doc_id, {_SYMBOLS} AS symbols, {_BARE} AS bare, CASE WHEN {_BARE} = 0 THEN FALSE ELSE {_SYMBOLS} / {_BARE}::DOUBLE <= 0.3 END AS passed {_FROM}")
 def filter_symbol_ratio(spark, sf_dir):
-    bare = F.regexp_replace("t", "(?U)\\s+", "")
-    return _stripped(spark, sf_dir).select(
-        "doc_id", F.regexp_count(bare, F.lit(filtering.SYMBOL)).cast("long").alias("symbols"), F.length(bare).cast("long").alias("bare"), F.coalesce(filtering.symbol_share(F.col("t")) <= 0.3, F.lit(False)).alias("passed")
-    )
+    found = _stripped(spark, sf_dir).select("doc_id", filtering.n_symbols(F.col("t")).cast("long").alias("symbols"), filtering.n_solid(F.col("t")).cast("long").alias("bare"))
+    return found.withColumn("passed", (F.col("bare") > 0) & (F.col("symbols") / F.greatest(F.lit(1), F.col("bare")) <= 0.3))
 
 
 @query("filter_garbage", f"SELECT doc_id, NOT {_GARBAGE} AS passed {_FROM}")
@@ -155,13 +158,13 @@ _NATIVE = filtering.Limits(min_compression=None)
 @query("filter_reject_reason", f"SELECT coalesce({_REASON}, 'pass') AS reason, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars {_FROM} GROUP BY 1")
 def filter_reject_reason(spark, sf_dir):
     """How many documents each filter of the native chain rejects first."""
-    docs = _stripped(spark, sf_dir).select(F.coalesce(filtering.reject_reason(F.col("text"), _NATIVE), F.lit("pass")).alias("reason"), F.length("t").alias("k"))
+    docs = filtering.with_reason(_stripped(spark, sf_dir), "t", _NATIVE).select(F.coalesce("reason", F.lit("pass")).alias("reason"), F.length("t").alias("k"))
     return docs.groupBy("reason").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("chars"))
 
 
 @query("filter_rejected_documents", f"SELECT doc_id, {_REASON} AS reason {_FROM} WHERE {_REASON} IS NOT NULL")
 def filter_rejected_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", filtering.reject_reason(F.col("text"), _NATIVE).alias("reason")).filter("reason is not null")
+    return filtering.with_reason(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _NATIVE).filter("reason is not null").select("doc_id", "reason")
 
 
 @query("filter_compression")
@@ -171,8 +174,8 @@ def filter_compression(spark, sf_dir):
 
 @query("filter_full_chain")
 def filter_full_chain(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.coalesce(filtering.reject_reason(F.col("text")), F.lit("pass")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    docs = filtering.with_reason(table(spark, sf_dir, "documents").select("text"))
+    return docs.groupBy(F.coalesce("reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("filter_languages", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'pt')")
@@ -227,7 +230,14 @@ def q_stopword_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(hits / F.greatest(F.lit(1), F.size(quality.word_list(F.col("text")))), 6).alias("ratio"))
 
 
-@query("q_repetition")
+_TRIPLE = "CASE WHEN regexp_matches(c, '[\\p{L}\\p{M}\\p{N} ]') THEN '[' || c || ']{3,}' ELSE '[\\' || c || ']{3,}' END"
+
+
+@query(
+    "q_repetition",
+    # RE2 has no back-references: runs of three equal characters or more, by each character that is in the text three times over
+    f"SELECT doc_id, round(coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(text, '')), lambda c: c <> chr(10) AND contains(text, c || c || c)), lambda c: len(regexp_extract_all(text, {_TRIPLE})))), 0) / greatest(1, len(list_distinct(string_split(text, ''))))::DOUBLE, 6) AS ratio FROM documents",
+)
 def q_repetition(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(quality.repetition(F.col("text")), 6).alias("ratio"))
 
@@ -253,7 +263,18 @@ def q_metrics(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.metrics(F.col("text"), F.col("lang")).alias("m")).select("doc_id", "m.*")
 
 
-@query("q_language")
+_LISTS = {**quality.STOPWORDS, **quality.FUNCTION_WORDS}
+_LANGS = sorted(_LISTS)
+_SCORED = ", ".join(f"len(list_filter(w, lambda x: list_contains([{', '.join(map(literal, sorted(set(_LISTS[x]))))}], lower(x)))) AS h_{x}" for x in _LANGS)
+_MOST = "greatest(" + ", ".join(f"h_{x}" for x in _LANGS) + ")"
+DETECTED = f"CASE WHEN {_MOST} = 0 THEN NULL " + " ".join(f"WHEN h_{x} = {_MOST} THEN '{x}'" for x in _LANGS) + " END"
+
+
+def scored(name: str) -> str:
+    return f"(SELECT *, {_SCORED} FROM (SELECT *, {_QW} AS w FROM {name}))"
+
+
+@query("q_language", f"SELECT lang, {DETECTED} AS detected, count(*) AS n FROM {scored('documents')} GROUP BY ALL")
 def q_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", quality.detected_language(F.col("text")).alias("detected"))
     return docs.groupBy("lang", "detected").agg(F.count("*").alias("n"))
@@ -267,10 +288,9 @@ def q_language(spark, sf_dir):
 )
 def quality_by_label(spark, sf_dir):
     """Documents by label and reject reason, with a total for each label."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(filtering.reject_reason(F.col("text"), _NATIVE), F.lit("pass")).alias("reason"))
-    joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
-    joined.createOrReplaceTempView("labelled_reasons")
-    return spark.sql("SELECT quality, reason, count(*) AS n, grouping(reason) = 1 AS overall FROM labelled_reasons GROUP BY GROUPING SETS ((quality), (quality, reason))")
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    found = filtering.with_reason(labelled, "text", _NATIVE).select("quality", F.coalesce("reason", F.lit("pass")).alias("reason"))
+    return found.groupingSets([["quality"], ["quality", "reason"]], "quality", "reason").agg(F.count("*").alias("n"), (F.grouping("reason") == 1).alias("overall"))
 
 
 # Hashes and exact dedup.

@@ -32,16 +32,23 @@ class Detector:
 
 
 def spikes(log: DataFrame, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
-    """run, step, loss, reason over a whole log; each run is folded in order of step."""
-    kinds = dict(log.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        d = Detector()
-        return pdf.assign(reason=[d.feed(x) for x in pdf["loss"]]).dropna(subset=["reason"])
+    """run, step, loss, reason over a whole log; each run is folded in order of step.
 
-    renamed = log.selectExpr(f"`{run}` as run", f"`{step}` as step", f"cast(`{loss}` as double) as loss")
-    return renamed.groupBy("run").applyInPandas(fold, f"run {kinds[run]}, step {kinds[step]}, loss double, reason string")
+    Runs are folded from sorted batches, so memory follows the batch and not the run."""
+    kinds = dict(log.dtypes)
+    ordered = log.selectExpr(f"`{run}` as run", f"`{step}` as step", f"cast(`{loss}` as double) as loss").repartition("run").sortWithinPartitions("run", "step", "loss")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, d = object(), Detector()
+        for x in batches:
+            reasons = []
+            for name, value in zip(x["run"].tolist(), x["loss"].tolist(), strict=True):
+                if name != now:
+                    now, d = name, Detector()
+                reasons.append(d.feed(value))
+            yield x.assign(reason=reasons).dropna(subset=["reason"])[["run", "step", "loss", "reason"]]
+
+    return ordered.mapInPandas(fold, f"run {kinds[run]}, step {kinds[step]}, loss double, reason string")
 
 
 def spike_stream(log: DataFrame) -> DataFrame:
