@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .batches import batched
@@ -170,6 +170,10 @@ INSTRUCTIONS = (
 # End of fixed values.
 
 
+#: Constraint types that say nothing without their value.
+NEEDS_VALUE = tuple(name for name, _, value in INSTRUCTIONS if value)
+
+
 def extract_count(text: Column) -> Column:
     """The first number in digits, else the number word that comes first."""
     digits = F.regexp_extract(text, "(?U)\\b(\\d+)\\b", 1)
@@ -189,3 +193,10 @@ def infer_constraint(text: Column) -> Column:
         found = {"quote": quote, "count": count.cast("string"), None: F.lit(None).cast("string")}[value]
         out = F.when(text.rlike("(?iU)" + pattern), F.struct(F.lit(name).alias("constraint_type"), found.alias("constraint_value"))).otherwise(out)
     return out
+
+
+def json_objects(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with each object of the JSON array that a text holds, as text in column ``object``; code fences are taken off."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, "^\\s*```[a-zA-Z]*\\s*", ""), "\\s*```\\s*$", ""))
+    items = F.from_json(F.when(bare.rlike("^\\s*\\["), bare), "array<string>")
+    return rows.withColumn("object", F.explode(items)).filter(F.trim("object").startswith("{"))

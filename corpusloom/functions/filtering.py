@@ -109,6 +109,12 @@ def bytes_over_compressed(text: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else len(b) / len(zlib.compress(b)) for b in raw], dtype="float64")
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns that are computed once: a filter on them is not pushed below, to compute them again."""
+    packed = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return rows.drop(*columns).withColumn("_settled", packed).select(*[c for c in rows.columns if c not in columns], "_settled.*")
+
+
 #: A filter of the chain: a name, and from the stripped text, its measures and the limits to whether a text fails.
 FILTERS: list[tuple[str, Callable[[Column, dict[str, Column], Limits], Column | None]]] = [
     ("length", lambda t, m, x: ~F.length(t).between(max(1, x.min_chars), x.max_chars)),
@@ -126,7 +132,7 @@ def with_reason(rows: DataFrame, text: str = "text", limits: Limits = Limits(),
     """Rows with the first filter that fails, or null.  Null and blank texts fail by length.
 
     The text is stripped once and measured once, in columns of their own."""
-    measured = rows.withColumn("_t", strip(F.coalesce(text, F.lit("")))).withColumn("_entropy", entropy("_t"))
+    measured = settled(rows, _t=strip(F.coalesce(text, F.lit("")))).withColumn("_entropy", entropy("_t"))
     measures = {"entropy": F.col("_entropy")}
     if limits.min_compression is not None:
         measured = measured.withColumn("_packed", bytes_over_compressed("_t"))
@@ -136,4 +142,4 @@ def with_reason(rows: DataFrame, text: str = "text", limits: Limits = Limits(),
         found = fails(F.col("_t"), measures, limits)
         if found is not None:
             out = F.when(found, F.lit(name)).otherwise(out)
-    return measured.withColumn(into, out).drop("_t", "_entropy", "_packed")
+    return settled(measured, **{into: out}).drop("_t", "_entropy", "_packed")

@@ -204,3 +204,8 @@ def checked(rows: DataFrame) -> DataFrame:
     if n["bad"]:
         raise RuntimeError(f"{n['bad']} of {n['n']} rows are not valid")
     return rows.drop("malformed")
+
+
+def top(rows: DataFrame, by: str, ties: list[str], n: int) -> DataFrame:
+    """The n rows of the highest value, ties by further columns, in that order."""
+    return rows.orderBy(F.col(by).desc(), *ties).limit(n)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import generation as G
 from ..operators import dialogues as D
+from ..operators import ranges
 from .base import literal, query, table
 
 _CATS = sorted(D.MESSAGE_COUNTS)
@@ -42,7 +44,10 @@ def conv_assemble(spark, sf_dir):
     return m.select("conv_id", F.size("messages").cast("long").alias("messages"), F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"), F.md5(F.encode(texts, "UTF-8")).alias("texts_md5"))
 
 
-@query("conv_turn_depth", f"WITH {ROWS} SELECT category, CAST(n AS BIGINT) AS depth, count(*) AS n, round_even(100 * count(*) / (sum(count(*)) OVER (PARTITION BY category))::DOUBLE, 1) AS pct FROM rws GROUP BY category, rws.n")
+_EXPECTED = "CASE category || '/' || n " + " ".join(f"WHEN '{c}/{d}' THEN {100 * x}::DOUBLE" for c, xs in D.DEPTH_SHARES.items() for d, x in xs.items()) + " END"
+
+
+@query("conv_turn_depth", f"WITH {ROWS}, d AS (SELECT category, n, count(*) AS k FROM rws GROUP BY ALL) SELECT category, n AS depth, k AS n, round_even(100 * k / (sum(k) OVER (PARTITION BY category))::DOUBLE, 1) AS pct, {_EXPECTED} AS expected_pct FROM d")
 def conv_turn_depth(spark, sf_dir):
     return D.turn_depth(rows(spark, sf_dir))
 
@@ -123,8 +128,9 @@ def conv_samples(spark, sf_dir):
 
 @query("conv_row_ids", f"WITH {ROWS} SELECT conv_id, category || '_' || language || '_' || lpad(CAST(row_number() OVER (PARTITION BY category, language ORDER BY conv_id) AS VARCHAR), 5, '0') AS id FROM rws")
 def conv_row_ids(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("category", "language").orderBy("conv_id"))
-    return rows(spark, sf_dir).select("conv_id", F.format_string("%s_%s_%05d", "category", "language", k).alias("id"))
+    r = rows(spark, sf_dir).select("conv_id", "category", "language")
+    placed = ranges.numbered(ranges.ranged(r, "conv_id", F.xxhash64("conv_id")), ["conv_id"], ("category", "language"))
+    return placed.select("conv_id", F.format_string("%s_%s_%05d", "category", "language", "place").alias("id"))
 
 
 @query("exclusion_anti", f"WITH {ROWS}, x AS (SELECT DISTINCT roles, texts FROM rws WHERE language = 'pt'), m AS (SELECT min(conv_id) AS conv_id, roles, texts FROM rws WHERE language = 'en' GROUP BY roles, texts) SELECT conv_id FROM m ANTI JOIN x USING (roles, texts)")
@@ -191,6 +197,10 @@ def leak_exact(spark, sf_dir):
     return d.groupBy("q").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).join(b, "q").select("item_id", "doc_id", "n")
 
 
+def _gram(hashes, k, at):
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(k)])
+
+
 @query("leak_contains", "SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY item_id")
 def leak_contains(spark, sf_dir):
     """Documents that hold a whole item.  A document and an item meet by words of the item, then the text decides.
@@ -199,15 +209,19 @@ def leak_contains(spark, sf_dir):
     last, one of two words or one by the words of documents that end with its first word or hold it, and a blank one by
     every document."""
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"), words(F.col("text")).alias("w")).filter("item is not null").withColumn("n", F.least(F.lit(7), F.size("w")))
-    long = items.filter("n > 2").withColumn("key", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n") - 2), " ")))  # the first word may begin inside another
+    # words as hashes: a gram is the hash of its words' hashes
+    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("item"), words(F.col("text")).alias("w")).filter("item is not null").withColumn("n", F.least(F.lit(7), F.size("w"))).withColumn("h", hashes(F.col("w")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("doc"), words(F.col("text")).alias("w"))
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (k - 1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))
+    hashed = docs.select("doc_id", hashes(F.col("w")).alias("h"))
     sizes = {r["n"] for r in items.select("n").distinct().collect()}  # eight at most
     found = []
     for n in sorted(sizes - {0, 1, 2}) or [7]:
-        keys = docs.select("doc_id", F.explode(F.array_distinct(grams(n - 2))).alias("key"))
-        found.append(keys.join(long.filter(F.col("n") == n).select("item_id", "key", "item"), "key").select("doc_id", "item_id", "item"))
+        k = n - 2
+        every = F.when(F.size("h") >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - k)), partial(_gram, F.col("h"), k)))
+        keys = hashed.select("doc_id", F.explode(F.array_distinct(every)).alias("key"))
+        long = items.filter(F.col("n") == n).select("item_id", "item", _gram(F.col("h"), k, F.lit(1)).alias("key"))  # the first word may begin inside another
+        found.append(keys.join(long, "key").select("doc_id", "item_id", "item"))
     if sizes & {1, 2}:
         held = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
         short = items.filter("n in (1, 2)").select("item_id", "item", "n", F.get("w", F.lit(0)).alias("one"))
@@ -220,9 +234,98 @@ def leak_contains(spark, sf_dir):
     return hits.join(docs.select("doc_id", "doc"), "doc_id").filter(F.contains("doc", "item")).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("leak_answers", f"WITH {ROWS}, {_QA}, b AS (SELECT category, language, question, min(answer) AS expected FROM qa WHERE conv_id % 3 = 0 GROUP BY ALL) SELECT category, language, question, count(*) AS n, CAST(sum(CASE WHEN contains(answer, expected) THEN 1 ELSE 0 END) AS BIGINT) AS leaked FROM qa JOIN b USING (category, language, question) GROUP BY ALL")
+@query("leak_answers", f"WITH {ROWS}, {_QA}, b AS (SELECT category, language, question, min(conv_id) AS first, arg_min(answer, conv_id) AS expected FROM qa GROUP BY ALL HAVING count(*) > 1) SELECT category, language, question, count(*) AS n, CAST(sum(CASE WHEN contains(answer, expected) THEN 1 ELSE 0 END) AS BIGINT) AS leaked FROM qa JOIN b USING (category, language, question) WHERE conv_id <> first GROUP BY ALL")
 def leak_answers(spark, sf_dir):
-    """Training rows with a benchmark row's question, and those whose answer holds the expected one."""
+    """The first dialogue of each question stands as the benchmark's; how many others ask it, and how many of them give its answer.
+
+    Equal answers are one row with a count before they meet the expected one."""
     qa = rows(spark, sf_dir).select("conv_id", "category", "language", D.final_question(F.col("messages")).alias("question"), D.final_answer(F.col("messages")).alias("answer")).filter("question is not null")
-    b = qa.filter("conv_id % 3 = 0").groupBy("category", "language", "question").agg(F.min("answer").alias("expected"))
-    return qa.join(b, ["category", "language", "question"]).groupBy("category", "language", "question").agg(F.count("*").alias("n"), F.count_if(F.contains("answer", "expected")).alias("leaked"))
+    keys = ["category", "language", "question"]
+    first = qa.groupBy(*keys).agg(F.min(F.struct("conv_id", "answer")).alias("first"), F.count("*").alias("all")).filter("all > 1").select(*keys, F.col("first.answer").alias("expected"))
+    per = qa.groupBy(*keys, "answer").agg(F.count("*").alias("k")).join(first, keys)
+    others = F.col("k") - F.when(F.col("answer") == F.col("expected"), 1).otherwise(0)
+    return per.groupBy(*keys).agg(F.sum(others).alias("n"), F.sum(F.when(F.contains("answer", "expected"), others).otherwise(0)).alias("leaked"))
+
+
+# Files and partial outputs.
+def _filed(spark, sf_dir):
+    """Dialogues as rows of files, some with the id of the row before, some malformed."""
+    r = rows(spark, sf_dir)
+    return r.withColumn("id", F.concat(F.lit("r"), F.when(F.col("conv_id") % 10 == 9, F.col("conv_id") - 7).otherwise(F.col("conv_id")))).withColumn("malformed", F.when(F.col("conv_id") % 13 == 5, F.lit("{")))
+
+
+_FILED = f"x AS (SELECT *, 'r' || CASE WHEN conv_id % 10 = 9 THEN conv_id - 7 ELSE conv_id END AS id, conv_id % 13 = 5 AS broken, len({_ORDER}) > 0 AS bad FROM rws)"
+
+
+@query(
+    "conv_file_report",
+    f"WITH {ROWS}, {_FILED}, y AS (SELECT *, NOT broken AND conv_id <> min(conv_id) FILTER (NOT broken) OVER (PARTITION BY source, id) AS again FROM x) SELECT source, count(*) AS total, count(*) FILTER (broken) AS malformed, count(*) FILTER (again) AS duplicate_ids, count(*) FILTER (broken OR again OR bad) AS failed FROM y GROUP BY source",
+)
+def conv_file_report(spark, sf_dir):
+    return D.file_report(_filed(spark, sf_dir), ["conv_id"])
+
+
+@query(
+    "conv_resume_problems",
+    f"WITH {ROWS}, {_FILED}, y AS (SELECT *, count(*) OVER (PARTITION BY id) AS ids, count(*) OVER (PARTITION BY roles, texts) AS same FROM x) SELECT conv_id, CASE WHEN category <> 'correction' THEN 'category' WHEN language <> 'en' THEN 'language' WHEN conv_id % 17 = 3 THEN 'stage' WHEN bad THEN 'invalid' WHEN ids > 1 THEN 'duplicate_id' WHEN same > 1 THEN 'duplicate_content' END AS problem FROM y WHERE problem IS NOT NULL",
+)
+def conv_resume_problems(spark, sf_dir):
+    """The dialogues that may not be in a partial output of one category and language, and why."""
+    r = _filed(spark, sf_dir).withColumn("stage", F.when(F.col("conv_id") % 17 == 3, "stage1").otherwise("stage0"))
+    return D.resume_problems(r, "correction", "en", "conv_id")
+
+
+@query("dedup_top_files", f"WITH {ROWS}, g AS (SELECT roles, texts, count(*) AS n FROM rws GROUP BY ALL) SELECT source, count(*) AS rows, count(*) FILTER (g.n > 1) AS in_groups FROM rws JOIN g USING (roles, texts) GROUP BY source ORDER BY in_groups DESC, source LIMIT 3")
+def dedup_top_files(spark, sf_dir):
+    """The files with the most dialogues that are elsewhere too, in order."""
+    r = rows(spark, sf_dir).select("source", D.content_key(F.col("messages")).alias("k"))
+    per = r.groupBy("k", "source").agg(F.count("*").alias("c"))
+    groups = per.groupBy("k").agg(F.sum("c").alias("n"))
+    found = per.join(groups, "k").groupBy("source").agg(F.sum("c").alias("rows"), F.sum(F.when(F.col("n") > 1, F.col("c")).otherwise(0)).alias("in_groups"))
+    return D.top(found, "in_groups", ["source"], 3)
+
+
+# Generation requests.
+@query(
+    "prompt_build",
+    f"WITH {ROWS}, q(category, depth, quota) AS (VALUES {_QUOTA}), h AS (SELECT category, n AS depth, count(*) AS have FROM rws GROUP BY ALL), r AS (SELECT category, depth, greatest(0, quota - coalesce(have, 0)) AS n FROM q LEFT JOIN h USING (category, depth)) SELECT category, language, depth::BIGINT AS depth, 'Category: ' || category || '. Messages: ' || depth || '. Language: ' || CASE language WHEN 'en' THEN 'English' ELSE 'Brazilian Portuguese' END || '. Exactly ' || n || ' examples, each unlike the others' || CASE WHEN category IN ('local_context', 'correction') THEN CASE depth WHEN 4 THEN '; nothing unrelated between' WHEN 6 THEN '; one unrelated exchange between' ELSE '; two unrelated exchanges between' END ELSE '' END || '.' AS prompt FROM r, (VALUES ('en'), ('pt')) v(language) WHERE n > 0",
+)
+def prompt_build(spark, sf_dir):
+    """A request for each category, depth and language whose quota is open."""
+    open_ = remaining_by_depth(spark, sf_dir).filter("remaining > 0").withColumn("language", F.explode(F.array(*[F.lit(x) for x in D.LANGUAGES])))
+    return open_.select("category", "language", "depth", G.prompt(F.col("category"), F.col("language"), F.col("remaining"), F.col("depth")).alias("prompt"))
+
+
+_WEIGHTS = {"src0": 5.0, "src1": 0.0, "src2": 2.0, "src3": 1.0}
+
+
+@query("weighted_choice", "WITH u AS (SELECT conv_id, ('0x' || substr(md5('5:' || conv_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 8 AS u FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT conv_id, CASE WHEN u < 5 THEN 'src0' WHEN u < 7 THEN 'src2' ELSE 'src3' END AS choice FROM u")
+def weighted_choice(spark, sf_dir):
+    """A name for each dialogue, drawn by weights from a seeded hash."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    return ids.select("conv_id", G.weighted(F.md5(F.concat(F.lit("5:"), F.col("conv_id").cast("string"))), _WEIGHTS).alias("choice"))
+
+
+TOOLS = [("fs_read", ["path"]), ("fs_write", ["path", "content"]), ("status", [])]
+
+
+@query("tool_block", f"WITH t(i, name, args) AS (VALUES {', '.join(f'({i}, {literal(n)}, {literal(chr(44).join(a))})' for i, (n, a) in enumerate(TOOLS))}), k AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') SELECT conv_id, 'AVAILABLE TOOLS:' || chr(10) || string_agg('- ' || name || CASE WHEN args = '' THEN '' ELSE '(' || replace(args, ',', ', ') || ')' END, chr(10) ORDER BY i) AS block FROM k, t GROUP BY conv_id")
+def tool_block(spark, sf_dir):
+    """A list of tools for each dialogue that has a system turn."""
+    tools = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in a]).cast("array<string>").alias("args")) for n, a in TOOLS])
+    return table(spark, sf_dir, "conversations").filter("role = 'system'").select("conv_id").distinct().select("conv_id", G.tools_block(tools).alias("block"))
+
+
+@query("json_pretty")
+def json_pretty(spark, sf_dir):
+    """Dialogues as JSON with sorted keys and an indent of two."""
+    return rows(spark, sf_dir).select("conv_id", G.pretty(F.to_json(F.struct("category", "messages", "language"))).alias("json"))
+
+
+@query("schema_check", f"WITH {ROWS} SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN 'next_agent' WHEN conv_id % 4 = 2 THEN 'why' WHEN conv_id % 4 = 3 THEN 'extra' END AS at FROM rws")
+def schema_check(spark, sf_dir):
+    """Routes made of the dialogues, three of four with a fault, against their schema: where it is broken."""
+    k = F.col("conv_id") % 4
+    route = F.struct(F.lit("route").alias("type"), F.when(k == 1, F.lit("nobody")).otherwise("planner").alias("next_agent"), F.create_map(F.lit("c"), "category").alias("blackboard_updates"), F.when(k == 2, F.repeat(F.lit("x"), 201)).otherwise("ok").alias("why"), F.when(k == 3, F.lit(1)).alias("extra"))
+    found = rows(spark, sf_dir).select("conv_id", G.schema_problem(F.to_json(route), G.SCHEMAS["route"]).alias("p"))
+    return found.select("conv_id", F.nullif(F.split("p", ":")[0], F.lit("")).alias("at"))

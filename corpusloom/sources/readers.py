@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import foreign
@@ -57,15 +57,28 @@ def html(spark: SparkSession, path) -> DataFrame:
     return text(spark, path).withColumn("content", foreign.html_text("content"))
 
 
-def yaml(path: str):
-    """Driver-side configuration."""
+def yaml(path: str, of_text: bool = False):
+    """Driver-side configuration, from a file or from its text."""
     import yaml as library
 
+    if of_text:
+        return library.safe_load(path)
     with open(path, encoding="utf-8") as f:
         return library.safe_load(f)
 
 
-READERS: dict[str, Callable] = {".txt": text, ".json": json, ".csv": csv, ".html": html, ".htm": html}
+def _lines(spark: SparkSession, path, schema: str = "content string", **options) -> DataFrame:
+    return jsonl(spark, path, schema, **options)
+
+
+def _settings(spark: SparkSession, path) -> DataFrame:
+    import json as library
+
+    found = yaml("".join(r["value"] + "\n" for r in spark.read.text(path).collect()), of_text=True)  # a configuration
+    return spark.createDataFrame([(library.dumps(found, ensure_ascii=False, sort_keys=True),)], "content string")
+
+
+READERS: dict[str, Callable] = {".txt": text, ".json": json, ".jsonl": _lines, ".csv": csv, ".html": html, ".htm": html, ".yaml": _settings, ".yml": _settings}
 CODECS = (".gz", ".bz2", ".xz", ".lzma", ".zip")
 
 
@@ -75,14 +88,72 @@ def register(suffix: str, reader: Callable) -> None:
     READERS[suffix] = reader
 
 
+def files(spark: SparkSession, paths, seed: int | None = None) -> DataFrame:
+    """path, size of the files that paths and patterns name, each once, in order of the path; with a seed, in that of a hash.
+
+    The files are not opened.  No file at all raises."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", F.col("length").alias("size")).dropDuplicates(["path"])
+    if not found.head(1):
+        raise FileNotFoundError(f"no files: {paths}")
+    return found.orderBy("path") if seed is None else found.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "path")), "path")
+
+
+def contents(spark: SparkSession, path, field: str = "content") -> DataFrame:
+    """One column of JSON lines, where it is a text; malformed lines are left out."""
+    return spark.read.schema(f"`{field}` string").option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).filter(F.col(field).isNotNull())
+
+
+def vocab(spark: SparkSession, path: str) -> DataFrame:
+    """token_id, token of a file of a token a line, as ``writers.vocab`` writes it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    spelled = F.col("value")
+    for plain, coded in (("\x00", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\\", "\x00")):
+        spelled = F.replace(spelled, F.lit(coded), F.lit(plain))
+    return lines.select((F.row_number().over(Window.orderBy("f", "b", "i")) - 1).cast("long").alias("token_id"), spelled.alias("token"))  # a vocabulary
+
+
+def benchmark(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
+    """The manifest of a benchmark's folder and its rows: id, category, language, messages, meta (all other fields, as JSON text).
+
+    Data files are named relative to the folder.  A row without a required field, without messages, of an unknown role,
+    or whose last turn is not the user's raises."""
+    import json as library
+
+    manifest = library.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/benchmark.json").collect()))  # one small file
+    lines = spark.read.text([f"{folder}/{x}" for x in manifest["data_files"]]).filter(F.trim("value") != "")
+    return manifest, parsed_examples(lines, "value")
+
+
+def parsed_examples(lines: DataFrame, column: str) -> DataFrame:
+    every = F.from_json(column, "map<string,string>")
+    rows = lines.select(F.col(column).alias("line"), every.alias("m")).withColumn("messages", F.from_json(F.element_at("m", "messages"), MESSAGES))
+    for name in ("id", "category", "language"):
+        rows = rows.withColumn(name, F.try_element_at("m", F.lit(name)))
+    roles = F.transform("messages", lambda x: x["role"])
+    wrong = (
+        F.when(F.col("m").isNull(), "invalid JSON")
+        .when(F.col("id").isNull() | F.col("category").isNull() | F.col("language").isNull() | F.try_element_at("m", F.lit("messages")).isNull(), "a field is missing")
+        .when(F.coalesce(F.size("messages"), F.lit(0)) <= 0, "no messages")
+        .when(F.exists("messages", lambda x: x["role"].isNull() | x["content"].isNull()), "a message without role or content")
+        .when(F.exists(roles, lambda x: ~x.isin("user", "assistant", "system")), "unknown role")
+        .when(F.try_element_at(roles, F.lit(-1)) != "user", "the last turn is not the user's")
+    )
+    bad = F.raise_error(F.concat(wrong, F.lit(": "), F.left("line", F.lit(200)))).cast("boolean")
+    rows = rows.filter(F.when(wrong.isNotNull(), bad).otherwise(F.lit(True)))
+    meta = F.map_filter("m", lambda k, _: ~k.isin("id", "category", "language", "messages"))
+    return rows.select("id", "category", "language", "messages", meta.alias("meta"))
+
+
 def by_suffix(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The reader of a path's suffix, a codec's suffix aside; an unknown one raises."""
+    """The reader of a path's suffix, a codec's suffix aside; an unknown one raises.
+
+    Spark opens .gz and .bz2; for the other codecs the text of the files is unpacked, and read as text."""
     name = path.lower()
-    for codec in (".gz", ".bz2"):
-        name = name.removesuffix(codec)
+    codec = next((c for c in CODECS if name.endswith(c)), "")
+    name = name.removesuffix(codec)
     for suffix, reader in READERS.items():
         if name.endswith(suffix):
-            return reader(spark, path, **options)
+            return reader(spark, path, **options) if codec in ("", ".gz", ".bz2") else compressed(spark, path)
     raise ValueError(f"no reader for {path!r}")
 
 
@@ -99,7 +170,10 @@ def unpacked(data: bytes, name: str) -> bytes:
 
 
 def compressed(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
-    """content, source_file of files under any of the codecs, those that Spark does not know among them."""
+    """content, source_file of files under any of the codecs, those that Spark does not know among them.
+
+    A file is a row, read whole by its task; a file beyond what a row can hold (2 GB) fails.  Dumps under .gz or .bz2 are
+    better read by ``wiki_dump`` or Spark's text reader, which unpack them as a stream."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in parts:

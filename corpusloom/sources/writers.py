@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors and the driver; only a session on one machine may do without."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        where = f"/tmp/checkpoints/{os.getpid()}"
+    return where.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder where all executors can write and read."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{os.getpid()}"
-    return f"{where.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def sharded(docs: DataFrame, path: str, rows: int = 10_000, form: str = "json", mode: str = "errorifexists") -> None:
@@ -56,3 +66,43 @@ def generation_report(rows: DataFrame, rejections: DataFrame, target: int, exist
     n = rows.agg(F.count("*").alias("final_rows"))
     out = n.crossJoin(depth).crossJoin(why)  # single rows
     return out.select(F.lit(target).alias("target"), F.lit(existing).alias("existing"), (F.col("final_rows") - existing).alias("generated"), (F.col("final_rows") >= target).alias("complete"), "rows_by_message_count", "rejections")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def reset(spark: SparkSession, *paths: str) -> None:
+    """Remove results and summaries of an earlier run; what is not there is no error."""
+    for path in paths:
+        _remove(spark, path)
+
+
+def summary(rows: DataFrame, path: str) -> None:
+    """A summary takes the place of the one before."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def vocab(tokens: DataFrame, path: str) -> None:
+    """A token a line, in order of token_id; within a token, back slashes and line ends are escaped."""
+    spelled = F.col("token")
+    for plain, coded in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        spelled = F.replace(spelled, F.lit(plain), F.lit(coded))
+    tokens.select("token_id", spelled.alias("value")).coalesce(1).sortWithinPartitions("token_id").select("value").write.mode("overwrite").text(path)  # a vocabulary
+
+
+def records(rows: DataFrame, path: str, kind: str) -> None:
+    """Append typed records to a log of JSON lines: type, and the columns of the rows."""
+    rows.select(F.lit(kind).alias("type"), "*").write.mode("append").json(path)
+
+
+def tagged(rows: DataFrame, text, path: str, review: str) -> None:
+    """Rows whose instruction tells a constraint, with it, to one place; the others, as they are, to another."""
+    from ..functions.answers import NEEDS_VALUE, infer_constraint
+
+    found = rows.withColumn("_c", infer_constraint(text))
+    sure = F.col("_c").isNotNull() & (~F.col("_c.constraint_type").isin(*NEEDS_VALUE) | F.col("_c.constraint_value").isNotNull())
+    sure = F.coalesce(sure, F.lit(False))
+    found.filter(sure).select(*rows.columns, "_c.constraint_type", "_c.constraint_value").write.mode("overwrite").json(path)
+    found.filter(~sure).select(*rows.columns).write.mode("overwrite").json(review)
