@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import ship, spread
+from ..sources.writers import shared_folder
 
 #: Stands for a null doc_id: such rows come after all others.
 LAST_ID = (1 << 63) - 1
@@ -20,7 +21,7 @@ LAST_ID = (1 << 63) - 1
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def doc_key(column: str = "doc_id") -> Column:
@@ -28,37 +29,105 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LAST_ID))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see, as the session names it."""
-    conf = spark.sparkContext.getConf()
-    where = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not where:
-        where = f"/tmp/checkpoints/{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Removes the shuffle files of a query when it ends; the tables that it wrote hold its rows.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[str]] = []
+
+
+def folder(spark: SparkSession, kind: str = "table") -> str:
+    """The name of a new folder that all executors and the driver see."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it: later jobs start from its files."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = folder(spark)
+    if _open:
+        _open[-1].append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files behind the table
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _roots(df: DataFrame) -> set[str]:
+    """The folders that a table's plan reads."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            paths = leaf.relation().location().rootPaths()
+            out |= {paths.apply(k).toUri().getPath() for k in range(paths.size())}
+    return out
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove tables of ``written`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for table in tables:
-        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {p for table in tables for p in _roots(table) if f"/{spark.sparkContext.applicationId}/" in p}:
+        for own in _open:
+            own[:] = [x for x in own if not x.endswith(path)]
+        _delete(spark, path)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Within it, tables are written that go at its end, but for those that a table given to ``keep`` reads."""
+    kept: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield kept.append
+    finally:
+        mine = _open.pop()
+        needed = set().union(*[_roots(x) for x in kept]) if kept else set()
+        for path in mine:
+            if any(path.endswith(x) or x.startswith(path) for x in needed):
+                if _open:
+                    _open[-1].append(path)  # whoever asked for the result lets go of it
+            else:
+                _delete(spark, path)
+
+
+def tidy(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that leaves no written table behind but those that its result reads."""
+
+    @wraps(f)
+    def run(*args, **options) -> DataFrame:
+        spark = next(x if isinstance(x, SparkSession) else x.sparkSession for x in args if isinstance(x, (SparkSession, DataFrame)))
+        with scope(spark) as keep:
+            out = f(*args, **options)
+            keep(out)
+        return out
+
+    return run
+
+
+#: Frequent keys that travel with the tasks: at most so many, each with at least so many rows.
+HOT, LEAST_HOT = 1_000, 1_000
+
+
+def hot_joined(rows: DataFrame, table: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row for each key, so that no frequent key gathers in a task.
+
+    table: the keys, ``count`` (how many rows have the key) and further columns.  The rows of its most frequent keys meet
+    them by broadcast, of ``HOT`` keys at most; all others meet by a merge."""
+    hot = written(table.filter(F.col(count) >= LEAST_HOT).orderBy(F.col(count).desc(), *on).limit(HOT))
+    names = F.broadcast(hot.select(*on))
+    few = rows.join(F.broadcast(hot), on)
+    rest = rows.join(names, on, "left_anti").join(table.join(names, on, "left_anti").hint("merge"), on, how)
+    return few.unionByName(rest)
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str, **columns) -> DataFrame:
