@@ -2,12 +2,17 @@
 
 Lines (between line feeds, without white space around) are compared by edit
 distance, up to a threshold that grows with the length of the longer of two
-lines (``BANDS``).  A line is split into one segment more than the threshold, of
-nearly equal length.  Two lines within the threshold share a segment of the
-longer's partner at a place shifted by few characters, so each line probes
-the index with few substrings of the right lengths, and the pairs found are
-verified by a banded bit-parallel automaton.  A line just below a band is in the
-index of that band as well.
+lines (``BANDS``; of none, lines are compared for equality).  A line is split into
+one segment more than the threshold, of nearly equal length.  Two lines within the
+threshold share a segment of the longer's partner at a place shifted by few
+characters, so each line probes the index with few substrings of the right
+lengths, and the pairs found are verified by a banded bit-parallel automaton.  A
+line just below a band is in the index of that band as well.
+
+Segments of one number only ever meet one another, so each number is a join of
+its own over the distinct lines, one after the other: what is shuffled at a time
+is one number's keys.  Keys are sorted, and a task sees the lines of a key as a
+run in its stream, whatever their number.
 
 Lines that meet under one segment in a large group are dealt anew.  At a
 threshold of one: by what is left of the line without one character; of the
@@ -20,11 +25,10 @@ each pair of blocks gives the edges of a forest that connects what is close.
 Linked lines form classes; of each class, the first line of the smallest doc_id
 stays, and every other line of it goes.
 
-Cases: blank lines are neither counted nor removed; lines of fewer than
-``min_chars`` characters are compared for equality alone; a null text has no
-lines; a null doc_id comes last; rows of an equal doc_id are one document after
-the other, in order of their texts; an empty table gives no rows; a very long
-line is one line; further columns are ignored.
+Cases: blank lines are neither counted nor removed; a null text has no lines; a
+null doc_id comes last; rows of an equal doc_id are one document after the other,
+in order of a hash of their texts, and equal rows are one; an empty table gives
+no rows; a very long line is one line; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ from . import words as W
 from .components import components
 
 #: From how many characters of the longer line how many edits are allowed.
-BANDS = ((0, 1), (40, 2), (100, 3))
-MIN_CHARS, GROUP, BLOCK = 20, 32, 512
+BANDS = ((0, 0), (20, 1), (40, 2), (100, 3))
+GROUP, BLOCK = 32, 512
 _CHARS = 11
 _BLANK = np.zeros(1 << 16, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -105,10 +109,28 @@ def allowed(n: np.ndarray, bands) -> np.ndarray:
     return np.array([e for _, e in bands])[np.searchsorted([least for least, _ in bands], n, "right") - 1]
 
 
-def _signatures(x, pick: np.ndarray, edits: int, probe: bool = True):
-    """(key, line, where the segment stands in it, its length) of the lines picked: index entries, and probes if asked for."""
+class Texts:
+    """Whole lines of a column, as code points."""
+
+    def __init__(self, column: pa.Array, start: np.ndarray | None = None, gone: np.ndarray | None = None):
+        data, offsets = W.utf8(column)
+        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        begins = offsets if len(chars) == len(data) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+        if start is not None:  # what is left beside a part of each line
+            keep = np.ones(len(chars) + 1, np.int64)
+            np.add.at(keep, begins[:-1] + start, -1)
+            np.add.at(keep, begins[:-1] + start + gone, 1)
+            inside = np.cumsum(keep - 1)[:-1] >= 0
+            chars = chars[inside]
+            begins = begins - np.concatenate([[0], np.cumsum(gone)])
+        self.start, self.size = begins[:-1], np.diff(begins)
+        self.runs = W.runs(W.mix(chars.astype(np.uint64) + np.uint64(0x51)), _CHARS)
+
+
+def _signatures(x, pick: np.ndarray, edits: int, numbers, probe: bool = True):
+    """(key, line, where the segment stands in it, its length) of the lines picked, for segments of some numbers: index entries, and probes if asked for."""
     start, n, parts = x.start[pick], x.size[pick], edits + 1
-    for i in range(parts):
+    for i in numbers:
         for d in range(edits + 1 if probe else 1):
             at, size = segment(n - d, i, parts)
             low = np.maximum(-i, d - (edits - i)) if probe else 0
@@ -122,73 +144,166 @@ def _signatures(x, pick: np.ndarray, edits: int, probe: bool = True):
                 yield key, pick[ok], p[ok], size[ok]
 
 
-def _banded(x: Lines, pick: np.ndarray, bands):
-    """(key, line, spot) of the lines picked, each at its own threshold, and in the index of a band that a longer partner has.
-
-    spot: where the segment stands, its length and the threshold, in 32, 28 and 4 bits."""
+def _banded(x, pick: np.ndarray, bands, number: int):
+    """(key, line, where the segment stands, its length, the threshold) of the lines picked for segments of a number, each line
+    at its own threshold, and in the index of a band that a longer partner has."""
     own = allowed(x.size[pick], bands)
-    for e in sorted({e for _, e in bands}):
+    for e in sorted({e for _, e in bands if e >= max(1, number)}):
         below = np.zeros(len(pick), bool)
         for d in range(1, e + 1):
             below |= allowed(x.size[pick] + d, bands) == e
         for some, probe in ((own == e, True), (below & (own != e), False)):
-            for key, line, at, size in _signatures(x, pick[some], e, probe):
-                yield key, line, at.astype(np.int64) << 32 | size.astype(np.int64) << 4 | e
-
+            for key, line, at, size in _signatures(x, pick[some], e, (number,), probe):
+                yield key, line, at, size, e
 
-def _pairs(found: DataFrame, group: int) -> DataFrame:
-    """Rows of keys that several lines have: key, line, and how many there are."""
-    counts = found.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1")
-    return found.join(counts, "key").withColumn("large", F.col("lines") > group)
 
+_FOUND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-def _met(small: DataFrame) -> DataFrame:
-    """All pairs of lines of the same key."""
-    small = small.select("key", "line")
-    return small.join(small.withColumnRenamed("line", "other"), "key").filter("line < other").select(F.col("line").alias("a"), F.col("other").alias("b"))
 
+def _runs(group: int):
+    """From (key, line) sorted by both: the pairs of lines of each key that few have (a, b), and the rows of all others (key, a)."""
 
-def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) of line hashes that connect all distinct lines within ``edits`` edits of one another.
-
-    documents: text. ``edits``: a number for lines of every length, or (least length of the longer line, number) ascending."""
-    bands = _bands(edits)
+    def found(key=(), a=(), b=None):
+        n = len(a)
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(key) if b is None else none, pa.array(a), none if b is None else pa.array(b)], schema=_FOUND)
 
-    def picked(x: Lines) -> np.ndarray:
-        pick = np.unique(x.hash, return_index=True)[1]
-        return pick[x.size[pick] >= np.maximum(min_chars, allowed(x.size[pick], bands) + 1)]
+    def closed(key: np.ndarray, line: np.ndarray):
+        """Whole runs."""
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(at, len(key)))
+        for n in np.unique(size[(size > 1) & (size <= group)]).tolist():
+            of = line[at[size == n][:, None] + np.arange(n)[None, :]]
+            i, j = np.triu_indices(n, 1)
+            for low in range(0, len(of), max(1, (1 << 16) // len(i))):
+                part = of[low : low + max(1, (1 << 16) // len(i))]
+                yield found(a=part[:, i].ravel(), b=part[:, j].ravel())
+        large = np.repeat(size > group, size)
+        if large.any():
+            yield found(key[large], line[large])
 
-    def sign(batches):
+    def run(batches):
+        held_key, held_line, open_key, last = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
         for batch in batches:
-            for _, x in line_chunks(batch.column("text")):
-                for key, line, spot in _banded(x, picked(x), bands):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(x.hash[line].view(np.int64)), pa.array(spot)], ["key", "line", "spot"])
-
-    signed = documents.mapInArrow(sign, "key long, line long, spot long")
-    signed = signed.repartition("key").dropDuplicates(["key", "line", "spot"])  # dealt once, for the counts and the join as well
-    shared = T.written(_pairs(signed, group).select("key", "line", "large", "spot"))
-    pairs = _met(shared.filter("not large")).distinct()
-
-    wanted = shared.select("line").distinct()
-
-    def texts(batches):
+            key, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line"))
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+            new[0] = last != (key[0], line[0])
+            last = (key[-1], line[-1])
+            key, line = key[new], line[new]
+            if open_key is not None:  # a large run that goes on
+                n = int(np.searchsorted(key != open_key, True)) if (key != open_key).any() else len(key)
+                if n:
+                    yield found(key[:n], line[:n])
+                key, line = key[n:], line[n:]
+                if not len(key):
+                    continue
+                open_key = None
+            key, line = np.concatenate([held_key, key]), np.concatenate([held_line, line])
+            if not len(key):
+                continue
+            whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            yield from closed(key[:whole], line[:whole])
+            held_key, held_line = key[whole:], line[whole:]
+            if len(held_key) > group:
+                yield found(held_key, held_line)
+                open_key, held_key, held_line = held_key[0], held_key[:0], held_line[:0]
+        if len(held_key):
+            yield from closed(held_key, held_line)
+
+    return run
+
+
+def _met(signed: DataFrame, group: int) -> DataFrame:
+    """key, a, b: pairs of lines of one key where few have it, else the lines of the key (b null). signed: key, line."""
+    ordered = signed.repartition("key").sortWithinPartitions("key", "line")
+    return T.written(ordered.mapInArrow(_runs(group), "key long, a long, b long"))
+
+
+def distinct_lines(documents: DataFrame, bands, min_chars: int = 0) -> DataFrame:
+    """line (its hash), words of all distinct lines that a threshold above zero may concern."""
+    most = max(e for _, e in bands)
+
+    def run(batches):
         for batch in batches:
             for _, x in line_chunks(batch.column("text")):
-                pick = picked(x)
+                pick = np.unique(x.hash, return_index=True)[1]
+                pick = pick[(x.size[pick] >= max(min_chars, 2)) & (allowed(x.size[pick] + most, bands) > 0)]
                 for at in range(0, len(pick), 4096):
                     part = pick[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[part].view(np.int64)), pa.array([x.chars[a:b].tobytes().decode("utf-32-le") for a, b in zip(x.start[part], x.end[part], strict=True)], pa.string())], ["line", "words"])
 
-    lines = T.written(documents.mapInArrow(texts, "line long, words string").join(wanted.hint("merge"), "line", "left_semi").groupBy("line").agg(F.first("words").alias("words")))
-    large = shared.filter("large").select("key", "line", (F.shiftright("spot", 32)).cast("int").alias("at"), F.shiftright("spot", 4).bitwiseAND(F.lit((1 << 28) - 1)).cast("int").alias("size"), F.col("spot").bitwiseAND(F.lit(15)).cast("int").alias("edits"))
-    pairs = pairs.unionByName(_dealt_anew(large.filter("edits = 1").drop("edits"), lines))
+    return T.written(documents.mapInArrow(run, "line long, words string").groupBy("line").agg(F.first("words").alias("words")))
+
+
+def _pieces(column: pa.Array, size: int = 4 * W.CHUNK_BYTES):
+    """Bounds of the rows of a column, so much text at a time."""
+    _, offsets = W.utf8(column)
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        to = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1))
+        yield row, to
+        row = to
+
+
+def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) of line hashes that connect all distinct lines within ``edits`` edits of one another.
+
+    documents: text. ``edits``: a number for lines of every length, or (least length of the longer line, number) ascending."""
+    bands = _bands(edits)
+    most = max(e for _, e in bands)
+    if not most:
+        return documents.sparkSession.createDataFrame([], "a long, b long")
+    lines = distinct_lines(documents, bands, min_chars)
+
+    def signed(number: int) -> DataFrame:
+        def sign(batches):
+            for batch in batches:
+                for low, high in _pieces(batch.column("words")):
+                    names, x = batch.column("line").to_numpy(zero_copy_only=False)[low:high], Texts(batch.column("words").slice(low, high - low))
+                    parts = [(key, names[line]) for key, line, *_ in _banded(x, np.arange(high - low), bands, number)]
+                    keys, of = (np.concatenate([p[i] for p in parts]) for i in (0, 1)) if parts else (np.zeros(0, np.uint64), names[:0])
+                    for at in range(0, len(keys), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(of[at : at + (1 << 16)])], ["key", "line"])
+
+        return lines.mapInArrow(sign, "key long, line long")
+
+    def spots(number: int) -> DataFrame:
+        """key, line, at, size, edits: where the shared segment of a large group stands in its lines."""
+
+        def run(batch: pa.RecordBatch):
+            for low, high in _pieces(batch.column("words")):
+                part = batch.slice(low, high - low)
+                wanted, names = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line"))
+                for key, row, at, size, e in _banded(Texts(part.column("words")), np.arange(high - low), bands, number):
+                    mine = key.view(np.int64) == wanted[row]
+                    yield {"key": wanted[row[mine]], "line": names[row[mine]], "at": at[mine], "size": size[mine], "edits": np.full(int(mine.sum()), e)}
+
+        return T.map_batches(found[number].filter("b is null").select("key", F.col("a").alias("line")).join(lines, "line"), run, "key long, line long, at int, size int, edits int")
+
+    found = [_met(signed(i), group) for i in range(most + 1)]
+    pairs = found[0].filter("b is not null")
+    for more in found[1:]:
+        pairs = pairs.unionByName(more.filter("b is not null"))
+    pairs = pairs.select("a", "b")
     blocked = None
-    if max(e for _, e in bands) > 1:
-        again = T.written(_pairs(_beside(large.filter("edits > 1"), lines).repartition("key").dropDuplicates(["key", "line"]), group).select("key", "line", "large", "lines"))
-        pairs = pairs.unionByName(_met(again.filter("not large")))
-        blocked = _in_blocks(again.filter("large"), lines, bands)
-    pairs = pairs.distinct()
-    both = pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(lines.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
+    several = [i for i, x in enumerate(found) if x.filter("b is null").head(1)]
+    if several:
+        large = spots(several[0])
+        for i in several[1:]:
+            large = large.unionByName(spots(i))
+        large = T.written(large)
+        pairs = pairs.unionByName(_dealt_anew(large.filter("edits = 1").drop("edits"), lines))
+        if most > 1:
+            again = _met(_beside(large.filter("edits > 1"), lines), group)
+            pairs = pairs.unionByName(again.filter("b is not null").select("a", "b"))
+            blocked = _in_blocks(again.filter("b is null").select("key", F.col("a").alias("line")), lines, bands)
+    pairs = T.written(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    known = T.written(lines.join(wanted.hint("merge"), "line", "left_semi"))
+    both = pairs.join(known.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(known.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
 
     def verify(batch: pa.RecordBatch):
         close = close_pairs(batch.column("x"), batch.column("y"), bands)
@@ -208,39 +323,29 @@ def close_pairs(x: pa.Array, y: pa.Array, bands) -> np.ndarray:
     return out
 
 
-class _Rests:
-    """What is left of lines beside a segment, as code points, for ``_signatures``."""
-
-    def __init__(self, texts: list[str]):
-        chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        self.size = np.array([len(t) for t in texts], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.runs = W.runs(W.mix(chars.astype(np.uint64) + np.uint64(0x51)), _CHARS)
-
-
 def _beside(large: DataFrame, lines: DataFrame) -> DataFrame:
     """key, line of large groups dealt anew by the segments of what is left: lines within some edits that share a segment
     are within as many beside it.  Where the segment is so short that nothing can be split, the key stays."""
 
     def run(batch: pa.RecordBatch):
-        keys, names, at, size, edits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "at", "size", "edits"))
-        words = batch.column("words").to_pylist()
-        short = size < 3
-        yield {"key": keys[short], "line": names[short]}
-        for low in range(0, len(words), 1024):
-            x = _Rests([t[:a] + t[a + n :] for t, a, n in zip(words[low : low + 1024], at[low : low + 1024].tolist(), size[low : low + 1024].tolist(), strict=True)])
-            for e in np.unique(edits[low : low + 1024]):
-                pick = np.flatnonzero(~short[low : low + 1024] & (edits[low : low + 1024] == e))
-                for key, line, _, _ in _signatures(x, pick, int(e)):
-                    yield {"key": W.mix(key ^ W.mix(keys[low + line].view(np.uint64))).view(np.int64), "line": names[low + line]}
+        short = batch.column("size").to_numpy(zero_copy_only=False) < 3
+        yield {"key": batch.column("key").filter(pa.array(short)), "line": batch.column("line").filter(pa.array(short))}
+        for low, high in _pieces(batch.column("words"), W.CHUNK_BYTES):
+            part = batch.slice(low, high - low)
+            keys, names, at, size, edits = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "at", "size", "edits"))
+            x = Texts(part.column("words"), at.astype(np.int64), size.astype(np.int64))
+            for e in np.unique(edits).tolist():
+                pick = np.flatnonzero(~short[low:high] & (edits == e))
+                for key, line, _, _ in _signatures(x, pick, e, range(e + 1)):
+                    yield {"key": W.mix(key ^ W.mix(keys[line].view(np.uint64))).view(np.int64), "line": names[line]}
 
     return T.map_batches(large.join(lines, "line"), run, "key long, line long")
 
 
 def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
     """Verified edges of large groups: each pair of blocks of a group is a task of bounded size."""
-    blocks = F.ceil(F.col("lines") / BLOCK).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = large.join(sizes, "key").withColumn("own", F.pmod(F.hash("line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "line", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def connect(table: pa.Table) -> pa.Table:
@@ -366,25 +471,26 @@ def within(x: pa.Array, y: pa.Array, edits: int) -> np.ndarray:
     return out
 
 
-def removed_lines(documents: DataFrame, edits=BANDS, min_chars: int = MIN_CHARS, group: int = GROUP) -> DataFrame:
+@T.tidy
+def removed_lines(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int = GROUP) -> DataFrame:
     """_key, text_hash, n_lines, removed (numbers of lines that go, from 0, blank lines counted) of each distinct document row, and copies of the row."""
     docs = documents.select(T.doc_key().alias("_key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def occurrences(batch: pa.RecordBatch):
-        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "text_hash"))
         for at, x in line_chunks(batch.column("text")):
-            rows = np.arange(at, at + x.rows)
-            yield {"_key": ids[rows], "text_hash": tags[rows], "number": np.full(x.rows, -1), "line": np.bincount(x.row, minlength=x.rows)}
-            yield {"_key": ids[at + x.row], "text_hash": tags[at + x.row], "number": x.number, "line": x.hash}
+            of, counts = batch.slice(at, x.rows), np.bincount(x.row, minlength=x.rows)
+            yield {"_key": of.column("_key"), "text_hash": of.column("text_hash"), "numbers": T.lists(x.number.astype(np.int32), counts), "lines": T.lists(x.hash, counts)}
 
-    found = T.written(T.map_batches(docs, occurrences, "_key long, text_hash long, number int, line long"))
-    heads = found.filter("number < 0").groupBy("_key", "text_hash").agg(F.max("line").alias("n_lines"), F.count("*").alias("copies"))
+    found = T.written(T.map_batches(docs, occurrences, "_key long, text_hash long, numbers array<int>, lines array<long>"))
+    place = F.struct("_key", "text_hash", F.col("x.numbers").alias("number"))
+    first = found.select("_key", "text_hash", F.explode(F.arrays_zip("numbers", "lines")).alias("x")).groupBy(F.col("x.lines").alias("line")).agg(F.min(place).alias("first"))
     classes = components(edit_links(docs.select("text"), edits, min_chars, group))
-    named = found.filter("number >= 0").join(classes, F.col("line") == F.col("node"), "left").select("_key", "text_hash", "number", F.coalesce("component", "line").alias("kind"))
-    first = named.groupBy("kind").agg(F.min(F.struct("_key", "text_hash", "number")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = named.join(first.select("kind", "first"), "kind").filter(F.struct("_key", "text_hash", "number") != F.col("first"))
-    lost = gone.groupBy("_key", "text_hash").agg(F.array_sort(F.collect_set("number")).alias("removed"))
-    return heads.join(lost, ["_key", "text_hash"], "left").withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<int>)")))
+    # of each class the first line stays; no line's or class's occurrences ever gather
+    kinds = first.join(classes, F.col("line") == F.col("node"), "left").groupBy(F.coalesce("component", "line").alias("kind")).agg(F.min("first").alias("first"))
+    kept = kinds.select("first.*").groupBy("_key", "text_hash").agg(F.collect_list("number").alias("kept"))  # of one document
+    heads = found.groupBy("_key", "text_hash").agg(F.first("numbers").alias("numbers"), F.count("*").alias("copies"))
+    lost = F.array_except("numbers", F.coalesce("kept", F.expr("cast(array() as array<int>)")))
+    return heads.join(kept, ["_key", "text_hash"], "left").select("_key", "text_hash", F.size("numbers").cast("long").alias("n_lines"), lost.alias("removed"), "copies")
 
 
 def kept_text(text, removed):
@@ -394,10 +500,12 @@ def kept_text(text, removed):
 
 
 def deduplicated(documents: DataFrame, **options) -> DataFrame:
-    """Documents with their kept text."""
-    found = removed_lines(documents, **options).drop("copies")
-    docs = documents.withColumn("_key", T.doc_key()).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.join(found, ["_key", "text_hash"]).withColumn("text", kept_text(F.coalesce("text", F.lit("")), F.col("removed"))).drop("_key", "text_hash")
+    """Documents with their kept text; all other columns stay."""
+    found = removed_lines(documents, **options).select(F.col("_key").alias("_k"), F.col("text_hash").alias("_h"), F.col("removed").alias("_removed"))
+    columns = [F.coalesce("text", F.lit("")).alias(c) if c == "text" else F.col(c) for c in documents.columns]
+    docs = documents.select(F.struct(*columns).alias("_row"), T.doc_key().alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    joined = docs.join(found, ["_k", "_h"])
+    return joined.select(*[kept_text(F.col("_row.text"), F.col("_removed")).alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in documents.columns])
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
