@@ -8,7 +8,10 @@ class, of which the smallest doc_id counts; every other document of the class
 has the run in an earlier document.  Where one anchor has several classes, the
 first document of each class is opened and its single windows are compared, so
 no pair of documents is ever formed and a passage in a third of all documents
-is one class.
+is one class, whose documents meet its head by broadcast.
+
+Anchors are found once and written; rows are told apart by doc_id and a hash of
+the text, so many rows of one doc_id, or without one, spread like any others.
 
 Cases: a null text has no words; a text of fewer words than the window keeps
 all; equal doc_ids never remove from one another; a null doc_id counts as
@@ -71,30 +74,34 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return items.astype(np.int64, copy=False), rows
 
 
+_ROW = ["_key", "_tag"]
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The runs to remove: _key, runs (keys of whole runs), windows (hashes of single windows).
+    """The runs to remove: _key, _tag, runs (keys of whole runs), windows (hashes of single windows).
 
-    docs: _key long and text, hash-partitioned by _key."""
+    docs: _key and _tag (long), which tell rows apart, and text."""
 
     def anchors_of(batch: pa.RecordBatch):
-        ids = batch.column("_key").to_numpy(zero_copy_only=False)
+        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in _ROW)
         for chunk in W.chunks(batch.column("text"), W.SPACE):
             x = _Runs(chunk, window, gram)
             once = np.unique(_salted(x.run ^ x.anchor, x.row), return_index=True)[1]  # a run that repeats in a document counts once
-            yield {"anchor": x.anchor[once], "run": x.run[once], "_key": ids[chunk.row + x.row[once]]}
-
-    anchors = T.map_batches(docs, anchors_of, "anchor long, run long, _key long")
-    classes = anchors.groupBy("anchor", "run").agg(F.min("_key").alias("head"), F.max("_key").alias("tail"))
-    whole = (
-        anchors.join(classes.filter("head < tail").select("anchor", "run", "head"), ["anchor", "run"])
-        .filter("_key > head")
-        .select("_key", F.col("run").alias("key"), F.lit(True).alias("whole"))
-    )
+            row = chunk.row + x.row[once]
+            yield {"anchor": x.anchor[once], "run": x.run[once], "_key": ids[row], "_tag": tags[row]}
+
+    anchors = T.written(T.map_batches(docs, anchors_of, "anchor long, run long, _key long, _tag long"))
+    classes = T.written(anchors.groupBy("anchor", "run").agg(F.min("_key").alias("head"), F.max("_key").alias("tail"), F.count("*").alias("rows")))
+    again = classes.filter("head < tail")
+    whole = T.hot_joined(anchors, again.select("anchor", "run", "head", "rows"), ["anchor", "run"], "rows").filter("_key > head")
+    whole = T.written(whole.select(*_ROW, F.col("run").alias("key"), F.lit(True).alias("whole")))
     several = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("head").alias("a"), F.max("tail").alias("b")).filter("n > 1 and a < b")
-    opened = classes.join(several.select("anchor"), "anchor").groupBy(F.col("head").alias("_key")).agg(F.collect_list("run").alias("runs"))
+    heads = T.written(T.hot_joined(classes, several.select("anchor", "n"), ["anchor"], "n").select("anchor", "run", "head", "rows"))
+    mine = T.hot_joined(anchors, heads, ["anchor", "run"], "rows").filter("_key = head")  # all rows of the least doc_id
+    opened = T.written(mine.groupBy(*_ROW).agg(F.collect_list("run").alias("runs")))
 
     def windows_of(batch: pa.RecordBatch):
-        ids = batch.column("_key").to_numpy(zero_copy_only=False)
+        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in _ROW)
         wanted, rows = _listed(batch.column("runs"))
         for chunk in W.chunks(batch.column("text"), W.SPACE):
             x = _Runs(chunk, window, gram)
@@ -103,24 +110,28 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             starts, run = _spread(x.first[take], x.last[take])
             anchor, found, row = x.anchor[take][run], _window_hashes(chunk, starts, window), x.row[take][run]
             once = np.unique(_salted(found ^ anchor, row), return_index=True)[1]
-            yield {"anchor": anchor[once], "window": found[once], "_key": ids[chunk.row + row[once]]}
-
-    windows = T.map_batches(docs.join(opened, "_key"), windows_of, "anchor long, window long, _key long")
-    firsts = windows.groupBy("anchor", "window").agg(F.min("_key").alias("head"), F.max("_key").alias("tail")).filter("head < tail")
-    single = windows.join(firsts.select("anchor", "window", "head"), ["anchor", "window"]).filter("_key > head").select("_key", F.col("window").alias("key"), F.lit(False).alias("whole"))
+            row = chunk.row + row[once]
+            yield {"anchor": anchor[once], "window": found[once], "_key": ids[row], "_tag": tags[row]}
+
+    # one row of those that are equal: they have the same runs
+    texts = docs.join(opened.hint("merge"), _ROW).dropDuplicates(_ROW)
+    windows = T.written(T.map_batches(texts, windows_of, "anchor long, window long, _key long, _tag long"))
+    firsts = windows.groupBy("anchor", "window").agg(F.min("_key").alias("head"), F.max("_key").alias("tail"), F.count("*").alias("rows")).filter("head < tail")
+    single = T.hot_joined(windows, firsts.select("anchor", "window", "head", "rows"), ["anchor", "window"], "rows").filter("_key > head").select(*_ROW, F.col("window").alias("key"), F.lit(False).alias("whole"))
     return (
         whole.unionByName(single)
-        .groupBy("_key")
+        .groupBy(*_ROW)
         .agg(F.collect_set(F.when(F.col("whole"), F.col("key"))).alias("runs"), F.collect_set(F.when(~F.col("whole"), F.col("key"))).alias("windows"))
     )
 
 
+@T.tidy
 def removed_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (its words, joined by one space), spans (removed words as [first, after] pairs).
 
     A word goes where a window of ``window`` words covers it that also starts in a document with a smaller id."""
-    docs = documents.select(T.doc_key(id_col).alias("_key"), F.col(text_col).alias("text")).repartition("_key")  # one shuffle, read by every step
-    found = repeats(docs, window, gram)
+    docs = documents.select(T.doc_key(id_col).alias("_key"), F.xxhash64(text_col).alias("_tag"), F.col(text_col).alias("text"))
+    found = T.written(repeats(docs, window, gram))
 
     def cut(batch: pa.RecordBatch):
         ids = batch.column("_key").to_numpy(zero_copy_only=False)
@@ -163,7 +174,7 @@ def removed_words(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
             mine = ids[chunk.row : chunk.row + chunk.rows]
             yield {"doc_id": pa.array(mine, mask=mine == T.LAST_ID), "n_words": n, "n_removed": lost, "kept": kept, "spans": spans}
 
-    joined = docs.join(found, "_key", "left").select("_key", "text", "runs", "windows")
+    joined = docs.join(found.hint("merge"), _ROW, "left").select("_key", "text", "runs", "windows")
     return T.map_batches(joined, cut, "doc_id long, n_words long, n_removed long, kept string, spans array<array<int>>")
 
 
