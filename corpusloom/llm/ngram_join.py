@@ -22,6 +22,11 @@ So no pair within a group of copies is ever a row: a task returns the edges
 that connect classes, and the frequent shingles of a shared passage or a family
 of copies meet in one group.
 
+Which shingles are frequent is estimated while the sets are made: each task keeps
+the counts of the shingles it sees most, and lowers all when it has too many, so
+what is anywhere near a share of one in ``COUNTED`` of a task's shingles is found,
+however thinly it is spread.  The estimate steers the order alone, not the result.
+
 Cases: null and empty texts and texts without words have no shingles and link
 with nothing; equal sets always link; a null doc_id comes last and stands as
 null; repeated rows each give a row; an empty table gives no rows; a very long
@@ -40,9 +45,12 @@ from . import words as W
 from .components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Frequent shingles that come last: at most so many, seen at least so often; a task counts those it sees so often in a chunk.
-MOST_FREQUENT, LEAST_SEEN, LEAST_IN_CHUNK = 50_000, 64, 4
+#: Frequent shingles that come last: at most so many, seen at least so often.  A task names those it sees so often, and
+#: counts so many at a time.
+MOST_FREQUENT, LEAST_SEEN, LEAST_IN_TASK, COUNTED = 500_000, 64, 8, 200_000
 BLOCK_NODES, BLOCK_SHINGLES, QUERIES = 256, 2_000_000, 2_000
+#: Rows of a shingle that meet the matrix in one place.
+SHARED = 1_000
 
 
 def least_overlap(n, percent: int):
@@ -93,19 +101,52 @@ def _prefixes(s: Sets, frequent: np.ndarray, percent: int) -> np.ndarray:
     return place < np.repeat(prefix_size(s.sizes, percent), s.sizes)
 
 
+class _Seen:
+    """The most frequent values of a stream, with counts that are too low by a bounded share of its length at most."""
+
+    def __init__(self, most: int = COUNTED):
+        self.most, self.held, self.size = most, [], 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(values)
+        self.size += len(values)
+        if self.size > 4 * self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        values, counts = np.unique(np.concatenate(self.held), return_counts=True)
+        self.held, self.size = [], 0
+        values, counts = np.concatenate([self.values, values]), np.concatenate([self.counts, counts])
+        order = np.argsort(values, kind="stable")
+        values, counts = values[order], counts[order]
+        at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+        values, counts = values[at], np.add.reduceat(counts, at) if len(at) else counts
+        if len(values) > self.most:
+            counts = counts - np.partition(counts, len(counts) - self.most)[len(counts) - self.most]
+            values, counts = values[counts > 0], counts[counts > 0]
+        self.values, self.counts = values, counts
+
+
 def sets_of(documents: DataFrame, shingle: int) -> DataFrame:
     """_key, text_hash, n (size of the set), node (its name); and, where _key is null, frequent shingles and how often they were seen."""
+    schema = pa.schema([("_key", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
 
-    def run(batch: pa.RecordBatch):
-        for chunk in W.chunks(batch.column("text"), W.SPACE, True):
-            s = Sets(chunk, shingle)
-            yield {k: batch.column(k).slice(chunk.row, chunk.rows) for k in ("_key", "text_hash")} | {"n": s.sizes, "node": s.name}
-            values, counts = np.unique(s.values, return_counts=True)
-            often = counts >= LEAST_IN_CHUNK
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield {"_key": none, "text_hash": none, "n": counts[often], "node": values[often]}
+    def run(batches):
+        seen = _Seen()
+        for batch in batches:
+            for chunk in W.chunks(batch.column("text"), W.SPACE, True):
+                s = Sets(chunk, shingle)
+                seen.add(s.values)
+                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(chunk.row, chunk.rows), batch.column("text_hash").slice(chunk.row, chunk.rows), pa.array(s.sizes, pa.int64()), pa.array(s.name.view(np.int64))], schema=schema)
+        seen.settle()
+        often = seen.counts >= LEAST_IN_TASK
+        none = pa.nulls(int(often.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(seen.counts[often], pa.int64()), pa.array(seen.values[often].view(np.int64))], schema=schema)
 
-    return T.map_batches(documents, run, "_key long, text_hash long, n long, node long")
+    return documents.mapInArrow(run, "_key long, text_hash long, n long, node long")
 
 
 def _prefix_rows(documents: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -228,23 +269,28 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame, frequent: np.ndarray, s
     named = named.withColumn("group", F.when(F.col("single"), F.xxhash64(F.lit("single"), "block")).otherwise(F.xxhash64(F.lit("class"), "class")))
     sizes = named.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     named = T.written(named.join(sizes, "group"))
-    mine = rows.select("token", "node").join(named.select("node", "group", "members"), "node")
-    matrix = mine.select("token", F.col("group").alias("of"), F.col("members").alias("of_members")).distinct()
+    mine = rows.join(named.select("node", "group", "members"), "node")
+    # a shingle of many nodes meets the matrix in several places, each with a part of its nodes
+    places = F.ceil(F.col("df") / SHARED)
+    matrix = mine.select("token", "df", F.col("group").alias("of"), F.col("members").alias("of_members")).distinct()
+    matrix = matrix.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).drop("df")
+    mine = mine.withColumn("place", F.pmod(F.xxhash64("node"), places))
     larger = (F.col("of_members") > F.col("members")) | ((F.col("of_members") == F.col("members")) & (F.col("of") > F.col("group")))
-    opened = mine.join(matrix, "token").filter(larger).groupBy("node", "of").agg(F.count("*").alias("hits"))
-    opened = T.written(opened.join(named.select("node", "n", "class"), "node").filter(F.col("hits") >= need).select("node", "class", "of"))
-    asked = opened.groupBy("of").agg(F.count("*").alias("queries")).join(sizes.withColumnRenamed("group", "of"), "of")
+    opened = mine.join(matrix, ["token", "place"]).filter(larger).groupBy("node", "of").agg(F.count("*").alias("hits"))
+    opened = T.written(opened.join(named.select("node", "n", "class"), "node").filter(F.col("hits") >= need).select("node", "n", "class", "of"))
+    asked = opened.groupBy("of").agg(F.count("*").alias("queries"), F.sum("n").alias("asked")).join(sizes.withColumnRenamed("group", "of"), "of")
     asked = asked.select(
-        "of", F.ceil(F.col("queries") / QUERIES).cast("long").alias("sheets"), F.ceil(F.greatest(F.col("members") / (4 * BLOCK_NODES), F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("cuts")
+        "of", F.ceil(F.greatest(F.col("queries") / QUERIES, F.col("asked") / BLOCK_SHINGLES)).cast("long").alias("sheets"), F.ceil(F.greatest(F.col("members") / (4 * BLOCK_NODES), F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("cuts")
     )
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asking = opened.join(asked, "of").withColumn("sheet", F.pmod("node", "sheets")).withColumn("cut", each("cuts")).withColumn("role", F.lit(1))
+    asking = opened.drop("n").join(asked, "of").withColumn("sheet", F.pmod("node", "sheets")).withColumn("cut", each("cuts")).withColumn("role", F.lit(1))
     asked_of = named.withColumnRenamed("group", "of").select("of", "node", "class").join(asked, "of").withColumn("cut", F.pmod("node", "cuts")).withColumn("sheet", each("sheets")).withColumn("role", F.lit(0))
     tasks = asking.select("of", "sheet", "cut", "role", "node", "class").unionByName(asked_of.select("of", "sheet", "cut", "role", "node", "class"))
     tasks = tasks.select(F.xxhash64("of", "sheet", "cut").alias("task"), "role", "node", "class").join(sets.drop("tasks").hint("merge"), "node")
     return first.unionByName(_edges(tasks, percent))
 
 
+@T.tidy
 def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """_key, text_hash, n_shingles, class, component for every document (doc_id, text).
 
@@ -256,13 +302,13 @@ def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     top = seen.orderBy(F.desc("seen"), "node").limit(MOST_FREQUENT).select("node").toPandas()["node"]  # bounded
     frequent = np.sort(top.to_numpy(np.int64).view(np.uint64))
     sets = scanned.filter("_key is not null")
-    nodes = T.written(sets.filter("n > 0").groupBy("node", "n").agg(F.min("_key").alias("_key")))
-    classes = components(T.written(linked_nodes(docs, nodes, frequent, shingle, percent)))
+    nodes = T.written(sets.filter("n > 0").groupBy("node", "n").agg(F.min("_key").alias("_key"), F.count("*").alias("copies")))
+    classes = components(T.written(linked_nodes(docs, nodes.drop("copies"), frequent, shingle, percent)))
     least = classes.join(nodes, "node").groupBy("component").agg(F.min("_key").alias("least"))
     linked = classes.join(least, "component").select("node", F.col("component").alias("class"), "least")
-    first = nodes.join(linked, "node", "left").select("node", F.coalesce("class", "node").alias("class"), F.coalesce("least", "_key").alias("component"))
+    first = nodes.join(linked, "node", "left").select("node", F.coalesce("class", "node").alias("class"), F.coalesce("least", "_key").alias("component"), "copies")
     empty = sets.filter("n = 0").select("_key", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("_key").alias("component"))
-    return sets.filter("n > 0").join(first, "node").select("_key", "text_hash", F.col("n").alias("n_shingles"), "class", "component").unionByName(empty)
+    return T.hot_joined(sets.filter("n > 0"), T.written(first), ["node"], "copies").select("_key", "text_hash", F.col("n").alias("n_shingles"), "class", "component").unionByName(empty)
 
 
 def _id(key: str) -> Column:
