@@ -7,7 +7,7 @@ it is exact integer arithmetic); the cumulative targets map points to sources.
 The slots of a source are ranked, and rank r takes its block r mod (number of
 blocks): when all blocks are taken the source starts over.  Slots that would
 take a source's blocks more than ``most`` times go, in the schedule's order, to
-the sources that have room, by points of the same lattice over their shares.
+the sources that have room, one to each in turns.
 
 Targets share all words by weight, but stop at ``most`` times the source's
 words; what is above is shared again by weight until no source is above.
@@ -21,9 +21,6 @@ buckets of bounded size, so no source has to fit one task.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,24 +91,14 @@ def streams(documents: DataFrame, sources: DataFrame) -> DataFrame:
 def handed_over(sources: list, most: int = MOST) -> list[tuple[int, int]]:
     """(place, rank) for each slot above its source's ``most`` epochs, in the schedule's order.
 
-    sources: (place, low, high, blocks, slots) of each, of which there are few; so are the slots above."""
-    room = {p: most * blocks - n for p, _, _, blocks, n in sources}
-    rank = {p: n for p, *_, n in sources}
-    left, out = sum(-r for r in room.values() if r < 0), []
-    while left:
-        open_ = [(p, high - low) for p, low, high, *_ in sorted(sources) if room[p] > 0 and high > low]
-        up_to = list(accumulate(w for _, w in open_))
-        again = 0
-        for i in range(left):
-            place = open_[bisect_right(up_to, i * F45 % F46 * up_to[-1] // F46)][0]
-            if room[place] > 0:
-                out.append((place, rank[place]))
-                room[place] -= 1
-                rank[place] += 1
-            else:
-                again += 1
-        left = again
-    return out
+    The sources with room take such slots in turns, each its next rank, by their place.  sources: (place, blocks, slots)
+    of each, of which there are few; so are the slots above."""
+    left = sum(max(0, n - most * blocks) for _, blocks, n in sources)
+    open_, out, turn = sorted((p, n, most * blocks - n) for p, blocks, n in sources if n < most * blocks), [], 0
+    while len(out) < left:
+        out += [(p, n + turn) for p, n, room in open_ if turn < room]
+        turn += 1
+    return out[:left]
 
 
 def schedule(sources: DataFrame, slots: int, block: int = BLOCK, most: int = MOST) -> DataFrame:
@@ -130,7 +117,7 @@ def schedule(sources: DataFrame, slots: int, block: int = BLOCK, most: int = MOS
     ranked = dealt.withColumn("local", rank).join(before, ["place", "chunk"]).withColumn("rank", F.col("before") + F.col("local"))
     ranked = ranked.select("slot", "place", "rank", "blocks")
     each = sources.select("place", "low", "high", F.ceil(F.col("source_size") / block).alias("blocks")).join(counts.groupBy("place").agg(F.sum("n").alias("n")), "place", "left")
-    moved = handed_over([(r["place"], r["low"], r["high"], r["blocks"], r["n"] or 0) for r in each.collect()], most)  # a row for each source
+    moved = handed_over([(r["place"], r["blocks"], r["n"] or 0) for r in each.collect()], most)  # a row for each source
     if moved:
         above = ranked.filter(F.col("rank") >= most * F.col("blocks")).select("slot").withColumn("i", F.row_number().over(Window.orderBy("slot")) - 1)  # a few for each source
         to = spark.createDataFrame([(i, *x) for i, x in enumerate(moved)], "i int, place int, rank long").join(sources.select("place", F.ceil(F.col("source_size") / block).alias("blocks")), "place")
@@ -146,6 +133,7 @@ def segments(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return cut.withColumn("words", words)
 
 
+@T.tidy
 def mixed(documents: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """_row, doc_id, size, source_size, target, taken of each document; _row tells rows of equal doc_id apart.
 
@@ -167,6 +155,7 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, w)), "")
 
 
+@T.tidy
 def repeated(documents: DataFrame, **options) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and a copy of the first words for the rest.
 
@@ -176,12 +165,12 @@ def repeated(documents: DataFrame, **options) -> DataFrame:
     taken = mixed(documents, **options).withColumn("_key", T.doc_key()).withColumn("_source", F.xxhash64("source"))
     taken = taken.groupBy("_key", F.col("text_hash").alias("_text"), "_source").agg(F.sum("taken").alias("taken"), F.max("size").alias("size")).filter("taken > 0")
     columns = documents.columns
-    rows = documents.select("*", *marks).join(taken, identity).groupBy(*identity, "taken", "size").agg(F.min(F.struct(*columns)).alias("row"))
+    rows = documents.select(F.struct(*columns).alias("row"), *marks).join(taken, identity).groupBy(*identity, "taken", "size").agg(F.min("row").alias("row"))
     whole, rest = F.floor(F.col("taken") / F.col("size")), (F.col("taken") % F.col("size")).cast("int")
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + (rest > 0).cast("long"))))
     text = F.when(F.col("copy") <= whole, F.col("row.text")).otherwise(first_words(F.col("row.text"), rest))
     copies = copies.select("row", text.alias("text"))
-    return copies.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in columns])
+    return copies.select(*[F.col("text") if c == "text" else F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in columns])
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -201,7 +190,10 @@ s5 AS (SELECT *, CASE WHEN total > 0 THEN ceil(coalesce(sum(target) OVER (ORDER
               CASE WHEN total > 0 THEN ceil(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * (1836311903.0::DOUBLE / total)) ELSE 0 END AS high FROM s4),
 slots AS (SELECT i, (i % 1836311903) * 1134903170 % 1836311903 AS point FROM (SELECT unnest(range(0, CAST((SELECT ceil(sum(size) / 32.0) FROM d) AS BIGINT))) AS i)),
 ranked AS (SELECT s5.place, row_number() OVER (PARTITION BY s5.place ORDER BY i) - 1 AS r, CAST(ceil(source_size / 32.0) AS BIGINT) AS blocks FROM slots JOIN s5 ON point >= low AND point < high),
-uses AS (SELECT place, r % blocks AS block, count(*) AS uses FROM ranked GROUP BY ALL),
+room AS (SELECT s4.place, CAST(ceil(source_size / 32.0) AS BIGINT) AS blocks, coalesce(n, 0) AS n FROM s4 LEFT JOIN (SELECT place, count(*) AS n FROM ranked GROUP BY place) c USING (place)),
+above AS (SELECT CAST(coalesce(sum(greatest(0, n - 3 * blocks)), 0) AS BIGINT) AS k FROM room),
+moved AS (SELECT place, n + turn AS r, blocks FROM (SELECT *, unnest(range(0, least(greatest(0, 3 * blocks - n), (SELECT k FROM above)))) AS turn FROM room) ORDER BY turn, place LIMIT (SELECT k FROM above)),
+uses AS (SELECT place, r % blocks AS block, count(*) AS uses FROM (SELECT place, r, blocks FROM ranked WHERE r < 3 * blocks UNION ALL SELECT place, r, blocks FROM moved) GROUP BY ALL),
 placed AS (SELECT doc_id, size, place, source_size, target, sum(size) OVER (PARTITION BY place ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS first
            FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
 parts AS (SELECT doc_id, place, size, first, unnest(range(CAST(first // 32 AS BIGINT), CAST((first + size - 1) // 32 AS BIGINT) + 1)) AS block FROM placed WHERE size > 0),
