@@ -8,16 +8,15 @@ text and end mark), all in code points.  So a conversation of any length is
 never gathered in one task: segments ordered by turn make up the dialogue, and
 offsets are sums in two steps, over chunks of turns.
 
-Cases: a null text is an empty turn; a null role is the speaker "unknown"; a
-null turn comes last; a null conv_id is a conversation of its own; equal turns
-are ordered by role and text; repeated rows each stay; a conversation of system
-turns alone has no participant and no rows; marks within texts are made
+Cases: a null text is an empty turn; a null turn comes last; a null conv_id is a
+conversation of its own; equal turns are ordered by role and text, those without
+a number by a hash of both before; repeated rows each stay; a conversation of system turns alone has no participant and no rows; marks within texts are made
 harmless; an empty table gives no rows; further columns are ignored.
 
-Participants are told apart by the role itself.  A name is the role with "_" for
-every character outside A-Za-z0-9_-; where that is the name of several roles of
-a conversation, those with such characters have %XX; (the UTF-8 bytes) for each
-of them instead, and a null or empty role is %null or %empty.
+A participant is a role.  Its name is the role itself, letters, marks and digits
+of all scripts, "_" and "-" as they are and every other character as %XX for each
+of its bytes in UTF-8, so no two roles share a name; a null role is "%null" and an
+empty one "%empty".
 """
 
 from __future__ import annotations
@@ -32,27 +31,15 @@ SYSTEM = ("system",)
 CHUNK = 256
 
 
-_OTHER = "[^A-Za-z0-9_-]"
+_OTHER = "[^\\p{L}\\p{M}\\p{N}_-]"
 
 
-def _speaker(role: Column) -> Column:
-    name = F.regexp_replace(F.coalesce(role, F.lit("")), _OTHER, "_")
-    return F.when(F.coalesce(role, F.lit("")) == "", F.lit("unknown")).otherwise(name)
-
-
-def _spelled(role: Column) -> Column:
-    """A name no other role has: a plain role as it is, else with the bytes of its other characters."""
-    code = lambda c: F.concat(F.lit("%"), F.hex(F.encode(c, "UTF-8")), F.lit(";"))
-    letters = F.filter(F.split(role, ""), lambda c: c != "")
-    escaped = F.array_join(F.transform(letters, lambda c: F.when(c.rlike(_OTHER), code(c)).otherwise(c)), "")
-    return F.when(role.isNull(), F.lit("%null")).when(role == "", F.lit("%empty")).otherwise(escaped)
-
-
-def _named(turns: DataFrame) -> DataFrame:
-    """conv_id, role, name: a row for each role of a conversation."""
-    found = turns.groupBy("conv_id", "role").agg(F.lit(1).alias("_")).withColumn("speaker", _speaker(F.col("role")))
-    alike = F.count("*").over(Window.partitionBy("conv_id", "speaker"))
-    return found.select("conv_id", "role", F.when(alike > 1, _spelled(F.col("role"))).otherwise(F.col("speaker")).alias("speaker"))
+def named(role: Column) -> Column:
+    """A name that no other role has, and that holds no white space or mark."""
+    bytes_of = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    letters = F.transform(F.filter(F.split(role, ""), lambda c: c != ""), lambda c: F.when(c.rlike(_OTHER), bytes_of(c)).otherwise(c))
+    spelled = F.when(role.rlike(_OTHER), F.array_join(letters, "")).otherwise(role)
+    return F.when(role.isNull(), F.lit("%null")).when(role == "", F.lit("%empty")).otherwise(spelled)
 
 
 def rotations(conversations: DataFrame, system=SYSTEM) -> DataFrame:
@@ -60,14 +47,13 @@ def rotations(conversations: DataFrame, system=SYSTEM) -> DataFrame:
     turns = conversations.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
-        F.col("role").cast("string").alias("role"),
+        named(F.col("role").cast("string")).alias("speaker"),
         F.regexp_replace(F.coalesce("text", F.lit("")), "<\\|", "< |").alias("text"),
     )
-    names = _named(turns)
-    mine = names.select(F.col("conv_id").alias("c"), F.col("role").alias("r"), "speaker")
-    turns = turns.join(mine, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("role").eqNullSafe(F.col("r"))).drop("c", "r")
-    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit((1 << 62) - 1)))
-    people = names.filter(~F.col("speaker").isin(*system)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("participant"))
+    turns = turns.withColumn("tie", F.xxhash64("speaker", "text"))
+    # turns without a number, which come last, are cut by their order as well
+    turns = turns.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(1 << 62) + F.shiftright(F.col("tie"), 56)))
+    people = turns.filter(~F.col("speaker").isin(*system)).groupBy(F.col("conv_id").alias("c"), F.col("speaker").alias("participant")).agg(F.lit(1).alias("_")).drop("_")
     views = turns.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     own = F.col("speaker") == F.col("participant")
     head = (
@@ -76,7 +62,7 @@ def rotations(conversations: DataFrame, system=SYSTEM) -> DataFrame:
         .otherwise(F.concat(F.lit(f"{START}user name="), "speaker", F.lit("\n")))
     )
     views = views.select(
-        "conv_id", "participant", "turn", "chunk", "speaker", own.alias("own"), F.length(head).alias("head"), F.length("text").alias("body"), F.concat(head, "text", F.lit(f"{END}\n")).alias("segment")
+        "conv_id", "participant", "turn", "chunk", "tie", "speaker", own.alias("own"), F.length(head).alias("head"), F.length("text").alias("body"), F.concat(head, "text", F.lit(f"{END}\n")).alias("segment")
     ).withColumn("n", F.length("segment").cast("long"))
     sums = views.groupBy("conv_id", "participant", "chunk").agg(F.sum("n").alias("chars"), F.count("*").alias("turns"))
     by_chunk = Window.partitionBy("conv_id", "participant").orderBy("chunk")
@@ -87,7 +73,7 @@ def rotations(conversations: DataFrame, system=SYSTEM) -> DataFrame:
         (F.sum("chars").over(by_chunk) - F.col("chars")).alias("chars_before"),
         (F.sum("turns").over(by_chunk) - F.col("turns")).alias("turns_before"),
     )
-    local = Window.partitionBy("conv_id", "participant", "chunk").orderBy(F.col("turn").asc_nulls_last(), "speaker", "segment").rowsBetween(Window.unboundedPreceding, 0)
+    local = Window.partitionBy("conv_id", "participant", "chunk").orderBy(F.col("turn").asc_nulls_last(), F.when(F.col("turn").isNull(), F.col("tie")), "speaker", "segment").rowsBetween(Window.unboundedPreceding, 0)
     views = views.withColumn("up_to", F.sum("n").over(local)).withColumn("place", F.row_number().over(local))
     views = views.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("participant") == F.col("p")) & (F.col("chunk") == F.col("k")))
     start = F.col("chars_before") + F.col("up_to") - F.col("n")
@@ -107,8 +93,13 @@ def op10_chat_format(spark, sf_dir: str) -> DataFrame:
     return rotations(T.read(spark, sf_dir, "conversations"))
 
 
+# A role's name by the rule: null and empty have names of their own, and characters that are no letter, mark or number of
+# any script, "_" or "-" are spelled by their bytes.  Turns without a number, which a hash orders, do not occur here.
 ORACLE = """
-WITH t AS (SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g') END AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+WITH r AS (SELECT role, CASE WHEN role IS NULL THEN '%null' WHEN role = '' THEN '%empty'
+        ELSE array_to_string(list_transform(string_split(role, ''), lambda c: CASE WHEN regexp_matches(c, '[\\p{L}\\p{M}\\p{N}_-]') THEN c ELSE regexp_replace(hex(c), '(..)', '%\\1', 'g') END), '') END AS speaker
+      FROM (SELECT DISTINCT role FROM conversations)),
+t AS (SELECT conv_id, turn, speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations c JOIN r ON c.role IS NOT DISTINCT FROM r.role),
 p AS (SELECT DISTINCT conv_id AS c, speaker AS participant FROM t WHERE speaker <> 'system'),
 v AS (SELECT t.*, participant, speaker = participant AS own,
         CASE WHEN speaker = participant THEN '<|im_start|>assistant' || chr(10) WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10) ELSE '<|im_start|>user name=' || speaker || chr(10) END AS head
