@@ -2,15 +2,16 @@
 
 A document's shingles are its runs of five words (with fewer words, all of them
 as one).  Of their 64-bit hashes, the sketch keeps each that lies below a fixed
-fraction of the range.  So the sketch grows with the document, the sketch of a
-union is the union of the sketches, and likeness and containment are estimated
-from sketches alone, also between documents of very different sizes.  Where no
-hash lies below, the least one is kept, so that a short document has a sketch.
+fraction of the range; where none does, the least one stands alone, as the mark of
+a text too short for the fraction.  The sketch of two documents together follows
+from their sketches by the same rule: the hashes below the fraction, or the least.
+So the sketch grows with the document, and likeness and containment are estimated
+from sketches alone, also between documents of very different sizes.
 
 Cases: a null text is empty; a text without words has an empty sketch, which is
 like another empty one (1.0) and unlike all others (0.0); a null doc_id is the
-largest; equal doc_ids are ordered by text; an empty table gives no rows; a
-single document is its own next; further columns are ignored.
+largest; equal doc_ids are ordered by a hash of the text; an empty table gives no
+rows; a single document is its own next; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranges
 from . import tables as T
 
 SHINGLE, FRACTION = 5, 0.25
@@ -37,69 +39,59 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     return F.element_at(F.transform(F.array(hashed), runs), 1)
 
 
-def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) -> Column:
-    """Sorted distinct hashes below the threshold."""
-    limit = int(-(2**63) + fraction * 2**64)
+def _limit(fraction: float) -> int:
+    return int(-(2**63) + fraction * 2**64)
 
-    def keep(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < F.lit(limit))
-        return F.when(F.exists(h, lambda x: x < F.lit(limit)), F.array_sort(F.array_distinct(low))).otherwise(F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h))
 
-    return F.element_at(F.transform(F.array(shingle_hashes(text, shingle)), keep), 1)
+def _kept(hashes: Column, fraction: float) -> Column:
+    """Of distinct hashes those below the threshold, or the least of all."""
+    low = F.filter(hashes, lambda x: x < F.lit(_limit(fraction)))
+    return F.element_at(F.transform(F.array(low), lambda x: F.when(F.size(x) > 0, x).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)), 1)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all of both."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) -> Column:
+    """Sorted distinct hashes below the threshold, or the least hash."""
+    return F.element_at(F.transform(F.array(shingle_hashes(text, shingle)), lambda h: F.array_sort(F.array_distinct(_kept(h, fraction)))), 1)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of both documents."""
+    return F.element_at(F.transform(F.array(F.array_union(a, b)), lambda h: F.array_sort(_kept(h, fraction))), 1)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of both documents."""
-    return F.array_sort(F.array_union(a, b))
+def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of common shingles among all of both: of the hashes in the sketch of both, those in each."""
+    share = lambda m: F.size(F.array_intersect(m, F.array_intersect(a, b))) / F.size(m)
+    return F.element_at(F.transform(F.array(merged(a, b, fraction)), lambda m: F.when(F.size(m) == 0, F.lit(1.0)).otherwise(share(m))), 1)
 
 
-def spelled(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of a's shingles that b has; null where a's hash lies above the threshold and b does not tell."""
+    short = F.get(a, F.lit(0)) >= F.lit(_limit(fraction))
+    found = F.size(F.array_intersect(a, b)) / F.size(a)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(short & (found == 0), F.when(F.size(b) == 0, F.lit(0.0))).otherwise(found)
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below a key, in two steps."""
-    if not bounds:
-        return F.lit(0)
-    span = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + span] for i in range(0, len(bounds), span)]
-    below = lambda xs: F.size(F.filter(xs, lambda b: b < key))
-    literal = lambda xs: F.expr("array(" + ",".join(f"{x}L" for x in xs) + ")")
-    coarse = below(literal([g[-1] for g in groups]))
-    fine = F.expr("array(" + ",".join("array(" + ",".join(f"{x}L" for x in g) + ")" for g in groups) + ")")
-    return coarse * span + F.coalesce(below(F.get(fine, coarse)), F.lit(0))
+def spelled(a: Column) -> Column:
+    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def with_next(documents: DataFrame) -> tuple[DataFrame, Window]:
     """Each document with the next one's text, by descending doc_id; after the last comes the first.
 
-    Documents are dealt to ranges of ids of bounded size; each range also gets the first document of the range below."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), T.doc_key().alias("_key"), F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    n = min(MOST_BUCKETS, max(1, -(-(size["bytes"] or 0) // BUCKET_BYTES), -(-size["n"] // 100_000)))
-    bounds = []
-    if n > 1:
-        cuts = docs.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
-        bounds = sorted(set(cuts))
-    docs = docs.withColumn("_bucket", _bucket(F.col("_key"), bounds))
-    heads = sorted((r["_bucket"], r["head"]) for r in docs.groupBy("_bucket").agg(F.max("_key").alias("head")).collect())  # one for each range
-    lead = Window.partitionBy("_bucket").orderBy(F.col("_guest"), F.col("_key").desc(), "text")
+    Documents are dealt to ranges of their order, about ``BUCKET_BYTES`` of text each; each range also gets the first
+    document of the range that follows.  A doc_id that would fill several ranges is cut by the texts' hashes."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), T.doc_key().alias("_key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    docs = ranges.ranged(docs, "_key", F.col("_tie"), F.octet_length("text") + 200, BUCKET_BYTES, MOST_BUCKETS)
+    first = F.max(F.struct("_key", "_tie")).alias("head")
+    heads = sorted(((r["_range"], r["head"]["_key"], r["head"]["_tie"]) for r in docs.groupBy("_range").agg(first).collect()), reverse=True)  # one for each range
+    lead = Window.partitionBy("_range").orderBy(F.col("_guest"), F.col("_key").desc(), F.col("_tie").desc(), "text")
     whole = docs.withColumn("_guest", F.lit(False))
     if heads:
-        to = ", ".join(f"({head}L, {heads[(i + 1) % len(heads)][0]})" for i, (_, head) in enumerate(heads))
-        target = F.broadcast(docs.sparkSession.sql(f"SELECT * FROM VALUES {to} AS t(_key, _bucket)"))  # one row for each range
-        guests = docs.drop("_bucket").join(target, "_key").groupBy("doc_id", "_key", "_bucket").agg(F.min("text").alias("text"))
-        whole = whole.unionByName(guests.select("doc_id", "_key", "text", "_bucket", F.lit(True).alias("_guest")))
+        to = ", ".join(f"({key}L, {tie}L, {heads[i - 1][0]}L)" for i, (_, key, tie) in enumerate(heads))
+        target = F.broadcast(docs.sparkSession.sql(f"SELECT * FROM VALUES {to} AS t(_key, _tie, _range)"))  # one row for each range
+        guests = docs.drop("_range").join(target, ["_key", "_tie"]).groupBy("doc_id", "_key", "_tie", "_range").agg(F.min("text").alias("text"))
+        whole = whole.unionByName(guests.select("doc_id", "_key", "text", "_tie", "_range", F.lit(True).alias("_guest")))
     return whole.withColumn("next_text", F.lead("text").over(lead)), lead
 
 
