@@ -11,7 +11,8 @@ and doc_id are never inputs.
 
 Cases: null and empty texts are scored by their (zero) statistics; a null
 doc_id is scored, is not held out and never learnt from; a document labelled
-more than once counts with each label; null labels are left out; with labels
+more than once counts with each label, and once for equal labels; of several
+texts of a labelled doc_id one is learnt from; null labels are left out; with labels
 of one class or none every score is that share, or 0.5; an empty table gives no
 rows; further columns are ignored.
 """
@@ -149,7 +150,9 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = MOST_ROWS, learn
     of = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     chosen = of.filter(~held_out(F.col("doc_id"))).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "quality").limit(most)
     chosen = F.broadcast(T.written(chosen))  # as many rows as ``most`` allows
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    # of several texts of a doc_id the one of the least hash: a row for each label at most
+    docs = docs.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = text_stats(docs, "doc_id long, quality int").toPandas().sort_values(["doc_id", "quality", *NAMES])
     return rows[list(NAMES)].to_numpy(float), rows["quality"].to_numpy(float)
 
@@ -159,6 +162,7 @@ def scored(documents: DataFrame, model: Model, keep: str = "doc_id long") -> Dat
     return text_stats(documents, keep).withColumn("score", model.column())
 
 
+@T.tidy
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     documents = T.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(*sample(documents, T.read(spark, sf_dir, "labels")))

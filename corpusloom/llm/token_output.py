@@ -14,7 +14,7 @@ parts of a block between two offsets as well.  Any file system that Spark
 writes to holds it.
 
 Cases: a null or empty text has only the end id; a null doc_id comes last;
-equal doc_ids are ordered by text; repeated rows each stay; an empty table gives
+equal doc_ids are ordered by a hash of the text; repeated rows each stay; an empty table gives
 no blocks; a very long text is one document of one block; further columns are
 ignored.  With ``special``, names of added tokens in a text get their ids, as
 by the library's default; else they are ordinary text.
@@ -23,7 +23,6 @@ by the library's default; else they are ordinary text.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from functools import lru_cache
 
@@ -198,8 +197,10 @@ def _blocks(ids, texts, encoder: UnitEncoder, end_id: int):
 
 def _encoded(documents: DataFrame, path: str, end_id: int, block_tokens: int, special: bool) -> DataFrame:
     """Blocks of ids in the order of doc_id, compressed for the way to the counts."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), "_tie"]
+    # rows of one doc_id, and even equal rows, may fill several parts
+    docs = docs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order, "_row").sortWithinPartitions(*order, "text").drop("_tie", "_row")
 
     def run(batches):
         encoder, part = _encoder(path, special), TaskContext.get().partitionId()
@@ -309,7 +310,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 def encoded_documents(documents: DataFrame, tokenizer: str, ids: bool = False, special: bool = False) -> DataFrame:
     """Write documents' ids into a new dataset in the shared folder and read them back."""
     spark = documents.sparkSession
-    path = f"{T.shared_dir(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = T.folder(spark, "tokens")
     write_tokens(documents, path, tokenizer, special=special)
     return read_tokens(spark, path, ids)
 
