@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pyarrow as pa
@@ -122,6 +123,29 @@ def test_edges(spark):
     assert L.removed_lines(empty).count() == 0
     line = "the same line, more than twenty characters"
     docs = [(2, f"a\n{line}", 7), (1, line, 8), (None, line, 9), (1, line, 8)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, n_lines int")
-    found = sorted((r["doc_id"] or 99, r["text"], r["removed"]) for r in L.deduplicated(df.drop("n_lines")).collect())
-    assert found == [(1, line, []), (1, line, []), (2, "a", [1]), (99, "", [0])]
+    # further columns, and such whose names the operator uses itself
+    df = spark.createDataFrame([(*x, "r", 1, "k", 5, 6) for x in docs], "doc_id long, text string, n_lines int, removed string, copies int, _key string, text_hash int, kept int")
+    found = sorted((r["doc_id"] or 99, r["text"], r["n_lines"], r["removed"], r["kept"]) for r in L.deduplicated(df).collect())
+    assert found == [(1, line, 8, "r", 6), (1, line, 8, "r", 6), (2, "a", 7, "r", 6), (99, "", 9, "r", 6)]
+    gone = {(r["_key"], r["copies"]): r["removed"] for r in L.removed_lines(df).collect()}
+    assert gone == {(1, 2): [], (2, 1): [1], ((1 << 63) - 1, 1): [0]}
+
+
+def test_query_digest(spark, data):
+    """The query's columns follow from the operator's, for every row."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    removed = {r["_key"]: (r["n_lines"], r["removed"]) for r in L.removed_lines(docs).collect()}
+    rows = L.op3_line_dedup(spark, data).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        n, gone = removed[r["doc_id"]]
+        assert (r["n_lines"], r["n_removed"]) == (n, len(gone))
+        assert r["removed_sha256"] == hashlib.sha256(",".join(map(str, gone)).encode()).hexdigest()
+
+
+def test_lines_of_one_kind_in_a_third_of_all_documents(spark):
+    line = "this very line stands in every third document of all, word for word"
+    docs = [(k, f"own line number {k * 7919} of the document\n" + (line if k % 3 == 0 else line[:-4] + f"w{k % 7}rd") if k % 3 < 2 else f"nothing {k} shared") for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r["_key"]: r["removed"] for r in L.removed_lines(df, edits=2, group=4).collect()}
+    assert found == brute(docs, 2, 0)

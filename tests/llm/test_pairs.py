@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, ngram_join, substring_dedup
+from corpusloom.llm import decontamination, ngram_join, substring_dedup, tables
 from corpusloom.llm.components import components
 
 from .helpers import ODD, same
@@ -57,7 +59,8 @@ def test_join_equals_brute_force(spark, monkeypatch, shingle, percent, nodes):
 
 def test_frequent_shingles_come_last(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAST_SEEN", 3)
-    monkeypatch.setattr(ngram_join, "LEAST_IN_CHUNK", 2)
+    monkeypatch.setattr(ngram_join, "LEAST_IN_TASK", 2)
+    monkeypatch.setattr(ngram_join, "SHARED", 2)
     docs = [(k, f"{t} the same line ends every one of these texts") for k, t in copies(9)]
     found = {r["_key"]: (r["n_shingles"], r["component"]) for r in ngram_join.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == brute(docs, 4, 85)
@@ -138,6 +141,49 @@ def test_passages_equal_brute_force(spark, window, gram):
     assert substring_dedup.removed_words(df.limit(0)).count() == 0
 
 
+def test_counts_of_frequent_values():
+    r, seen = np.random.default_rng(1), ngram_join._Seen(50)
+    stream = [np.concatenate([r.integers(1000, 1 << 40, 60), np.arange(5)]).astype(np.uint64) for _ in range(400)]
+    for part in stream:
+        seen.add(part)
+    seen.settle()
+    found = dict(zip(seen.values.tolist(), seen.counts.tolist()))
+    length = sum(map(len, stream))
+    assert len(found) <= 50 and all(400 - 2 * length / 50 <= found[x] <= 400 or 400 <= 2 * length / 50 for x in range(5))
+    assert {0, 1, 2, 3, 4} <= set(found)
+
+
+def test_rows_without_doc_id_spread(spark):
+    """A third of all rows have no doc_id, or the same one, and hold the same passages."""
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(12)]
+    docs = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join([f"u{r.randrange(500)}" for _ in range(r.randrange(9))] + passage[r.randrange(4) :] + [f"v{k}"] * (k % 5))) for k in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = sorted((x["doc_id"] if x["doc_id"] is not None else 1 << 63, x["n_words"], x["n_removed"], x["kept"]) for x in substring_dedup.removed_words(df, 6, 2).collect())
+    assert found == removed(docs, 6)
+
+
+def test_frequent_keys_travel(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LEAST_HOT", 3)
+    monkeypatch.setattr(tables, "HOT", 2)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 9), (2, 5), (3, 4), (4, 1), (5, 2)) for i in range(n)], "k int, i int")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 5").withColumn("x", F.col("k") * 10)
+    want = rows.join(table, "k").select("k", "i", "x").collect()
+    assert sorted(tables.hot_joined(rows, table, ["k"], "n").select("k", "i", "x").collect()) == sorted(want)
+    left = tables.hot_joined(rows, table, ["k"], "n", "left").select("k", "i", "x").collect()
+    assert len(left) == 21 and sum(r["x"] is None for r in left) == 2
+
+
+def test_written_tables_go(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "shared_folder", lambda _: str(tmp_path))
+    docs = spark.createDataFrame(copies(4), "doc_id long, text string")
+    held = ngram_join.similar(docs)
+    held.count()
+    left = list(tmp_path.glob("*/table-*"))
+    assert {str(x) for x in left} == {x for x in tables._roots(held) if x.startswith(str(tmp_path))}
+    assert 0 < len(left) <= 4
+
+
 def test_blocks_of_the_benchmark(spark, data):
     docs, items = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "benchmark"))
     items = items.unionByName(spark.createDataFrame([(900, "ed the"), (901, None), (902, "!!"), (None, "of the")], "item_id long, text string"))
@@ -146,3 +192,16 @@ def test_blocks_of_the_benchmark(spark, data):
     assert one == many
     assert decontamination.marked(docs, items.limit(0)).filter("n_hit > 0").count() == 0
     assert decontamination.marked(docs.limit(0), items).count() == 0
+
+
+def test_a_large_benchmark_stays_a_table(spark, data, monkeypatch):
+    """Beyond a block no index is made, and the driver takes no item."""
+    docs, items = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "benchmark"))
+    many = items.unionByName(spark.range(3000).select(F.col("id") + 10_000, F.concat(F.lit("filler "), F.expr("repeat(cast(id as string), 3)"), F.lit(" of no document at all, whatever its number is"))).toDF("item_id", "text"))
+    want = sorted(map(str, decontamination.marked(docs, many).collect()))
+
+    def never(*_):
+        raise AssertionError("an index of a large benchmark")
+
+    monkeypatch.setattr(decontamination, "Index", never)
+    assert sorted(map(str, decontamination.marked(docs, many, block_items=1000).collect())) == want

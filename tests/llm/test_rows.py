@@ -1,9 +1,11 @@
 """Operators on single documents, tables of sources, and dialogues."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -39,6 +41,67 @@ def test_secrets(spark):
     assert secret_scan.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def entropy_spans(text, base):
+    """Candidates outside the base spans, from the first to the last window above the threshold, by whole counts."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        t = m[0]
+        if not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)) or any(re.search(p, t) for p in secret_scan.ALLOWED):
+            continue
+        if any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        bits = next(b for p, b in secret_scan.CLASSES.values() if re.match(p, t))
+        at = [i for i in range(len(t) - 19) if -sum(n / 20 * math.log2(n / 20) for n in Counter(t[i : i + 20]).values()) >= bits - 1e-9]
+        if at:
+            out.append((m.start() + at[0], 3, m.start() + at[-1] + 20))
+    return out
+
+
+def secret_text(r):
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    kinds = [
+        lambda n: some("0123456789abcdef", n),
+        lambda n: "AKIA" + some("ABCXYZ0189", n // 2),
+        lambda n: r.choice(["password", "Token", "api_key", "apikey", "SECRET"]) + r.choice(["=", ": ", "' = '", ":"]) + some("abcXYZ019+/=.-_", n // 2),
+        lambda n: some(letters, n),
+        lambda n: "word \u00e9 \u65e5",
+        lambda n: "aB1" * (n // 3),
+        lambda n: some("aAbB1", n),
+    ]
+    return r.choice([" ", "", "\n", " , "]).join(r.choice(kinds)(r.randrange(10, 60)) for _ in range(r.randrange(40)))
+
+
+def test_secret_query_equals_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    docs = [(i, secret_text(r)) for i in range(200)] + [(k + 500 if k else k, t) for k, t in ODD + SECRETS]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, t in docs:
+        base = base_spans(t or "")
+        spell = lambda spans: ",".join(f"{secret_scan.KINDS[kind]}:{a}:{b}" for a, kind, b in sorted(spans))
+        added = entropy_spans(t or "", base)
+        counts = [sum(kind == i for _, kind, _ in base) for i in range(3)]
+        want.append((k, *counts, hashlib.sha256(spell(base).encode()).hexdigest(), spell(base + added), len(added)))
+    found = [tuple(x) for x in secret_scan.op2_secret_scan(spark, str(tmp_path)).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert sum(w[-1] for w in want) > 100
+
+
+def test_many_secrets_in_one_text(spark):
+    """Places over several levels of blocks."""
+    text = " ".join(f"token=abcdefghijkl{i} deadbeefdeadbeef{i % 10}" for i in range(5000))
+    row = secret_scan.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(x) for x in row["base"]] == base_spans(text) and row["n_assign"] == 5000
+
+
+def test_secrets_within_a_long_string(spark):
+    r = random.Random(9)
+    text = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000))
+    row = secret_scan.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(x) for x in row["added"]] == entropy_spans(text, base_spans(text))
+
+
 def shingles(text):
     w = [x for x in re.split("[\x20\x09-\x0d]+", text.lower()) if x]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -70,11 +133,67 @@ def test_fingerprints(spark, data, tmp_path):
     assert rows[1000]["fingerprint"] == "" and rows[1001]["near_next"] == 1.0
 
 
+def merge_sketches(a, b):
+    both = set(a) | set(b)
+    low = {x for x in both if x < fingerprints._limit(fingerprints.FRACTION)}
+    return sorted(low) if low else sorted(both)[:1]
+
+
 def test_sketches_merge(spark):
-    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(390, 900)))], "a string, b string")
+    """The sketch of two documents' shingles is what their sketches merge to, for short documents as well."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(60):
+        x, y = ([f"w{r.randrange(40)}" for _ in range(n)] for n in (r.choice([0, 1, 3, 6, 8, 300]), r.choice([0, 1, 2, 7, 400])))
+        texts.append((" ".join(x), " ".join(y)))
+    df = spark.createDataFrame(texts, "a string, b string")
+    hashes = [fingerprints.shingle_hashes(F.col(c)) for c in "ab"]
+    rows = df.select(
+        *[fingerprints.sketch(F.col(c)).alias(f"s{c}") for c in "ab"], *[h.alias(f"h{c}") for h, c in zip(hashes, "ab")],
+        fingerprints.merged(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("m"),
+        fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("l"),
+        fingerprints.containment(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("c"),
+    ).collect()
+    limit, short = fingerprints._limit(fingerprints.FRACTION), 0
+    for x in rows:
+        for c in "ab":
+            every = set(x[f"h{c}"])
+            low = sorted(h for h in every if h < limit)
+            assert x[f"s{c}"] == (low or sorted(every)[:1])
+            short += bool(every) and not low
+        union = set(x["ha"]) | set(x["hb"])
+        low = sorted(h for h in union if h < limit) or sorted(union)[:1]
+        assert x["m"] == low == merge_sketches(x["sa"], x["sb"])
+        common = [h for h in low if h in x["ha"] and h in x["hb"]]
+        assert x["l"] == (len(common) / len(low) if low else 1.0)
+        assert x["c"] is None or 0 <= x["c"] <= 1
+    assert short >= 8
+    long = spark.createDataFrame([(" ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(390, 900)))], "a string, b string")
     a, b = (fingerprints.sketch(F.col(x)) for x in "ab")
-    r = df.select(fingerprints.merged(a, b).alias("m"), a.alias("a"), b.alias("b"), fingerprints.containment(a, fingerprints.merged(a, b)).alias("c")).first()
-    assert r["m"] == sorted(set(r["a"]) | set(r["b"])) and r["c"] == 1.0
+    assert long.select(fingerprints.containment(a, fingerprints.merged(a, b))).first()[0] == 1.0
+
+
+def test_next_of_rows_with_one_doc_id(spark, monkeypatch):
+    """Rows of one doc_id, and rows without one, fill several ranges and still follow one another."""
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 3_000)
+    docs = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text number {k} " * 3) for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ties = {(r["doc_id"], r["text"]): r["h"] for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(docs, key=lambda x: (-(1 << 63) if x[0] is None else -x[0], -ties[x]))
+    found, _ = fingerprints.with_next(df)
+    rows = found.filter("not _guest").collect()
+    assert len({r["_range"] for r in rows}) > 5
+    assert {(r["doc_id"], r["text"], r["next_text"]) for r in rows} == {(*x, order[(i + 1) % len(order)][1]) for i, x in enumerate(order)}
+
+
+def test_rows_of_one_doc_id_fill_several_parts(spark):
+    docs = [(None if k % 2 else 3, f"words of row {k}") for k in range(400)] + [(3, "equal")] * 50
+    path = token_output.public_tokenizer()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as a table of any size would have it
+    blocks = token_output._encoded(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), path, 0, 1 << 16, True)
+    rows = blocks.select("part", F.explode("doc_ids").alias("doc_id")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) == 450 and len({r["part"] for r in rows if r["doc_id"] == 3}) > 1 and len({r["part"] for r in rows if r["doc_id"] is None}) > 1
 
 
 def test_quality(spark):
@@ -113,7 +232,9 @@ def test_mix_edges(spark):
     docs = [(i, "w " * n, s) for i, (n, s) in enumerate([(900, "a"), (5, "b"), (400, None), (0, "c"), (77, "B"), (400, "d"), (3, "b")])] + [(None, None, "a"), (1, "w " * 5, "b")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     rows = mixing.mixed(df).collect()
-    assert len(rows) == len(docs) and rows == mixing.mixed(df).collect() or sorted(r["taken"] for r in rows) == sorted(r["taken"] for r in mixing.mixed(df).collect())
+    again = mixing.mixed(df).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["source"] or "", r["size"], r["taken"])
+    assert len(rows) == len(docs) and sorted(map(key, rows)) == sorted(map(key, again))
     by = {}
     for r in rows:
         by.setdefault(r["source"], [0, r["target"], r["source_size"]])[0] += r["taken"]
@@ -141,9 +262,71 @@ def test_mix_stops_small_sources(spark):
 
 
 def test_handed_over_fills_what_is_open():
-    assert mixing.handed_over([(1, 0, 5, 1, 3), (2, 5, 9, 4, 2)]) == []
-    moved = mixing.handed_over([(1, 0, 5, 1, 9), (2, 5, 9, 1, 2), (3, 9, 90, 9, 4)])
-    assert len(moved) == 6 == len(set(moved)) and all(r < {2: 3, 3: 27}[p] for p, r in moved)
+    assert mixing.handed_over([(1, 1, 3), (2, 4, 2)]) == []
+    moved = mixing.handed_over([(1, 1, 9), (2, 1, 2), (3, 9, 4)])
+    assert moved == [(2, 2), (3, 4), (3, 5), (3, 6), (3, 7), (3, 8)]
+
+
+def _brute_mix(sizes):
+    """Slots of each source and rank by the rule, in plain Python. sizes: words of each source, in order of place."""
+    total, weights = sum(sizes), [(1, 2, 3)[i % 3] for i in range(len(sizes))]
+    target, open_ = [0.0] * len(sizes), set(range(len(sizes)))
+    while open_:
+        free = total - sum(3 * sizes[i] for i in range(len(sizes)) if i not in open_)
+        level = free / sum(weights[i] for i in open_)
+        over = {i for i in open_ if 3 * sizes[i] < level * weights[i]}
+        if not over:
+            for i in open_:
+                target[i] = level * weights[i]
+            break
+        open_ -= over
+    return [t if i in open_ else 3.0 * sizes[i] for i, t in enumerate(target)]
+
+
+def test_mix_of_many_random_sources(spark):
+    """In one table of 200 mixes' worth of sources each mix is its own call; small sources stand beside large ones."""
+    r = random.Random(8)
+    for trial in range(200):
+        sizes = [r.choice([r.randint(1, 100), r.randint(1, 100), r.randint(100, 20_000)]) for _ in range(r.randint(2, 9))]
+        blocks = [-(-n // 32) for n in sizes]
+        want = _brute_mix(sizes)
+        total = sum(sizes)
+        high = np.ceil(np.cumsum(want) * (mixing.F46 / total)).astype(np.int64)
+        points = np.arange(-(-total // 32)) % mixing.F46 * mixing.F45 % mixing.F46
+        slots = np.bincount(np.searchsorted(high, points, "right"), minlength=len(sizes))[: len(sizes)]
+        moved = mixing.handed_over([(i + 1, blocks[i], int(slots[i])) for i in range(len(sizes))])
+        uses = [np.bincount(np.arange(min(n, 3 * b)) % b, minlength=b) for n, b in zip(slots.tolist(), blocks)]
+        for place, rank in moved:
+            uses[place - 1][rank % blocks[place - 1]] += 1
+        assert all(x.max() <= 3 for x in uses) and sum(x.sum() for x in uses) == len(points)
+        assert len(set(moved)) == len(moved)
+        if trial < 12:
+            docs, k = [], 0
+            for i, n in enumerate(sizes):
+                while n:
+                    m = r.randint(1, n) if n > 40 else min(n, r.randint(1, 12))
+                    docs.append((k, "w " * m, f"s{i}"))
+                    n, k = n - m, k + 1
+            rows = mixing.mixed(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+            assert all(x["taken"] <= 3 * x["size"] for x in rows)
+            for i, n in enumerate(sizes):
+                mine = [x for x in rows if x["source"] == f"s{i}"]
+                assert abs(mine[0]["target"] - want[i]) < 1e-6 * total and sum(x["size"] for x in mine) == n == mine[0]["source_size"]
+                assert abs(sum(x["taken"] for x in mine) - want[i]) <= 32 * 5
+
+
+def test_mix_sql_hands_over_as_well(spark, tmp_path):
+    for i, docs in enumerate(([(1, "w " * 32, "a"), (2, "w " * 20_000, "b")], [(k, "w " * (32 * k if k < 10 else 50_000), f"s{k:02d}") for k in range(1, 11)])):
+        folder = f"{tmp_path}/{i}"
+        spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+        same(mixing.op6_mix_sources(spark, folder), mixing.ORACLE, folder)
+
+
+def test_mix_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1), "s", 1, 2, 3, "k", "r", 4) for i in range(6)], "doc_id long, text string, source string, size int, taken int, copy int, _key string, row string, n_chars long")
+    rows = mixing.repeated(docs).collect()
+    assert rows and rows[0].asDict().keys() == set(docs.columns)
+    assert all((r["size"], r["taken"], r["copy"], r["_key"], r["row"]) == (1, 2, 3, "k", "r") and r["n_chars"] == len(r["text"]) for r in rows)
 
 
 def test_huffman():
@@ -207,7 +390,7 @@ def test_chat_edges(spark):
         key = (r["conv_id"], r["participant"])
         assert r["start"] == len(whole.get(key, "")) and r["place"] == whole.get(key, "").count("<|im_start|>")
         whole[key] = whole.get(key, "") + r["segment"]
-    assert set(whole) == {(1, "ann"), (1, "bob_b_"), (None, "unknown"), (3, "ann"), (3, "bob_b_")}
+    assert set(whole) == {(1, "ann"), (1, "bob%20b%2E"), (None, "%null"), (3, "ann"), (3, "bob%20b%2E")}
     for r in rows:
         if r["mask_start"] >= 0:
             part = whole[(r["conv_id"], r["participant"])][r["mask_start"] : r["mask_end"]]
@@ -224,8 +407,30 @@ def test_chat_keeps_participants_apart(spark):
     for p in {r["participant"] for r in first}:
         assert sum(r["mask_start"] >= 0 for r in first if r["participant"] == p) == 1
         assert len({r["segment"].split("\n")[0] for r in first if r["participant"] == p}) == len(roles)
-    assert {"bob_b", "unknown", "b_c"} <= {r["participant"] for r in first}
-    assert {r["participant"] for r in rows if r["conv_id"] == 2} == {"bob_b", "ann"}
+    assert {"bob_b", "bob%20b", "unknown", "%null", "%empty", "b%20c", "\u0410\u043d\u043d\u0430"} <= {r["participant"] for r in first}
+    assert {r["participant"] for r in rows if r["conv_id"] == 2} == {"bob%20b", "ann"}
+
+
+def test_chat_of_two_scripts(spark, tmp_path):
+    """Each of two speakers is the assistant once, and learns from their own turns alone."""
+    turns = [(1, 0, "\u7528\u6237", "q"), (1, 1, "\u52a9\u624b", "a"), (1, 2, "\u7528\u6237", "q2"), (2, 0, "Jos\u00e9", "x"), (2, 1, "Jos_", "y"), (2, 2, "a b%", "z")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat_format.rotations(df).collect()
+    assert {r["participant"] for r in rows if r["conv_id"] == 1} == {"\u7528\u6237", "\u52a9\u624b"}
+    learnt = {(r["participant"], r["turn"]) for r in rows if r["conv_id"] == 1 and r["mask_start"] >= 0}
+    assert learnt == {("\u7528\u6237", 0), ("\u7528\u6237", 2), ("\u52a9\u624b", 1)}
+    assert {r["participant"] for r in rows if r["conv_id"] == 2} == {"Jos\u00e9", "Jos_", "a%20b%25"}
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    same(chat_format.op10_chat_format(spark, str(tmp_path)), chat_format.ORACLE, str(tmp_path))
+
+
+def test_chat_turns_without_numbers(spark):
+    turns = [(1, None, "ann" if i % 2 else "bob", f"text {i}") for i in range(700)] + [(1, 3, "ann", "first")]
+    rows = chat_format.rotations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for p in ("ann", "bob"):
+        mine = sorted((r for r in rows if r["participant"] == p), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(701)) and mine[0]["turn"] == 3
+        assert [r["start"] for r in mine] == [sum(len(x["segment"]) for x in mine[:i]) for i in range(701)]
 
 
 def test_pipeline(spark, data):
