@@ -235,7 +235,17 @@ def distinct_lines(documents: DataFrame, bands, min_chars: int = 0) -> DataFrame
                     part = pick[at : at + 4096]
                     yield pa.RecordBatch.from_arrays([pa.array(x.hash[part].view(np.int64)), pa.array([x.chars[a:b].tobytes().decode("utf-32-le") for a, b in zip(x.start[part], x.end[part], strict=True)], pa.string())], ["line", "words"])
 
-    return T.written(documents.mapInArrow(run, "line long, words string").groupBy("line").agg(F.first("words").alias("words")))
+    def once(batches):
+        last = None
+        for batch in batches:
+            name = batch.column("line").to_numpy(zero_copy_only=False)
+            if len(name):
+                new = np.append(last is None or name[0] != last, name[1:] != name[:-1])
+                last = name[-1]
+                yield batch.filter(pa.array(new))
+
+    found = documents.mapInArrow(run, "line long, words string").repartition("line").sortWithinPartitions("line")
+    return T.written(found.mapInArrow(once, "line long, words string"))
 
 
 def _pieces(column: pa.Array, size: int = 4 * W.CHUNK_BYTES):
@@ -281,13 +291,15 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
                     mine = key.view(np.int64) == wanted[row]
                     yield {"key": wanted[row[mine]], "line": names[row[mine]], "at": at[mine], "size": size[mine], "edits": np.full(int(mine.sum()), e)}
 
-        return T.map_batches(found[number].filter("b is null").select("key", F.col("a").alias("line")).join(lines, "line"), run, "key long, line long, at int, size int, edits int")
+        return T.map_batches(found[number].filter("b is null").select("key", F.col("a").alias("line")).join(known, "line"), run, "key long, line long, at int, size int, edits int")
 
     found = [_met(signed(i), group) for i in range(most + 1)]
-    pairs = found[0].filter("b is not null")
-    for more in found[1:]:
-        pairs = pairs.unionByName(more.filter("b is not null"))
-    pairs = pairs.select("a", "b")
+    every = found[0].withColumn("number", F.lit(0))
+    for i in range(1, most + 1):
+        every = every.unionByName(found[i].withColumn("number", F.lit(i)))
+    wanted = every.select(F.explode(F.array("a", "b")).alias("line")).filter("line is not null").distinct()
+    known = T.written(lines.join(wanted.hint("merge"), "line", "left_semi"))  # the lines that met another
+    pairs = every.filter("b is not null").select("a", "b")
     blocked = None
     several = [i for i, x in enumerate(found) if x.filter("b is null").head(1)]
     if several:
@@ -295,14 +307,12 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
         for i in several[1:]:
             large = large.unionByName(spots(i))
         large = T.written(large)
-        pairs = pairs.unionByName(_dealt_anew(large.filter("edits = 1").drop("edits"), lines))
+        pairs = pairs.unionByName(_dealt_anew(large.filter("edits = 1").drop("edits"), known))
         if most > 1:
-            again = _met(_beside(large.filter("edits > 1"), lines), group)
+            again = _met(_beside(large.filter("edits > 1"), known), group)
             pairs = pairs.unionByName(again.filter("b is not null").select("a", "b"))
-            blocked = _in_blocks(again.filter("b is null").select("key", F.col("a").alias("line")), lines, bands)
-    pairs = T.written(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    known = T.written(lines.join(wanted.hint("merge"), "line", "left_semi"))
+            blocked = _in_blocks(again.filter("b is null").select("key", F.col("a").alias("line")), known, bands)
+    pairs = pairs.distinct()
     both = pairs.join(known.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(known.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
 
     def verify(batch: pa.RecordBatch):
@@ -357,41 +367,52 @@ def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
     return dealt.join(lines, "line").groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
 
 
+_BINS, _BULK = 32, 1 << 16
+
+
 def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
-    """Pairs (i, j) of close lines that connect all that are close; between two blocks, or within the only one."""
+    """Pairs (i, j) of close lines that connect all that are close; between two blocks, or within the only one.
+
+    An edit changes the length by one and two counts of letters at most, which most pairs fail; the others are verified
+    many at a time, but for those that are connected by then."""
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     n, across = len(words), len(np.unique(own)) > 1
     x = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in words.to_pylist()]
     size = np.array([len(c) for c in x])
-    letters = np.array([np.bincount(c % 64, minlength=64) for c in x], np.int32).reshape(n, 64)
+    letters = np.array([np.bincount(W.mix(c.astype(np.uint64)) % np.uint64(_BINS), minlength=_BINS) for c in x], np.int32).reshape(n, _BINS)
     most = int(max(e for _, e in bands))
-    unseen, out = np.ones(n, bool), []
-
-    def near(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lines not seen that may be close to one of u: an edit changes two counts of letters at most."""
-        rest, left, right = np.flatnonzero(unseen), [], []
-        for i in u.tolist():
-            at = rest[np.abs(size[rest] - size[i]) <= most]
-            at = at[own[at] != own[i]] if across else at
-            at = at[np.abs(letters[at] - letters[i]).sum(axis=1) <= 2 * most]
-            left.append(np.full(len(at), i))
-            right.append(at)
-        return np.concatenate(left), np.concatenate(right)
-
-    for seed in range(n):
-        if not unseen[seed]:
-            continue
-        unseen[seed], front = False, np.array([seed])
-        while len(front):
-            i, j = near(front)
-            if not len(i):
-                break
-            ok = close_pairs(words.take(pa.array(i)), words.take(pa.array(j)), bands)
-            front, first = np.unique(j[ok], return_index=True)
-            unseen[front] = False
-            out.append(np.stack([i[ok][first], front], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    label, out = np.arange(n), []
+    left, right, held = [], [], 0
+
+    def settle() -> None:
+        nonlocal left, right, held
+        i, j = np.concatenate(left), np.concatenate(right)
+        left, right, held = [], [], 0
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            return
+        ok = close_pairs(words.take(pa.array(i)), words.take(pa.array(j)), bands)
+        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            if label[a] != label[b]:
+                label[label == label[b]] = label[a]
+                out.append((a, b))
+
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[(label[j] != label[i]) & (np.abs(size[j] - size[i]) <= most)]
+        j = j[own[j] != own[i]] if across else j
+        if len(j):
+            j = j[np.abs(letters[j] - letters[i]).sum(axis=1) <= 2 * most]
+            left.append(np.full(len(j), i))
+            right.append(j)
+            held += len(j)
+        if held and (held >= _BULK or i < 4):  # the first ones connect a group that is close
+            settle()
+    if held:
+        settle()
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _dealt_anew(large: DataFrame, lines: DataFrame) -> DataFrame:
@@ -444,8 +465,8 @@ def within(x: pa.Array, y: pa.Array, edits: int) -> np.ndarray:
     level = [np.full(len(live), ((1 << (e + 1)) - 1) << edits & int(mask), np.uint32) for e in range(edits + 1)]
     p, t, n, m = first[0][live], first[1][live], size[1][live], size[0][live]
     last = len(chars[0]) - 1
-    alive = np.ones(len(live), bool)
-    for j in range(int(n.max()) if len(n) else 0):
+    j = 0
+    while len(n) and j < int(n[0]):
         k = int(np.searchsorted(-n, -j, "left"))
         c = chars[1][t[:k] + j]
         match = np.zeros(k, np.uint32)
@@ -462,12 +483,14 @@ def within(x: pa.Array, y: pa.Array, edits: int) -> np.ndarray:
                 new |= before | before >> np.uint32(1) | (level[e - 1][:k] << np.uint32(1))
             before = old
             level[e][:k] = new & mask
-        if j % 32 == 31:
-            alive[:k] = level[edits][:k] != 0
-            if not alive[:k].any():
-                break
-    want = m - n + edits
-    out[live] = (level[edits] >> want.astype(np.uint32) & 1).astype(bool) if len(live) else False
+        j += 1
+        if j % 16 == 0:  # pairs without a way left are done
+            alive = level[edits] != 0
+            if np.count_nonzero(alive) < 0.8 * len(alive):
+                live, p, t, n, m = live[alive], p[alive], t[alive], n[alive], m[alive]
+                level = [x[alive] for x in level]
+    if len(live):
+        out[live] = (level[edits] >> (m - n + edits).astype(np.uint32) & 1).astype(bool)
     return out
 
 
