@@ -47,6 +47,18 @@ from .components import components
 BANDS = ((0, 0), (20, 1), (40, 2), (100, 3))
 GROUP, BLOCK = 32, 512
 _CHARS = 11
+#: Names of lines are hashes of 63 bits; the sign marks the index entries among signatures, and sorts them first.
+_INDEX = np.int64(-(1 << 63))
+_VALUES = W.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x51))
+
+
+def _values(chars: np.ndarray) -> np.ndarray:
+    """A 64-bit value of each character."""
+    if not len(chars) or chars.max() < len(_VALUES):
+        return _VALUES[chars]
+    return W.mix(chars.astype(np.uint64) + np.uint64(0x51))
+
+
 _BLANK = np.zeros(1 << 16, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -75,8 +87,8 @@ class Lines:
         start, end = start[some], end[some]
         self.start, self.end = places[solid[start]], places[solid[end] - 1] + 1
         self.chars = chars
-        self.runs = W.runs(W.mix(chars.astype(np.uint64) + np.uint64(0x51)), _CHARS)
-        self.hash = W.run_hash(self.runs, self.start, self.end)
+        self.runs = W.runs(_values(chars), _CHARS)
+        self.hash = W.run_hash(self.runs, self.start, self.end) >> np.uint64(1)
         self.rows = len(offsets) - 1
 
     @property
@@ -124,11 +136,12 @@ class Texts:
             chars = chars[inside]
             begins = begins - np.concatenate([[0], np.cumsum(gone)])
         self.start, self.size = begins[:-1], np.diff(begins)
-        self.runs = W.runs(W.mix(chars.astype(np.uint64) + np.uint64(0x51)), _CHARS)
+        self.runs = W.runs(_values(chars), _CHARS)
 
 
 def _signatures(x, pick: np.ndarray, edits: int, numbers, probe: bool = True):
-    """(key, line, where the segment stands in it, its length) of the lines picked, for segments of some numbers: index entries, and probes if asked for."""
+    """(key, line, where the segment stands in it, its length, whether an index entry) of the lines picked, for segments of some
+    numbers: index entries, and probes if asked for."""
     start, n, parts = x.start[pick], x.size[pick], edits + 1
     for i in numbers:
         for d in range(edits + 1 if probe else 1):
@@ -141,44 +154,49 @@ def _signatures(x, pick: np.ndarray, edits: int, numbers, probe: bool = True):
                 a = start[ok] + p[ok]
                 code = (n[ok] - d).astype(np.uint64) * np.uint64(4096) + np.uint64(i * 64 + edits)
                 key = W.mix(W.run_hash(x.runs, a, a + size[ok]) ^ W.mix(code))
-                yield key, pick[ok], p[ok], size[ok]
+                yield key, pick[ok], p[ok], size[ok], not (d or shift)
 
 
 def _banded(x, pick: np.ndarray, bands, number: int):
-    """(key, line, where the segment stands, its length, the threshold) of the lines picked for segments of a number, each line
-    at its own threshold, and in the index of a band that a longer partner has."""
+    """(key, line, where the segment stands, its length, whether an index entry, the threshold) of the lines picked for segments
+    of a number, each line at its own threshold, and in the index of a band that a longer partner has."""
     own = allowed(x.size[pick], bands)
     for e in sorted({e for _, e in bands if e >= max(1, number)}):
         below = np.zeros(len(pick), bool)
         for d in range(1, e + 1):
             below |= allowed(x.size[pick] + d, bands) == e
         for some, probe in ((own == e, True), (below & (own != e), False)):
-            for key, line, at, size in _signatures(x, pick[some], e, (number,), probe):
-                yield key, line, at, size, e
+            for found in _signatures(x, pick[some], e, (number,), probe):
+                yield *found, e
 
 
 _FOUND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _runs(group: int):
-    """From (key, line) sorted by both: the pairs of lines of each key that few have (a, b), and the rows of all others (key, a)."""
+    """From (key, line) sorted by both, index entries first: the pairs (a, b) of lines of each key that few have, of which one
+    is in the index, and the rows of all others (key, a).  Keys without an index entry have no pair."""
 
     def found(key=(), a=(), b=None):
         n = len(a)
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(key) if b is None else none, pa.array(a), none if b is None else pa.array(b)], schema=_FOUND)
+        return pa.RecordBatch.from_arrays([pa.array(key) if b is None else none, pa.array(a & ~_INDEX), none if b is None else pa.array(b & ~_INDEX)], schema=_FOUND)
 
     def closed(key: np.ndarray, line: np.ndarray):
         """Whole runs."""
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(at, len(key)))
-        for n in np.unique(size[(size > 1) & (size <= group)]).tolist():
-            of = line[at[size == n][:, None] + np.arange(n)[None, :]]
+        some = line[at] < 0
+        for n in np.unique(size[some & (size > 1) & (size <= group)]).tolist():
+            of = line[at[some & (size == n)][:, None] + np.arange(n)[None, :]]
             i, j = np.triu_indices(n, 1)
             for low in range(0, len(of), max(1, (1 << 16) // len(i))):
                 part = of[low : low + max(1, (1 << 16) // len(i))]
-                yield found(a=part[:, i].ravel(), b=part[:, j].ravel())
-        large = np.repeat(size > group, size)
+                a, b = part[:, i].ravel(), part[:, j].ravel()
+                ok = (a < 0) & ((a & ~_INDEX) != (b & ~_INDEX))  # the first of two is the one in the index
+                a, b = a[ok] & ~_INDEX, b[ok] & ~_INDEX
+                yield found(a=np.minimum(a, b), b=np.maximum(a, b))
+        large = np.repeat(some & (size > group), size)
         if large.any():
             yield found(key[large], line[large])
 
@@ -194,8 +212,8 @@ def _runs(group: int):
             last = (key[-1], line[-1])
             key, line = key[new], line[new]
             if open_key is not None:  # a large run that goes on
-                n = int(np.searchsorted(key != open_key, True)) if (key != open_key).any() else len(key)
-                if n:
+                n = int(np.argmax(key != open_key[0])) if (key != open_key[0]).any() else len(key)
+                if n and open_key[1]:
                     yield found(key[:n], line[:n])
                 key, line = key[n:], line[n:]
                 if not len(key):
@@ -208,8 +226,10 @@ def _runs(group: int):
             yield from closed(key[:whole], line[:whole])
             held_key, held_line = key[whole:], line[whole:]
             if len(held_key) > group:
-                yield found(held_key, held_line)
-                open_key, held_key, held_line = held_key[0], held_key[:0], held_line[:0]
+                open_key = held_key[0], held_line[0] < 0
+                if open_key[1]:
+                    yield found(held_key, held_line)
+                held_key, held_line = held_key[:0], held_line[:0]
         if len(held_key):
             yield from closed(held_key, held_line)
 
@@ -273,7 +293,7 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
             for batch in batches:
                 for low, high in _pieces(batch.column("words")):
                     names, x = batch.column("line").to_numpy(zero_copy_only=False)[low:high], Texts(batch.column("words").slice(low, high - low))
-                    parts = [(key, names[line]) for key, line, *_ in _banded(x, np.arange(high - low), bands, number)]
+                    parts = [(key, names[line] | _INDEX if index else names[line]) for key, line, _, _, index, _ in _banded(x, np.arange(high - low), bands, number)]
                     keys, of = (np.concatenate([p[i] for p in parts]) for i in (0, 1)) if parts else (np.zeros(0, np.uint64), names[:0])
                     for at in range(0, len(keys), 1 << 16):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(of[at : at + (1 << 16)])], ["key", "line"])
@@ -287,7 +307,7 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
             for low, high in _pieces(batch.column("words")):
                 part = batch.slice(low, high - low)
                 wanted, names = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line"))
-                for key, row, at, size, e in _banded(Texts(part.column("words")), np.arange(high - low), bands, number):
+                for key, row, at, size, _, e in _banded(Texts(part.column("words")), np.arange(high - low), bands, number):
                     mine = key.view(np.int64) == wanted[row]
                     yield {"key": wanted[row[mine]], "line": names[row[mine]], "at": at[mine], "size": size[mine], "edits": np.full(int(mine.sum()), e)}
 
@@ -323,31 +343,67 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
     return links if blocked is None else links.unionByName(blocked)
 
 
+#: Pairs of which a line is longer are followed along their diagonals, one by one.
+LONG = 1_000
+
+
 def close_pairs(x: pa.Array, y: pa.Array, bands) -> np.ndarray:
     """Whether each pair is within the threshold of its longer line."""
-    most = allowed(np.maximum(*[pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in (x, y)]), bands)
+    size = np.maximum(*[pc.utf8_length(c).to_numpy(zero_copy_only=False) for c in (x, y)])
+    most = allowed(size, bands)
     out = np.zeros(len(most), bool)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = within_far(*[np.frombuffer(c[i].as_py().encode("utf-32-le"), np.uint32) for c in (x, y)], int(most[i]))
     for e in np.unique(most):
-        at = np.flatnonzero(most == e)
+        at = np.flatnonzero((most == e) & (size <= LONG))
         out[at] = within(x.take(pa.array(at)), y.take(pa.array(at)), int(e))
     return out
 
 
+def within_far(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
+    """The same for a pair of long lines: how far each diagonal of the band gets with so many edits, by whole equal stretches."""
+
+    def equal(i: int, j: int) -> int:
+        n, at = min(len(a) - i, len(b) - j), 0
+        while at < n:
+            to = min(n, at + 8192)
+            differ = a[i + at : i + to] != b[j + at : j + to]
+            if differ.any():
+                return at + int(np.argmax(differ))
+            at = to
+        return n
+
+    reach = {0: equal(0, 0)}
+    for e in range(edits + 1):
+        if reach.get(len(b) - len(a), -1) >= len(a):
+            return True
+        if e == edits:
+            break
+        then = {}
+        for k in range(-e - 1, e + 2):  # b's place is a's and k
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
+            i = min(i, len(a), len(b) - k)
+            if i >= 0 and i + k >= 0:
+                then[k] = i + equal(i, i + k)
+        reach = then
+    return False
+
+
 def _beside(large: DataFrame, lines: DataFrame) -> DataFrame:
     """key, line of large groups dealt anew by the segments of what is left: lines within some edits that share a segment
     are within as many beside it.  Where the segment is so short that nothing can be split, the key stays."""
 
     def run(batch: pa.RecordBatch):
         short = batch.column("size").to_numpy(zero_copy_only=False) < 3
-        yield {"key": batch.column("key").filter(pa.array(short)), "line": batch.column("line").filter(pa.array(short))}
+        yield {"key": batch.column("key").filter(pa.array(short)), "line": batch.column("line").to_numpy(zero_copy_only=False)[short] | _INDEX}
         for low, high in _pieces(batch.column("words"), W.CHUNK_BYTES):
             part = batch.slice(low, high - low)
             keys, names, at, size, edits = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "at", "size", "edits"))
             x = Texts(part.column("words"), at.astype(np.int64), size.astype(np.int64))
             for e in np.unique(edits).tolist():
                 pick = np.flatnonzero(~short[low:high] & (edits == e))
-                for key, line, _, _ in _signatures(x, pick, e, range(e + 1)):
-                    yield {"key": W.mix(key ^ W.mix(keys[line].view(np.uint64))).view(np.int64), "line": names[line]}
+                for key, line, _, _, index in _signatures(x, pick, e, range(e + 1)):
+                    yield {"key": W.mix(key ^ W.mix(keys[line].view(np.uint64))).view(np.int64), "line": names[line] | _INDEX if index else names[line]}
 
     return T.map_batches(large.join(lines, "line"), run, "key long, line long")
 
@@ -427,7 +483,7 @@ def _dealt_anew(large: DataFrame, lines: DataFrame) -> DataFrame:
         for i, text in enumerate(batch.column("words").to_pylist()):
             rest = np.frombuffer((text[: at[i]] + text[at[i] + size[i] :]).encode("utf-32-le"), np.uint32)
             n, split = len(rest), int(at[i])
-            runs = W.runs(W.mix(rest.astype(np.uint64) + np.uint64(0x51)), _CHARS)
+            runs = W.runs(_values(rest), _CHARS)
             sums, down = runs
             k = np.arange(n)
             without = (sums[k] + (sums[n] - sums[k + 1]) * down[1]) if n else np.zeros(0, np.uint64)
