@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -115,7 +116,18 @@ def test_banded_distance():
         a.append("".join(x))
         b.append("".join(y))
     for edits in (1, 2, 3):
-        assert L.within(pa.array(a), pa.array(b), edits).tolist() == [distance(x, y) <= edits for x, y in zip(a, b)]
+        want = [distance(x, y) <= edits for x, y in zip(a, b)]
+        assert L.within(pa.array(a), pa.array(b), edits).tolist() == want
+        points = [[np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in c] for c in (a, b)]
+        assert [L.within_far(x, y, edits) for x, y in zip(*points)] == want
+
+
+def test_long_lines(spark):
+    """Lines far beyond the length that is compared in bulk."""
+    line = " ".join(f"word{i * i % 9973}" for i in range(4000))
+    docs = [(1, line), (2, line[:9000] + "x" + line[9001:20000] + line[20001:]), (3, "y" + line[:-3]), (4, line[:100] + "abcd" + line[104:]), (5, line[5:])]
+    found = {r["_key"]: r["removed"] for r in L.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1: [], 2: [0], 3: [], 4: [], 5: []}
 
 
 def test_edges(spark):
