@@ -14,8 +14,8 @@ its own over the distinct lines, one after the other: what is shuffled at a time
 is one number's keys.  Keys are sorted, and a task sees the lines of a key as a
 run in its stream, whatever their number.
 
-Lines that meet under one segment in a large group are dealt anew.  At a
-threshold of one: by what is left of the line without one character; of the
+Lines that meet under one segment in a large group are compared as a block, and
+where the group exceeds a block they are dealt anew.  At a threshold of one: by what is left of the line without one character; of the
 lines that agree there, all that lack the same place differ in that place alone,
 so linking them to the least of them connects all; no pair is lost and none of
 the others is formed.  At a larger one: by the segments of what is left beside
@@ -268,7 +268,7 @@ def distinct_lines(documents: DataFrame, bands, min_chars: int = 0) -> DataFrame
     return T.written(found.mapInArrow(once, "line long, words string"))
 
 
-def _pieces(column: pa.Array, size: int = 4 * W.CHUNK_BYTES):
+def _pieces(column: pa.Array, size: int = W.CHUNK_BYTES):
     """Bounds of the rows of a column, so much text at a time."""
     _, offsets = W.utf8(column)
     row, n = 0, len(offsets) - 1
@@ -311,7 +311,7 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
                     mine = key.view(np.int64) == wanted[row]
                     yield {"key": wanted[row[mine]], "line": names[row[mine]], "at": at[mine], "size": size[mine], "edits": np.full(int(mine.sum()), e)}
 
-        return T.map_batches(found[number].filter("b is null").select("key", F.col("a").alias("line")).join(known, "line"), run, "key long, line long, at int, size int, edits int")
+        return T.map_batches(huge.filter(F.col("number") == number).select("key", "line").join(known, "line"), run, "key long, line long, at int, size int, edits int")
 
     found = [_met(signed(i), group) for i in range(most + 1)]
     every = found[0].withColumn("number", F.lit(0))
@@ -320,18 +320,24 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
     wanted = every.select(F.explode(F.array("a", "b")).alias("line")).filter("line is not null").distinct()
     known = T.written(lines.join(wanted.hint("merge"), "line", "left_semi"))  # the lines that met another
     pairs = every.filter("b is not null").select("a", "b")
-    blocked = None
-    several = [i for i, x in enumerate(found) if x.filter("b is null").head(1)]
-    if several:
-        large = spots(several[0])
-        for i in several[1:]:
-            large = large.unionByName(spots(i))
-        large = T.written(large)
-        pairs = pairs.unionByName(_dealt_anew(large.filter("edits = 1").drop("edits"), known))
+    # groups that fit a block are compared as they are; larger ones are dealt anew before
+    large = every.filter("b is null").select("key", F.col("a").alias("line"), "number").distinct()
+    sizes = large.groupBy("key").agg(F.count("*").alias("lines"))
+    large = T.written(large.join(sizes, "key"))
+    blocked = large.filter(F.col("lines") <= BLOCK).select("key", "line")
+    huge = large.filter(F.col("lines") > BLOCK)
+    numbers = sorted(r["number"] for r in huge.select("number").distinct().collect())  # as many as segments
+    if numbers:
+        placed = spots(numbers[0])
+        for i in numbers[1:]:
+            placed = placed.unionByName(spots(i))
+        placed = T.written(placed)
+        pairs = pairs.unionByName(_dealt_anew(placed.filter("edits = 1").drop("edits"), known))
         if most > 1:
-            again = _met(_beside(large.filter("edits > 1"), known), group)
+            again = _met(_beside(placed.filter("edits > 1"), known), group)
             pairs = pairs.unionByName(again.filter("b is not null").select("a", "b"))
-            blocked = _in_blocks(again.filter("b is null").select("key", F.col("a").alias("line")), known, bands)
+            blocked = blocked.unionByName(again.filter("b is null").select("key", F.col("a").alias("line")).distinct())
+    blocked = _in_blocks(blocked, known, bands)
     pairs = pairs.distinct()
     both = pairs.join(known.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(known.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
 
@@ -340,7 +346,7 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
         yield {"a": batch.column("a").filter(pa.array(close)), "b": batch.column("b").filter(pa.array(close))}
 
     links = T.map_batches(both, verify, "a long, b long")
-    return links if blocked is None else links.unionByName(blocked)
+    return links.unionByName(blocked)
 
 
 #: Pairs of which a line is longer are followed along their diagonals, one by one.
@@ -420,7 +426,9 @@ def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
         names = table.column("line").to_numpy()
         return pa.table({"a": pa.array(names[found[:, 0]], pa.int64()), "b": pa.array(names[found[:, 1]], pa.int64())})
 
-    return dealt.join(lines, "line").groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
+    # as many parts as the session deals to: these tasks are bound by their work, not by their bytes
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.join(lines, "line").repartition(parts, "key", "low", "high").groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
 
 
 _BINS, _BULK = 32, 1 << 16
