@@ -61,8 +61,9 @@ def fixture(seed, n):
     return docs
 
 
-@pytest.mark.parametrize("edits,group", [(1, 32), (1, 1), (2, 32)])
-def test_equals_brute_force(spark, edits, group):
+@pytest.mark.parametrize("edits,group,block", [(1, 32, 512), (1, 1, 2), (2, 32, 512), (2, 2, 3)])
+def test_equals_brute_force(spark, monkeypatch, edits, group, block):
+    monkeypatch.setattr(L, "BLOCK", block)  # small blocks, so that groups exceed them
     docs = fixture(edits * 10 + group, 60) + [(100, None), (101, ""), (102, "\n \n\t\n"), (103, "x" * 5000)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r["_key"]: r["removed"] for r in L.removed_lines(df, edits=edits, min_chars=12, group=group).collect()}
@@ -73,8 +74,9 @@ def threshold(a, b, bands):
     return max(e for least, e in bands if max(len(a), len(b)) >= least)
 
 
-@pytest.mark.parametrize("edits,group", [(((0, 1), (16, 2), (24, 3)), 32), (((0, 1), (16, 2), (24, 3)), 1), (2, 1), (3, 3)])
-def test_thresholds_by_length(spark, edits, group):
+@pytest.mark.parametrize("edits,group,block", [(((0, 1), (16, 2), (24, 3)), 32, 512), (((0, 1), (16, 2), (24, 3)), 1, 3), (2, 1, 512), (3, 3, 6)])
+def test_thresholds_by_length(spark, monkeypatch, edits, group, block):
+    monkeypatch.setattr(L, "BLOCK", block)
     docs = fixture(group + 7, 60)
     bands = ((0, edits),) if isinstance(edits, int) else edits
     lines = {x.strip("\t\n\v\f\r ") for _, t in docs for x in t.split("\n")} - {""}
