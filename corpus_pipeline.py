@@ -26,6 +26,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 COLUMNS = tuple(x.split()[0] for x in SCHEMA.split(", "))
 
 
+@tables.tidy
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or above."""
     model = quality_classifier.fit(*quality_classifier.sample(docs, tables.read(spark, sf_dir, "labels")))
@@ -33,6 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_classifier.scored(typed, model, SCHEMA).filter(F.col("score") >= quality_classifier.THRESHOLD).select(*COLUMNS)
 
 
+@tables.tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the first by doc_id, then by a hash of its text.  Documents without words stay."""
     found = ngram_join.similar(docs.select("doc_id", "text"), shingle=5, percent=80)
@@ -44,16 +46,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.withColumn("place", F.row_number().over(order)).filter("place = 1 or not worded").select(*COLUMNS)
 
 
+@tables.tidy
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     return decontamination.marked(docs, tables.read(spark, sf_dir, "benchmark"), SCHEMA).filter("n_hit = 0").select(*COLUMNS)
 
 
+@tables.tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.repeated(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
+@tables.tidy
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the token files."""
     return token_output.encoded_documents(docs.select("doc_id", "text"), token_output.public_tokenizer(), special=True)
@@ -68,12 +73,16 @@ STAGES = [
 ]
 
 
+@tables.tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        before = docs
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = tables.written(docs)
+            if i:
+                tables.forget(spark, before)
     return docs
 
 
