@@ -12,7 +12,9 @@ The model of stage 1 is fitted on a bounded sample of labelled documents; the
 labels and the benchmark are read from ``sf_dir``.  Repeated rows of one doc_id
 are judged each by its own text.  Null texts and texts without words are empty
 documents: stage 1 scores them, stage 2 links them with nothing, stage 4 takes
-nothing of them.  An empty table gives an empty table at each stage.
+nothing of them.  Rows without a doc_id are documents too, the last ones in every
+order.  Columns beyond those of documents are left out by the first stage.  An
+empty table gives an empty table at each stage.
 """
 
 from __future__ import annotations
