@@ -13,7 +13,7 @@ Cases: null and empty texts are scored by their (zero) statistics; a null
 doc_id is scored, is not held out and never learnt from; a document labelled
 more than once counts with each label, and once for equal labels; of several
 texts of a labelled doc_id one is learnt from; null labels are left out; with labels
-of one class or none every score is that share, or 0.5; an empty table gives no
+of one class or none, or too few to split, every score is that share, or 0.5; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -141,6 +141,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
         _grow(binned, cuts, p - y, p * (1 - p), np.arange(len(y)), depth, (), rules, leaf)
         score = score + 0.3 * leaf
     rules = sorted(set(rules), key=lambda r: r.parts)
+    if not rules:  # too few labels to tell them apart
+        return Model(float(np.log(y.mean() / (1 - y.mean()))), ())
     bias, w = _lasso(np.stack([r.holds(x) for r in rules], 1).astype(float), y.astype(float), penalty)
     return Model(bias, tuple((float(a), r) for a, r in zip(w, rules, strict=True) if abs(a) > 1e-9))
 
