@@ -135,7 +135,7 @@ class Texts:
             inside = np.cumsum(keep - 1)[:-1] >= 0
             chars = chars[inside]
             begins = begins - np.concatenate([[0], np.cumsum(gone)])
-        self.start, self.size = begins[:-1], np.diff(begins)
+        self.chars, self.start, self.size = chars, begins[:-1], np.diff(begins)
         self.runs = W.runs(_values(chars), _CHARS)
 
 
@@ -431,7 +431,7 @@ def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
     return dealt.join(lines, "line").repartition(parts, "key", "low", "high").groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
 
 
-_BINS, _BULK = 32, 1 << 16
+_BINS, _BULK = 1 << 5, 1 << 16
 
 
 def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
@@ -442,9 +442,9 @@ def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     n, across = len(words), len(np.unique(own)) > 1
-    x = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in words.to_pylist()]
-    size = np.array([len(c) for c in x])
-    letters = np.array([np.bincount(W.mix(c.astype(np.uint64)) % np.uint64(_BINS), minlength=_BINS) for c in x], np.int32).reshape(n, _BINS)
+    x = Texts(words)
+    size, row = x.size, np.repeat(np.arange(n), x.size)
+    letters = np.bincount(row * _BINS + (x.chars * np.uint32(2654435761) >> np.uint32(32 - 5)), minlength=n * _BINS).reshape(n, _BINS).astype(np.int32)
     most = int(max(e for _, e in bands))
     label, out = np.arange(n), []
     left, right, held = [], [], 0
@@ -472,7 +472,7 @@ def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
             left.append(np.full(len(j), i))
             right.append(j)
             held += len(j)
-        if held and (held >= _BULK or i < 4):  # the first ones connect a group that is close
+        if held and (held >= _BULK or i == 0):  # the first one connects most of a group that is close
             settle()
     if held:
         settle()
