@@ -456,6 +456,56 @@ def test_pipeline(spark, data):
     assert sorted(r["doc_id"] for r in last) == sorted(r["doc_id"] for r in mixed)
 
 
+def _stages(spark, folder):
+    """Rows after each stage; all but the last have the columns of documents."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from corpusloom.llm import tables
+
+    docs, out = tables.read(spark, folder, "documents"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = tables.written(stage(spark, docs, folder))
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS, name
+        out.append(docs.collect())
+    return [*out, corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()]
+
+
+def test_pipeline_on_odd_rows(spark, data, tmp_path):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and ids, further columns."""
+    from .test_pairs import brute
+
+    real = spark.read.parquet(f"{data}/documents.parquet")
+    clean = [r for r in real.orderBy("doc_id").collect() if len(r["text"]) > 900][:60]
+    rows = [tuple(r) for r in clean] + [tuple(clean[0])] * 3 + [(clean[1]["doc_id"], clean[2]["text"], None, None, None), (None, clean[3]["text"], "en", None, 5)]
+    rows += [(None, clean[4]["text"] + " more", "en", "src1", 7), (None, None, None, None, None), (9001, None, "en", "src0", 0), (9002, "", "en", "src0", 0), (9003, " \n ", "en", None, 3), (9004, clean[5]["text"] * 40, "en", "src2", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], schema + ", size int, _key string, score double")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    first, second, third, mixed, last = _stages(spark, str(tmp_path))
+    given = Counter((r[0], r[1]) for r in rows)
+    assert all(given[r["doc_id"], r["text"]] for r in first) and len(first) > 30
+    assert not Counter((r["doc_id"], r["text"]) for r in first) - given
+    worded = [(i, r["text"]) for i, r in enumerate(second) if (r["text"] or "").split()]
+    assert len({c for _, c in brute(worded, 5, 80).values()}) == len(worded)
+    before = {r["text"] for r in first if (r["text"] or "").split()}
+    groups = brute(list(enumerate(sorted(before))), 5, 80)
+    assert len(worded) == len({c for _, c in groups.values()})
+    items = [set(_windows(r["text"])) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
+    assert sorted(map(key, third)) == sorted(key(r) for r in second if not any(set(_windows(r["text"] or "")) & i for i in items))
+    assert all(r["n_chars"] == len(r["text"]) for r in mixed) and len(last) == len(mixed)
+    assert sorted(r["start"] for r in last)[0] == 0
+
+
+@pytest.mark.parametrize("labels", [True, False])
+def test_pipeline_on_empty_tables(spark, data, tmp_path, labels):
+    for name in ("documents", "labels", "benchmark"):
+        table = spark.read.parquet(f"{data}/{name}.parquet")
+        (table if labels and name == "labels" else table.limit(0)).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert _stages(spark, str(tmp_path)) == [[]] * 5
+
+
 def _windows(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})))
     return [tuple(w[i : i + 10]) for i in range(len(w) - 9)]
