@@ -128,6 +128,23 @@ FILTERS: list[tuple[str, Callable[[Column, dict[str, Column], Limits], Column |
 ]
 
 
+def _first_failing(t: Column, measures: dict[str, Column], limits: Limits, filters=None) -> Column:
+    out = F.lit(None).cast("string")
+    for name, fails in reversed(FILTERS if filters is None else filters):
+        found = fails(t, measures, limits)
+        if found is not None:
+            out = F.when(found, F.lit(name)).otherwise(out)
+    return out
+
+
+def reject_reason(text: Column, limits: Limits = Limits(), filters=None) -> Column:
+    """The first filter that fails, or null, as a Column.  Null and blank texts fail by length.
+
+    Each filter strips the text again; ``with_reason`` does so once."""
+    t = strip(F.coalesce(text, F.lit("")))
+    return _first_failing(t, {"entropy": entropy(t), "compression": bytes_over_compressed(t)}, limits, filters)
+
+
 def with_reason(rows: DataFrame, text: str = "text", limits: Limits = Limits(), into: str = "reason", filters=None) -> DataFrame:
     """Rows with the first filter that fails, or null.  Null and blank texts fail by length.
 
@@ -137,9 +154,4 @@ def with_reason(rows: DataFrame, text: str = "text", limits: Limits = Limits(),
     if limits.min_compression is not None:
         measured = measured.withColumn("_packed", bytes_over_compressed("_t"))
         measures["compression"] = F.col("_packed")
-    out = F.lit(None).cast("string")
-    for name, fails in reversed(FILTERS if filters is None else filters):
-        found = fails(F.col("_t"), measures, limits)
-        if found is not None:
-            out = F.when(found, F.lit(name)).otherwise(out)
-    return settled(measured, **{into: out}).drop("_t", "_entropy", "_packed")
+    return settled(measured, **{into: _first_failing(F.col("_t"), measures, limits, filters)}).drop("_t", "_entropy", "_packed")
