@@ -45,7 +45,7 @@ def ranged(rows: DataFrame, key: str, tie: Column, weight: Column | None = None,
     own = F.coalesce(F.get(_longs(bounds), F.col("_at")) == F.col(key), F.lit(False))
     pieces = F.get(_longs([times[b] for b in bounds]), F.col("_at"))
     sub = F.when(own & (pieces > 1), F.floor((F.shiftright(tie, 32) + (1 << 31)) * pieces / (1 << 32)) + 1).otherwise(F.lit(0))
-    return rows.withColumn("_at", at).withColumn("_range", (F.col("_at") * _SPLITS + sub).cast("long")).drop("_at")
+    return rows.withColumn("_at", at).withColumn("_range", F.col("_at").cast("long") * _SPLITS + sub).drop("_at")
 
 
 def running(rows: DataFrame, size: Column, order: list, by: tuple[str, ...] = (), into: str = "start") -> DataFrame:

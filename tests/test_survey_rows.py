@@ -63,6 +63,13 @@ def test_next_fit_of_batches(spark):
             assert [x["segment"] for x in mine if x["sequence"] == s] == list(range(sum(x["sequence"] == s for x in mine)))
 
 
+def test_many_ranges_keep_the_order(spark):
+    df = spark.range(6000).select((F.col("id") * 7).alias("key"))
+    found = ranges.ranged(df, "key", F.xxhash64("key"), each=2).groupBy("_range").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("_range").collect()
+    assert len(found) > 2500 and found[-1]["_range"] > 1 << 31
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_spikes_of_one_long_run(spark):
     r = random.Random(3)
     log = [("a", i, r.choice([1.0, 1.2, 9.0, float("nan")])) for i in range(400)] + [("b", i, 2.0) for i in range(30)] + [("b", 99, 50.0)]
