@@ -55,8 +55,8 @@ class Code:
         self.width = int(bits.max()) if len(bits) else 1
         spans = np.left_shift(np.int64(1), self.width - bits)
         first = np.cumsum(spans) - spans
-        self.left = np.zeros(len(self.lengths), np.uint32)
-        self.left[order] = first
+        self.aligned = np.zeros(len(self.lengths), np.uint64)
+        self.aligned[order] = first.astype(np.uint64) << np.uint64(64 - self.width)
         self.table = np.zeros(1 << self.width, np.int64)
         filled = int(spans.sum())
         self.table[:filled] = np.repeat(order.astype(np.int64) << 6 | bits, spans)
@@ -68,13 +68,17 @@ class Code:
             raise ValueError("an id has no code")
         ends = np.cumsum(bits)
         offsets = (ends - bits)[::step]
-        packed, place = [], np.arange(self.width)
-        for at in range(0, len(ids), 1 << 15):
-            part = ids[at : at + (1 << 15)]
-            rows = (self.left[part][:, None] >> (self.width - 1 - place)[None, :]).astype(np.uint8) & 1
-            packed.append(rows[place[None, :] < bits[at : at + (1 << 15), None]])
-        whole = np.concatenate(packed) if packed else np.zeros(0, np.uint8)
-        return np.packbits(whole).tobytes(), offsets
+        total = int(ends[-1]) if len(ends) else 0
+        words = np.zeros(total // 64 + 2, np.uint64)
+        for at in range(0, len(ids), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            start, code = ends[part] - bits[part], self.aligned[ids[part]]
+            word, off = start >> 6, (start & 63).astype(np.uint64)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            words[word[first]] |= np.bitwise_or.reduceat(code >> off, first)  # no code has more than 64 bits, so each word has a start
+            over = np.flatnonzero((start & 63) + bits[part] > 64)
+            words[word[over] + 1] |= code[over] << (np.uint64(64) - off[over])
+        return words.astype(">u8").tobytes()[: (total + 7) // 8], offsets
 
     def decode(self, payloads: list[bytes], offsets: list[np.ndarray], counts: np.ndarray, step: int = STEP) -> np.ndarray:
         """Ids of several blocks, one after the other."""

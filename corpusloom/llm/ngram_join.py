@@ -146,7 +146,7 @@ def sets_of(documents: DataFrame, shingle: int) -> DataFrame:
         none = pa.nulls(int(often.sum()), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(seen.counts[often], pa.int64()), pa.array(seen.values[often].view(np.int64))], schema=schema)
 
-    return documents.mapInArrow(run, "_key long, text_hash long, n long, node long")
+    return documents.mapInArrow(T.light(run), "_key long, text_hash long, n long, node long")
 
 
 def _prefix_rows(documents: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -167,7 +167,7 @@ def _prefix_rows(documents: DataFrame, shingle: int, percent: int, frequent: np.
                     part = np.flatnonzero(take)[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(s.values[part].view(np.int64)), pa.array(s.name[s.rows[part]].view(np.int64))], ["token", "node"])
 
-    return documents.mapInArrow(run, "token long, node long")
+    return documents.mapInArrow(T.light(run), "token long, node long")
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -214,10 +214,11 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     tokens = column.flatten().to_numpy().view(np.uint64)
     ends = np.cumsum(np.asarray(column.value_lengths()))
     members = np.flatnonzero(role != 1)
-    owner = np.repeat(np.arange(len(members)), n[members])
+    owner = np.repeat(np.arange(len(members), dtype=np.int32), n[members])
     pool = np.concatenate([tokens[ends[i] - n[i] : ends[i]] for i in members]) if len(members) else np.zeros(0, np.uint64)
-    order = np.lexsort((owner, pool))
+    order = np.argsort(pool, kind="stable")  # so owners of one shingle ascend
     pool, owner = pool[order], owner[order]
+    del order
     size, forest, edges = n[members], _Forest(), []
     classes = kind[members]
     one = len(np.unique(classes)) == 1
@@ -240,7 +241,15 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
 
 def _edges(tasks: DataFrame, percent: int) -> DataFrame:
     """tasks: task, role (0 member, 1 query, 2 both), node, class, n, tokens."""
-    return tasks.groupBy("task").applyInArrow(lambda t: _compare(t, percent), "a long, b long")
+
+    def compare(t: pa.Table) -> pa.Table:
+        T.let_go()
+        try:
+            return _compare(t, percent)
+        finally:
+            T.trim()
+
+    return tasks.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
 def linked_nodes(documents: DataFrame, nodes: DataFrame, frequent: np.ndarray, shingle: int, percent: int) -> DataFrame:

@@ -54,7 +54,7 @@ class UnitEncoder:
     tokenizer does before all else.  Texts with names that take blanks or words
     beside them into account are one piece."""
 
-    def __init__(self, path: str, special: bool = False, most: int = 3_000_000, recent: int = 200_000):
+    def __init__(self, path: str, special: bool = False, most: int = 3_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -69,36 +69,49 @@ class UnitEncoder:
         spelled = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(spelled.values()) + 1, np.int64)
         self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a byte is a character of the vocabulary
-        self.most, self.most_recent = most, recent
+        self.most = most
         self._empty()
 
     def _empty(self):
-        """Known pieces: sorted keys and their slots, and the recent ones in a dict; first and size: a slot's ids."""
-        self.keys, self.slots, self.recent = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
+        """Known pieces: an open table of keys (0: free) and slots; first and size: a slot's ids."""
+        self.bits = 16
+        self.keys, self.slots = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first, self.size, self.known, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0, 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Slots of sorted keys, -1 for those not known."""
-        out = np.full(len(keys), -1, np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            same = self.keys[at] == keys
-            out[same] = self.slots[at[same]]
-        if self.recent:
-            rest = np.flatnonzero(out < 0)
-            out[rest] = [self.recent.get(k, -1) for k in keys[rest].tolist()]
+        """Slots of keys, -1 for those not known."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == keys, self.slots[at], -1)
+        rest = np.flatnonzero((there != keys) & (there != 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[rest]]
+            same = there == keys[rest]
+            out[rest[same]] = self.slots[at[rest[same]]]
+            rest = rest[~same & (there != 0)]
         return out
 
-    def _add(self, keys: list[int], slots: range):
-        self.recent.update(zip(keys, slots, strict=True))
-        if len(self.recent) > self.most_recent:
-            both = np.concatenate([self.keys, np.fromiter(self.recent, np.uint64, len(self.recent))])
-            slots_ = np.concatenate([self.slots, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
-            order = np.argsort(both)
-            self.keys, self.slots, self.recent = both[order], slots_[order], {}
-
-    def _learn(self, keys: list[int], pieces: list[bytes], whole: np.ndarray):
+    def _add(self, keys: np.ndarray, slots: np.ndarray):
+        """Distinct keys that are not known."""
+        if self.known > 3 << self.bits - 2:
+            old = np.flatnonzero(self.keys)
+            keys, slots = np.concatenate([self.keys[old], keys]), np.concatenate([self.slots[old], slots])
+            while self.known > 1 << self.bits - 1:
+                self.bits += 1
+            self.keys, self.slots = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        rest = np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[at[rest]] == 0]
+            self.keys[at[free]] = keys[free]  # of several at one place, one wins
+            won = self.keys[at[rest]] == keys[rest]
+            self.slots[at[rest[won]]] = slots[rest[won]]
+            rest = rest[~won]
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], whole: np.ndarray):
         """whole: pieces that begin and end at a cut.  Put together, they are one text cut at the same places."""
         for of in (np.flatnonzero(whole), np.flatnonzero(~whole)):
             for at in range(0, len(of), 4096):
@@ -121,7 +134,7 @@ class UnitEncoder:
                 self.first[n : n + len(mine)] = self.used + np.cumsum(sizes) - sizes
                 self.used += len(flat)
                 self.known += len(mine)
-                self._add([keys[i] for i in mine], range(n, n + len(mine)))
+                self._add(keys[mine], np.arange(n, n + len(mine), dtype=np.int32))
 
     def _around(self, data: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Where names of added tokens begin and end; cuts that are none beside them are taken back."""
@@ -159,19 +172,19 @@ class UnitEncoder:
         edges = np.flatnonzero(cut)
         start, end = edges[:-1], edges[1:]
         inner = inner[start] & inner[end]
-        keys = W.run_hash(W.runs(W._byte_values(False)[data], 2), start, end)
-        distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        found = self._find(distinct)
-        new = np.flatnonzero(found < 0)
-        if len(new) and self.known + len(new) > self.most:
-            self.most = max(self.most, 2 * len(distinct))
-            self._empty()
-            new = np.arange(len(distinct))
+        keys = np.maximum(W.run_hash(W.runs(W._byte_values(False)[data], 2), start, end), np.uint64(1))
+        which = self._find(keys)
+        new = np.flatnonzero(which < 0)
         if len(new):
-            raw, at = data.tobytes(), index[new]
-            self._learn(distinct[new].tolist(), [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], inner[at])
-            found = self._find(distinct)
-        which = found[inverse]
+            distinct, index = np.unique(keys[new], return_index=True)
+            if self.known + len(distinct) > self.most:
+                new = np.arange(len(keys))
+                distinct, index = np.unique(keys, return_index=True)
+                self.most = max(self.most, 2 * len(distinct))
+                self._empty()
+            raw, at = data.tobytes(), new[index]
+            self._learn(distinct, [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], inner[at])
+            which[new] = self._find(keys[new])
         size, first = self.size[which].astype(np.int64), self.first[which]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(first - (total - size), size) + np.arange(int(total[-1]))]
@@ -179,9 +192,9 @@ class UnitEncoder:
         return ids, np.diff(sums[np.searchsorted(start, offsets)])
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, special: bool = False) -> UnitEncoder:
-    return UnitEncoder(path, special)
+    """One for each stage in a worker."""
+    return T.held(UnitEncoder, path, special)
 
 
 def _blocks(ids, texts, encoder: UnitEncoder, end_id: int):
@@ -210,7 +223,9 @@ def _encoded(documents: DataFrame, path: str, end_id: int, block_tokens: int, sp
         def flush():
             nonlocal held, block, start
             tokens = np.concatenate([x[1] for x in held])
-            used, count = np.unique(tokens, return_counts=True)
+            count = np.bincount(tokens)
+            used = np.flatnonzero(count)
+            count = count[used]
             wide = np.uint16 if used[-1] < 1 << 16 else np.uint32
             row = {
                 "part": [part], "block": [block], "start": [start], "n_tokens": [len(tokens)],
@@ -232,7 +247,7 @@ def _encoded(documents: DataFrame, path: str, end_id: int, block_tokens: int, sp
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, block int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, used array<int>, count array<long>, bytes_each int, ids binary")
+    return docs.mapInArrow(T.light(run), "part int, block int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, used array<int>, count array<long>, bytes_each int, ids binary")
 
 
 _BLOCK = pa.schema(

@@ -59,7 +59,7 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     have = _POWERS.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, 1 << int(n).bit_length(), 1 << 12) if n <= CHUNK_BYTES else max(n, CHUNK_BYTES + 1)
         base = (int(_stream(seed, 1)[0]) | 1) & ~2 | 4 | 1
         both = []
         for b in (base, pow(base, -1, 1 << 64)):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, fingerprints, huffman, mixing, quality_classifier, secret_scan, token_output
+from corpusloom.llm import chat_format, fingerprints, huffman, mixing, quality_classifier, secret_scan, tables, token_output
 
 from .helpers import ODD, same
 
@@ -509,3 +509,27 @@ def test_pipeline_on_empty_tables(spark, data, tmp_path, labels):
 def _windows(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.translate(str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})))
     return [tuple(w[i : i + 10]) for i in range(len(w) - 9)]
+
+
+def test_codes_are_packed_as_their_bits():
+    r = np.random.default_rng(5)
+    for size, n in ((1, 3), (3, 200), (900, 5000), (70_000, 100_000)):
+        ids = np.minimum(r.zipf(1.3, n) - 1, size - 1)
+        code = huffman.Code(huffman.code_lengths(np.bincount(ids, minlength=size)))
+        spelled = "".join(f"{int(code.aligned[i]) >> (64 - int(code.lengths[i])):0{code.lengths[i]}b}" for i in ids.tolist())
+        payload, offsets = code.encode(ids)
+        assert payload == np.packbits(np.array(list(spelled), np.uint8)).tobytes()
+        assert np.array_equal(code.decode([payload], [offsets], np.array([n])), ids)
+
+
+def test_what_a_stage_holds_goes_with_it(spark):
+    """A worker that lives on keeps nothing of an earlier stage, such as a table of token pieces."""
+
+    def hold(batch):
+        tables.held(bytearray, 10)
+        return {"n": [len(tables._held)], "mine": [id(tables.held(bytearray, 10)) == id(tables.held(bytearray, 10))]}
+
+    df = spark.range(4, numPartitions=1)
+    for _ in range(2):
+        assert [tuple(r) for r in tables.map_batches(df, hold, "n int, mine boolean").collect()] == [(1, True)]
+    assert tables.map_batches(df, lambda batch: {"n": [len(tables._held)]}, "n int").collect()[0]["n"] == 0
