@@ -9,10 +9,12 @@ characters, so each line probes the index with few substrings of the right
 lengths, and the pairs found are verified by a banded bit-parallel automaton.  A
 line just below a band is in the index of that band as well.
 
-Segments of one number only ever meet one another, so each number is a join of
-its own over the distinct lines, one after the other: what is shuffled at a time
-is one number's keys.  Keys are sorted, and a task sees the lines of a key as a
-run in its stream, whatever their number.
+Segments of one number only ever meet one another, so the numbers are joined in
+passes over the distinct lines, one after the other (``_passes``): what is shuffled
+at a time is one pass's keys.  They travel packed, many to a row, by ranges of the
+key; of a range, index entries come first, so that a task drops each probe that
+meets none as it comes, and gives the lines of a large key out as they come,
+whatever their number.
 
 Lines that meet under one segment in a large group are compared as a block, and
 where the group exceeds a block they are dealt anew.  At a threshold of one: by what is left of the line without one character; of the
@@ -59,41 +61,50 @@ def _values(chars: np.ndarray) -> np.ndarray:
     return W.mix(chars.astype(np.uint64) + np.uint64(0x51))
 
 
-_BLANK = np.zeros(1 << 16, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
 
 
 class Lines:
-    """Lines of a column, as code points: row, number within the row, start and end."""
+    """Lines of a column: row, number within the row, start and end in its bytes."""
 
     def __init__(self, column: pa.Array):
         data, offsets = W.utf8(column)
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        edges = begins[offsets]
-        feeds = np.flatnonzero(chars == 10)
-        row_of_feed = np.searchsorted(edges[1:], feeds, "right")
-        start = np.concatenate([edges[:-1], feeds + 1])
-        row = np.concatenate([np.arange(len(edges) - 1), row_of_feed])
-        order = np.lexsort((np.arange(len(start)), row))
+        feeds = np.flatnonzero(data == 10)
+        start = np.concatenate([offsets[:-1], feeds + 1])
+        row = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets[1:], feeds, "right")])
+        order = np.argsort(row, kind="stable")
         start, row = start[order], row[order]
-        end = np.minimum(np.append(feeds, len(chars))[np.searchsorted(feeds, start)], edges[1:][row])
-        first = np.searchsorted(row, row)
-        number = np.arange(len(row)) - first
-        solid = np.concatenate([[0], np.cumsum(~(_BLANK[np.minimum(chars, 0xFFFF)]))])
-        places = np.flatnonzero(~_BLANK[np.minimum(chars, 0xFFFF)])
-        some = solid[end] > solid[start]
+        end = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, start)], offsets[1:][row])
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        places = np.flatnonzero(_SOLID[data])
+        low, high = np.searchsorted(places, start), np.searchsorted(places, end)
+        some = high > low
         self.row, self.number = row[some], number[some]
-        start, end = start[some], end[some]
-        self.start, self.end = places[solid[start]], places[solid[end] - 1] + 1
-        self.chars = chars
-        self.runs = W.runs(_values(chars), _CHARS)
-        self.hash = W.run_hash(self.runs, self.start, self.end) >> np.uint64(1)
+        self.start, self.end = places[low[some]], places[high[some] - 1] + 1
+        self.data = data
+        self.hash = W.run_hash(W.runs(_VALUES[data], _CHARS), self.start, self.end) >> np.uint64(1)
         self.rows = len(offsets) - 1
 
     @property
     def size(self) -> np.ndarray:
-        return self.end - self.start
+        """Characters of each line."""
+        later = np.concatenate([[0], np.cumsum((self.data & 0xC0) == 0x80, dtype=np.int64)])
+        return self.end - self.start - (later[self.end] - later[self.start])
+
+    def words(self, pick: np.ndarray) -> pa.Array:
+        """The lines picked, ascending, as strings."""
+        start, end = self.start[pick], self.end[pick]
+        step = np.zeros(len(self.data) + 1, np.int8)
+        step[start] += 1
+        step[end] -= 1
+        data = self.data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+        offsets = np.concatenate([[0], np.cumsum(end - start)])
+        try:
+            data.tobytes().decode("utf-8")
+        except UnicodeDecodeError:
+            return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
+        return pa.LargeStringArray.from_buffers(len(pick), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
 
 
 def line_chunks(column, size: int = W.CHUNK_BYTES):
@@ -157,35 +168,89 @@ def _signatures(x, pick: np.ndarray, edits: int, numbers, probe: bool = True):
                 yield key, pick[ok], p[ok], size[ok], not (d or shift)
 
 
-def _banded(x, pick: np.ndarray, bands, number: int):
+def _passes(most: int) -> list[tuple[int, ...]]:
+    """Segment numbers by pass: the first and the last have about half as many probes as each of the others."""
+    return [tuple(sorted({0, most}))] + [(i,) for i in range(1, most)]
+
+
+def _banded(x, pick: np.ndarray, bands, numbers):
     """(key, line, where the segment stands, its length, whether an index entry, the threshold) of the lines picked for segments
-    of a number, each line at its own threshold, and in the index of a band that a longer partner has."""
+    of some numbers, each line at its own threshold, and in the index of a band that a longer partner has."""
     own = allowed(x.size[pick], bands)
-    for e in sorted({e for _, e in bands if e >= max(1, number)}):
+    for e in sorted({e for _, e in bands if e >= max(1, min(numbers))}):
         below = np.zeros(len(pick), bool)
         for d in range(1, e + 1):
             below |= allowed(x.size[pick] + d, bands) == e
         for some, probe in ((own == e, True), (below & (own != e), False)):
-            for found in _signatures(x, pick[some], e, (number,), probe):
+            for found in _signatures(x, pick[some], e, [i for i in numbers if i <= e], probe):
                 yield *found, e
 
 
 _FOUND = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
+#: Entries that are packed at a time, of a row, of a range on average, and that a task holds before it looks for large keys.
+_PACK, _ROW, _RANGE, _HELD = 1 << 19, 1 << 12, 1 << 19, 1 << 22
+_PACKED = "part int, probe boolean, keys binary, lines binary"
+
+
+def _packed(key: np.ndarray, line: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(key, line) as rows of many entries, each of one range of the key, and of index entries or probes alone."""
+    place = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) * np.uint64(2) + (line >= 0)
+    place = place.astype(np.uint16 if 2 * parts <= 1 << 16 else np.uint64)
+    order = np.argsort(place, kind="stable")
+    key, line, place = key[order], line[order], place[order]
+    cut = np.append(True, place[1:] != place[:-1])
+    cut[::_ROW] = True
+    at = np.flatnonzero(cut)
+    offsets = pa.py_buffer((np.append(at, len(key)) * 8).astype(np.int32))
+    blobs = [pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))]) for x in (key, line)]
+    return pa.RecordBatch.from_arrays([pa.array((place[at] >> 1).astype(np.int32)), pa.array((place[at] & 1).astype(bool)), *blobs], ["part", "probe", "keys", "lines"])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    data = b"".join(x.as_buffer() for x in column)
+    return np.frombuffer(data, np.int64)
+
+
+def _within_sorted(key: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table has."""
+    if not len(table):
+        return np.zeros(len(key), bool)
+    return table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
+
+
 def _runs(group: int):
-    """From (key, line) sorted by both, index entries first: the pairs (a, b) of lines of each key that few have, of which one
-    is in the index, and the rows of all others (key, a).  Keys without an index entry have no pair."""
+    """From the packed entries of a range, index entries first: the pairs (a, b) of lines of each key that few have, of which one
+    is in the index, and the rows of all others (key, a), some of them twice.  Keys without an index entry have no pair."""
 
     def found(key=(), a=(), b=None):
         n = len(a)
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(key) if b is None else none, pa.array(a & ~_INDEX), none if b is None else pa.array(b & ~_INDEX)], schema=_FOUND)
 
+    def given(key: np.ndarray, line: np.ndarray):
+        for at in range(0, len(key), 1 << 16):
+            yield found(key[at : at + (1 << 16)], line[at : at + (1 << 16)])
+
+    def ordered(key: np.ndarray, line: np.ndarray):
+        """Sorted by both, equal ones once; where a key begins, and how many have it."""
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]))[: len(key)]
+        key, line = key[new], line[new]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return key, line, at, np.diff(np.append(at, len(key)))
+
     def closed(key: np.ndarray, line: np.ndarray):
-        """Whole runs."""
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(at, len(key)))
+        """All that is left of a range."""
+        order = np.argsort(key)
+        key, line = key[order], line[order]
+        same = key[1:] == key[:-1]
+        more = np.append(False, same) | np.append(same, False)  # a key of one entry has no pair
+        if not more.any():
+            return
+        key, line, at, size = ordered(key[more[: len(key)]], line[more[: len(key)]])
         some = line[at] < 0
         for n in np.unique(size[some & (size > 1) & (size <= group)]).tolist():
             of = line[at[some & (size == n)][:, None] + np.arange(n)[None, :]]
@@ -197,49 +262,86 @@ def _runs(group: int):
                 a, b = a[ok] & ~_INDEX, b[ok] & ~_INDEX
                 yield found(a=np.minimum(a, b), b=np.maximum(a, b))
         large = np.repeat(some & (size > group), size)
-        if large.any():
-            yield found(key[large], line[large])
+        yield from given(key[large], line[large])
+
+    class Range:
+        def __init__(self):
+            self.keys, self.lines, self.n, self.most = [], [], 0, _HELD
+            self.open = np.zeros(0, np.int64)  # large keys, whose lines go out as they come
+            self.index = self.bits = None
+
+        def known(self) -> None:
+            """All index entries are here."""
+            self.index = np.sort(np.concatenate([*self.keys, self.open]))
+            self.bits = np.zeros(1 << max(10, int(8 * len(self.index)).bit_length()), bool)
+            self.bits[self.index & (len(self.bits) - 1)] = True
+
+        def add(self, key: np.ndarray, line: np.ndarray, probe: bool):
+            if probe:
+                if self.index is None:
+                    self.known()
+                met = np.flatnonzero(self.bits[key & (len(self.bits) - 1)])
+                met = met[_within_sorted(key[met], self.index)]
+                key, line = key[met], line[met]
+            if len(self.open):
+                out = _within_sorted(key, self.open)
+                yield from given(key[out], line[out])
+                key, line = key[~out], line[~out]
+            self.keys.append(key)
+            self.lines.append(line)
+            self.n += len(key)
+            if self.n > self.most:
+                key, line, at, size = ordered(np.concatenate(self.keys), np.concatenate(self.lines))
+                large = size > group
+                self.open = np.sort(np.concatenate([self.open, key[at[large]]]))
+                out = np.repeat(large, size)
+                yield from given(key[out], line[out])
+                self.keys, self.lines, self.n = [key[~out]], [line[~out]], int((~out).sum())
+                self.most = max(_HELD, 2 * self.n)
+
+        def end(self):
+            if self.n:
+                yield from closed(np.concatenate(self.keys), np.concatenate(self.lines))
 
     def run(batches):
-        held_key, held_line, open_key, last = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None
+        part, now = None, Range()
+        for batch in batches:
+            parts, probe = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "probe"))
+            at = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (probe[1:] != probe[:-1]))[: len(parts)])
+            for low, high in zip(at.tolist(), [*at[1:].tolist(), len(parts)], strict=True):
+                if parts[low] != part:
+                    yield from now.end()
+                    part, now = parts[low], Range()
+                for i in range(low, high, 256):
+                    rows = slice(i, min(high, i + 256))
+                    yield from now.add(*(_unpacked(batch.column(c)[rows]) for c in ("keys", "lines")), bool(probe[low]))
+        yield from now.end()
+
+    return T.light(run)
+
+
+def _met(rows: DataFrame, sign, entries: int, group: int) -> DataFrame:
+    """key, a, b: pairs of lines of one key where few have it, else the lines of the key (b null).
+
+    sign: from a batch of the rows to (key, line) arrays, some ``entries`` in all."""
+    spark = rows.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-entries // _RANGE))
+
+    def pack(batches):
+        keys, lines, n = [], [], 0
         for batch in batches:
-            key, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line"))
-            if not len(key):
-                continue
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-            new[0] = last != (key[0], line[0])
-            last = (key[-1], line[-1])
-            key, line = key[new], line[new]
-            if open_key is not None:  # a large run that goes on
-                n = int(np.argmax(key != open_key[0])) if (key != open_key[0]).any() else len(key)
-                if n and open_key[1]:
-                    yield found(key[:n], line[:n])
-                key, line = key[n:], line[n:]
-                if not len(key):
-                    continue
-                open_key = None
-            key, line = np.concatenate([held_key, key]), np.concatenate([held_line, line])
-            if not len(key):
-                continue
-            whole = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-            yield from closed(key[:whole], line[:whole])
-            held_key, held_line = key[whole:], line[whole:]
-            if len(held_key) > group:
-                open_key = held_key[0], held_line[0] < 0
-                if open_key[1]:
-                    yield found(held_key, held_line)
-                held_key, held_line = held_key[:0], held_line[:0]
-        if len(held_key):
-            yield from closed(held_key, held_line)
-
-    return run
-
-
-def _met(signed: DataFrame, group: int) -> DataFrame:
-    """key, a, b: pairs of lines of one key where few have it, else the lines of the key (b null). signed: key, line."""
-    ordered = signed.repartition("key").sortWithinPartitions("key", "line")
-    return T.written(ordered.mapInArrow(_runs(group), "key long, a long, b long"))
+            for key, line in sign(batch):
+                keys.append(key)
+                lines.append(line)
+                n += len(key)
+                if n >= _PACK:
+                    yield _packed(np.concatenate(keys), np.concatenate(lines), parts)
+                    keys, lines, n = [], [], 0
+        if n:
+            yield _packed(np.concatenate(keys), np.concatenate(lines), parts)
+
+    dealt = rows.mapInArrow(T.light(pack), _PACKED).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "probe")
+    return T.written(dealt.mapInArrow(_runs(group), "key long, a long, b long"))
 
 
 def distinct_lines(documents: DataFrame, bands, min_chars: int = 0) -> DataFrame:
@@ -249,11 +351,11 @@ def distinct_lines(documents: DataFrame, bands, min_chars: int = 0) -> DataFrame
     def run(batches):
         for batch in batches:
             for _, x in line_chunks(batch.column("text")):
-                pick = np.unique(x.hash, return_index=True)[1]
-                pick = pick[(x.size[pick] >= max(min_chars, 2)) & (allowed(x.size[pick] + most, bands) > 0)]
+                pick, size = np.sort(np.unique(x.hash, return_index=True)[1]), x.size
+                pick = pick[(size[pick] >= max(min_chars, 2)) & (allowed(size[pick] + most, bands) > 0)]
+                whole = pa.RecordBatch.from_arrays([pa.array(x.hash[pick].view(np.int64)), x.words(pick)], ["line", "words"])
                 for at in range(0, len(pick), 4096):
-                    part = pick[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(x.hash[part].view(np.int64)), pa.array([x.chars[a:b].tobytes().decode("utf-32-le") for a, b in zip(x.start[part], x.end[part], strict=True)], pa.string())], ["line", "words"])
+                    yield whole.slice(at, 4096)
 
     def once(batches):
         last = None
@@ -288,17 +390,16 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
         return documents.sparkSession.createDataFrame([], "a long, b long")
     lines = distinct_lines(documents, bands, min_chars)
 
-    def signed(number: int) -> DataFrame:
-        def sign(batches):
-            for batch in batches:
-                for low, high in _pieces(batch.column("words")):
-                    names, x = batch.column("line").to_numpy(zero_copy_only=False)[low:high], Texts(batch.column("words").slice(low, high - low))
-                    parts = [(key, names[line] | _INDEX if index else names[line]) for key, line, _, _, index, _ in _banded(x, np.arange(high - low), bands, number)]
-                    keys, of = (np.concatenate([p[i] for p in parts]) for i in (0, 1)) if parts else (np.zeros(0, np.uint64), names[:0])
-                    for at in range(0, len(keys), 1 << 16):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)].view(np.int64)), pa.array(of[at : at + (1 << 16)])], ["key", "line"])
+    passes, count = _passes(most), lines.count()
+
+    def sign(numbers: tuple[int, ...]):
+        def run(batch: pa.RecordBatch):
+            for low, high in _pieces(batch.column("words")):
+                names, x = batch.column("line").to_numpy(zero_copy_only=False)[low:high], Texts(batch.column("words").slice(low, high - low))
+                for key, line, _, _, index, _ in _banded(x, np.arange(high - low), bands, numbers):
+                    yield key, names[line] | _INDEX if index else names[line]
 
-        return lines.mapInArrow(sign, "key long, line long")
+        return run
 
     def spots(number: int) -> DataFrame:
         """key, line, at, size, edits: where the shared segment of a large group stands in its lines."""
@@ -307,15 +408,16 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
             for low, high in _pieces(batch.column("words")):
                 part = batch.slice(low, high - low)
                 wanted, names = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line"))
-                for key, row, at, size, _, e in _banded(Texts(part.column("words")), np.arange(high - low), bands, number):
+                for key, row, at, size, _, e in _banded(Texts(part.column("words")), np.arange(high - low), bands, passes[number]):
                     mine = key.view(np.int64) == wanted[row]
                     yield {"key": wanted[row[mine]], "line": names[row[mine]], "at": at[mine], "size": size[mine], "edits": np.full(int(mine.sum()), e)}
 
         return T.map_batches(huge.filter(F.col("number") == number).select("key", "line").join(known, "line"), run, "key long, line long, at int, size int, edits int")
 
-    found = [_met(signed(i), group) for i in range(most + 1)]
+    # a line has at most (most + 1) ** 2 / 2 + 1 entries in a pass, and few in the index of another band
+    found = [_met(lines, sign(numbers), count * ((most + 1) ** 2 // 2 + 1), group) for numbers in passes]
     every = found[0].withColumn("number", F.lit(0))
-    for i in range(1, most + 1):
+    for i in range(1, len(passes)):
         every = every.unionByName(found[i].withColumn("number", F.lit(i)))
     wanted = every.select(F.explode(F.array("a", "b")).alias("line")).filter("line is not null").distinct()
     known = T.written(lines.join(wanted.hint("merge"), "line", "left_semi"))  # the lines that met another
@@ -326,7 +428,7 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
     large = T.written(large.join(sizes, "key"))
     blocked = large.filter(F.col("lines") <= BLOCK).select("key", "line")
     huge = large.filter(F.col("lines") > BLOCK)
-    numbers = sorted(r["number"] for r in huge.select("number").distinct().collect())  # as many as segments
+    numbers = sorted(r["number"] for r in huge.select("number").distinct().collect())  # as many as passes
     if numbers:
         placed = spots(numbers[0])
         for i in numbers[1:]:
@@ -334,7 +436,8 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
         placed = T.written(placed)
         pairs = pairs.unionByName(_dealt_anew(placed.filter("edits = 1").drop("edits"), known))
         if most > 1:
-            again = _met(_beside(placed.filter("edits > 1"), known), group)
+            far = placed.filter("edits > 1")
+            again = _met(far.join(known, "line"), _beside, far.count() * (most + 1) ** 3 // 2, group)
             pairs = pairs.unionByName(again.filter("b is not null").select("a", "b"))
             blocked = blocked.unionByName(again.filter("b is null").select("key", F.col("a").alias("line")).distinct())
     blocked = _in_blocks(blocked, known, bands)
@@ -349,6 +452,18 @@ def edit_links(documents: DataFrame, edits=BANDS, min_chars: int = 0, group: int
     return links.unionByName(blocked)
 
 
+_BINS = 1 << 5
+
+
+def _letters(words: pa.Array) -> np.ndarray:
+    """How often each of some classes of letters stands in each line; an edit changes two of the counts by one at most."""
+    data, offsets = W.utf8(words)
+    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = offsets if len(chars) == len(data) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    row = np.repeat(np.arange(len(words)) * _BINS, np.diff(begins))
+    return np.bincount(row + (chars * np.uint32(2654435761) >> np.uint32(32 - 5)), minlength=len(words) * _BINS).reshape(len(words), _BINS).astype(np.int32)
+
+
 #: Pairs of which a line is longer are followed along their diagonals, one by one.
 LONG = 1_000
 
@@ -362,6 +477,7 @@ def close_pairs(x: pa.Array, y: pa.Array, bands) -> np.ndarray:
         out[i] = within_far(*[np.frombuffer(c[i].as_py().encode("utf-32-le"), np.uint32) for c in (x, y)], int(most[i]))
     for e in np.unique(most):
         at = np.flatnonzero((most == e) & (size <= LONG))
+        at = at[np.abs(_letters(x.take(pa.array(at))) - _letters(y.take(pa.array(at)))).sum(axis=1) <= 2 * e]
         out[at] = within(x.take(pa.array(at)), y.take(pa.array(at)), int(e))
     return out
 
@@ -395,23 +511,20 @@ def within_far(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
     return False
 
 
-def _beside(large: DataFrame, lines: DataFrame) -> DataFrame:
-    """key, line of large groups dealt anew by the segments of what is left: lines within some edits that share a segment
+def _beside(batch: pa.RecordBatch):
+    """Key, line of large groups dealt anew by the segments of what is left: lines within some edits that share a segment
     are within as many beside it.  Where the segment is so short that nothing can be split, the key stays."""
-
-    def run(batch: pa.RecordBatch):
-        short = batch.column("size").to_numpy(zero_copy_only=False) < 3
-        yield {"key": batch.column("key").filter(pa.array(short)), "line": batch.column("line").to_numpy(zero_copy_only=False)[short] | _INDEX}
-        for low, high in _pieces(batch.column("words"), W.CHUNK_BYTES):
-            part = batch.slice(low, high - low)
-            keys, names, at, size, edits = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "at", "size", "edits"))
-            x = Texts(part.column("words"), at.astype(np.int64), size.astype(np.int64))
-            for e in np.unique(edits).tolist():
-                pick = np.flatnonzero(~short[low:high] & (edits == e))
-                for key, line, _, _, index in _signatures(x, pick, e, range(e + 1)):
-                    yield {"key": W.mix(key ^ W.mix(keys[line].view(np.uint64))).view(np.int64), "line": names[line] | _INDEX if index else names[line]}
-
-    return T.map_batches(large.join(lines, "line"), run, "key long, line long")
+    short = batch.column("size").to_numpy(zero_copy_only=False) < 3
+    key, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line"))
+    yield key[short].view(np.uint64), line[short] | _INDEX
+    for low, high in _pieces(batch.column("words")):
+        part = batch.slice(low, high - low)
+        keys, names, at, size, edits = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "at", "size", "edits"))
+        x = Texts(part.column("words"), at.astype(np.int64), size.astype(np.int64))
+        for e in np.unique(edits).tolist():
+            pick = np.flatnonzero(~short[low:high] & (edits == e))
+            for key, line, _, _, index in _signatures(x, pick, e, range(e + 1)):
+                yield W.mix(key ^ W.mix(keys[line].view(np.uint64))), names[line] | _INDEX if index else names[line]
 
 
 def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
@@ -431,7 +544,7 @@ def _in_blocks(large: DataFrame, lines: DataFrame, bands) -> DataFrame:
     return dealt.join(lines, "line").repartition(parts, "key", "low", "high").groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
 
 
-_BINS, _BULK = 1 << 5, 1 << 16
+_BULK = 1 << 16
 
 
 def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
@@ -442,9 +555,7 @@ def _forest(words: pa.Array, own: np.ndarray, bands) -> np.ndarray:
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
     n, across = len(words), len(np.unique(own)) > 1
-    x = Texts(words)
-    size, row = x.size, np.repeat(np.arange(n), x.size)
-    letters = np.bincount(row * _BINS + (x.chars * np.uint32(2654435761) >> np.uint32(32 - 5)), minlength=n * _BINS).reshape(n, _BINS).astype(np.int32)
+    size, letters = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64), _letters(words)
     most = int(max(e for _, e in bands))
     label, out = np.arange(n), []
     left, right, held = [], [], 0

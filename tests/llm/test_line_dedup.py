@@ -163,3 +163,40 @@ def test_lines_of_one_kind_in_a_third_of_all_documents(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r["_key"]: r["removed"] for r in L.removed_lines(df, edits=2, group=4).collect()}
     assert found == brute(docs, 2, 0)
+
+
+@pytest.mark.parametrize("most", [1 << 22, 40])
+def test_entries_travel_packed(monkeypatch, most):
+    """Many entries to a row; pairs, and large keys whose lines go out as they come, whatever a task holds at a time."""
+    monkeypatch.setattr(L, "_HELD", most)
+    r = np.random.default_rng(3)
+    names = L.W.mix(np.arange(1, 400, dtype=np.uint64))
+    key = names[np.concatenate([r.integers(0, 398, 3000), np.full(500, 7), np.full(300, 398)])]
+    line = r.integers(0, 1 << 40, len(key))
+    line[r.random(len(key)) < 0.2] |= L._INDEX
+    line[-300:] &= ~L._INDEX  # a large key without an index entry
+    key, line = np.append(key, key[:200]), np.append(line, line[:200])  # equal entries
+    batches = [L._packed(key[at : at + 900], line[at : at + 900], 3) for at in range(0, len(key), 900)]
+    assert sum(x.num_rows for x in batches) <= 6 * len(batches)
+    dealt = pa.Table.from_batches(batches).sort_by([("part", "ascending"), ("probe", "ascending")]).to_batches(max_chunksize=2)
+    pairs, large = set(), set()
+    for x in L._runs(12)(iter(dealt)):
+        for k, a, b in zip(*[x.column(c).to_pylist() for c in ("key", "a", "b")], strict=True):
+            (large.add((k, a)) if b is None else pairs.add((a, b)))
+    of = {}
+    for k, x in zip(key.view(np.int64).tolist(), line.tolist(), strict=True):
+        of.setdefault(k, set()).add(x)
+    bare = int(~L._INDEX)
+    some = {k: v for k, v in of.items() if min(v) < 0}
+    assert large == {(k, x & bare) for k, v in some.items() if len(v) > 12 for x in v} and len(some) < len(of)
+    want = {tuple(sorted((a & bare, b & bare))) for v in some.values() if len(v) <= 12 for a in v if a < 0 for b in v if a & bare != b & bare}
+    assert pairs == want and want
+
+
+def test_lines_are_named_by_their_bytes():
+    texts = [" é日本 line \r\n\n\t\nsecond", None, "", "\x85x\n \x0bsecond\x0c", "日" * 30]
+    (_, x), = L.line_chunks(pa.array(texts))
+    want = [(i, k, y) for i, t in enumerate(texts) for k, y in enumerate(s.strip("\t\n\v\f\r ") for s in (t or "").split("\n")) if y]
+    assert list(zip(x.row.tolist(), x.number.tolist(), x.words(np.arange(len(x.row))).to_pylist(), strict=True)) == want
+    assert x.size.tolist() == [len(y) for _, _, y in want]
+    assert [a == b for a in x.hash.tolist() for b in x.hash.tolist()] == [a == b for _, _, a in want for _, _, b in want]
